@@ -48,12 +48,15 @@ class Matching:
 
 
 def with_matches(df: DataFrame, m: Matching, text_col: str = "_text") -> DataFrame:
-    """Add ``_matched``: candidate texts found in the scoring text."""
-    return (
-        df.withColumn("_hits", skills.token_hits(F.col(text_col), list(m.entries)))
-        .withColumn("_matched", skills.matched_candidates(F.col(text_col), F.col("_hits"), list(m.entries)))
-        .drop("_hits")
-    )
+    """Add ``_matched``: candidate texts found in the scoring text.
+
+    The array is exploded from a one-element array. A filter on anything derived from
+    it (the score, above all) is then evaluated on the array. Through a plain
+    projection Spark would push the filter below and repeat the whole matching in it.
+    """
+    hits = df.withColumn("_hits", skills.token_hits(F.col(text_col), list(m.entries)))
+    matched = skills.matched_candidates(F.col(text_col), F.col("_hits"), list(m.entries))
+    return hits.select(*df.columns, F.explode(F.array(matched)).alias("_matched"))
 
 
 def skill_columns(matched: Column, m: Matching) -> dict[str, Column]:
