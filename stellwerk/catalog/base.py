@@ -7,11 +7,17 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from stellwerk.operators.enrich import Matching
+from stellwerk.session import spread
 from stellwerk.sources.config import Entry, flatten_entries, profile_from_dict
 
 
+#: Tables of long texts, and the key they are spread by when the file has few splits.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 #: Documents as postings: ids by content, so exact copies share one; links by language and

@@ -61,7 +61,7 @@ def matched_candidates(lower_text: Column, hits: Column, entries: list[Entry]) -
     rest = [c for c in candidates if c not in substrings and not is_plain(c)]
     checks = [F.when(F.contains(lower_text, F.lit(c)), F.lit(c)) for c in substrings]
     for c in rest:
-        test = F.rlike(lower_text, F.lit(pattern(c)))
+        test = F.contains(lower_text, F.lit(c)) & F.rlike(lower_text, F.lit(pattern(c)))
         lead = first_token(c)
         checks.append(F.when(F.array_contains(hits, lead) & test if lead else test, F.lit(c)))
     found = F.array_intersect(hits, _string_array(plain))
