@@ -1,2 +1,75 @@
-def register(c):
-    pass
+"""Captured pages as they are: headings, lists, visible text, nodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stellwerk.catalog import Catalog
+from stellwerk.catalog.base import table
+from stellwerk.catalog.links import PORTAL_URLS, PROVIDER_SQL, portal_urls
+from stellwerk.functions.html import Dom, attr, html_nodes, list_items, page_heading, page_title, tag
+from stellwerk.functions.links import provider_from_url
+
+UNESCAPE = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+PIECES = (
+    "list_filter(list_transform(string_split_regex("
+    r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '<x>', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'g'), "
+    "'<[^>]*>'), lambda t: " + STRIP.format(UNESCAPE.format("t")) + "), lambda t: t <> '')"
+)
+
+
+def register(c: Catalog) -> None:
+    @c.add(
+        "captured_pages",
+        f"""SELECT u.page_id, provider, length(html) AS html_length
+            FROM (SELECT page_id, {PROVIDER_SQL} END AS provider FROM ({PORTAL_URLS})) u JOIN pages ON pages.page_id = u.page_id""",
+    )
+    def captured_pages(spark, sf):
+        pages = table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("html_length"))
+        urls = portal_urls(spark, sf).select("page_id", provider_from_url(F.col("url")).alias("provider"))
+        return urls.join(pages, "page_id")
+
+    @c.add(
+        "page_headings",
+        "SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heading, "
+        "regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title FROM pages",
+    )
+    def page_headings(spark, sf):
+        html = F.col("html")
+        return table(spark, sf, "pages").select(
+            "page_id", page_heading(html).alias("heading"), page_title(html).alias("title")
+        )
+
+    @c.add(
+        "page_list_items",
+        "SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), ' | ') AS items FROM pages",
+    )
+    def page_list_items(spark, sf):
+        return table(spark, sf, "pages").select("page_id", F.array_join(list_items(F.col("html")), " | ").alias("items"))
+
+    @c.add("page_text", f"SELECT page_id, array_to_string({PIECES}, chr(10)) AS text FROM pages")
+    def page_text(spark, sf):
+        nodes = table(spark, sf, "pages").select("page_id", html_nodes("html").alias("n"))
+        return nodes.select("page_id", F.expr(Dom("n").text("\n")).alias("text"))
+
+    text_sql = STRIP.format(UNESCAPE.format("regexp_replace(t, '<[^>]*>', '', 'g')"))
+
+    @c.add(
+        "page_nodes",
+        rf"""SELECT page_id, {STRIP.format(UNESCAPE.format("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"))} AS heading,
+               array_to_string(list_transform(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), lambda t: {text_sql}), ' | ') AS items,
+               array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), ' ') AS hrefs
+             FROM pages""",
+    )
+    def page_nodes(spark, sf):
+        nodes = table(spark, sf, "pages").select("page_id", html_nodes("html").alias("n"))
+        dom = Dom("n")
+        items = dom.each(tag("li"), lambda d: d.text())
+        hrefs = dom.each(tag("a"), lambda d: attr(d.node, "href"))
+        return nodes.select(
+            "page_id",
+            F.expr(dom.first_text(tag("h1"))).alias("heading"),
+            F.array_join(F.expr(items), " | ").alias("items"),
+            F.array_join(F.expr(hrefs), " ").alias("hrefs"),
+        )

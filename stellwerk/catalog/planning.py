@@ -39,7 +39,7 @@ def profiles(spark, sf):
                 for i, k in enumerate(KEYS)
             ]
         ),
-        lambda x: (F.col("s_nationkey") + F.lit(17)).bitwiseAND(F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), x["bit"]).cast("int")) != 0,
+        lambda x: (F.col("s_nationkey") + F.lit(17)).bitwiseAND(F.pow(F.lit(2), x["bit"]).cast("int")) != 0,
     )
     return rows.select(
         F.col("s_name").alias("profile"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from html.parser import HTMLParser
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
@@ -127,121 +128,149 @@ def html_nodes(pages: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), nodes)
 
 
-Test = Callable[[Column], Column]
+def quote(value: str) -> str:
+    """SQL text literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
 
 
-def _attr(node: Column, name: str) -> Column:
-    return F.try_element_at(node["attrs"], F.lit(name))
+_names = count()
+
+
+def _name() -> str:
+    return f"v{next(_names)}"
+
+
+def bind(value: str, use: Callable[[str], str]) -> str:
+    """``use`` of a value that is evaluated once, however often ``use`` mentions it."""
+    v = _name()
+    return f"element_at(transform(array({value}), {v} -> {use(v)}), 1)"
+
+
+#: A selector: SQL condition on a node.
+Test = Callable[[str], str]
+
+
+def attr(node: str, name: str) -> str:
+    return f"try_element_at({node}.attrs, {quote(name)})"
 
 
 def tag(*names: str) -> Test:
-    return lambda n: n["tag"].isin(*names)
+    return lambda n: f"{n}.tag IN ({', '.join(quote(t) for t in names)})"
 
 
 def has_class(name: str) -> Test:
     """Class token equality."""
-    return lambda n: F.contains(F.concat(F.lit(" "), _attr(n, "class"), F.lit(" ")), F.lit(f" {name} "))
+    return lambda n: f"contains(concat(' ', {attr(n, 'class')}, ' '), {quote(f' {name} ')})"
 
 
 def class_like(regex: str) -> Test:
-    return lambda n: F.rlike(_attr(n, "class"), F.lit(regex))
+    return attr_like("class", regex)
 
 
 def attr_is(name: str, value: str) -> Test:
-    return lambda n: _attr(n, name) == value
+    return lambda n: f"{attr(n, name)} = {quote(value)}"
 
 
 def attr_like(name: str, regex: str) -> Test:
-    return lambda n: F.rlike(_attr(n, name), F.lit(regex))
+    return lambda n: f"rlike({attr(n, name)}, {quote(regex)})"
 
 
 def has_attr(name: str) -> Test:
-    return lambda n: _attr(n, name).isNotNull()
+    return lambda n: f"{attr(n, name)} IS NOT NULL"
 
 
 def both(*tests: Test) -> Test:
-    def check(n: Column) -> Column:
-        result = tests[0](n)
-        for t in tests[1:]:
-            result = result & t(n)
-        return result
-
-    return check
+    return lambda n: "(" + " AND ".join(t(n) for t in tests) + ")"
 
 
 class Dom:
-    """A contiguous run of nodes: a page, or the subtree of one of its nodes."""
+    """SQL over a contiguous run of nodes: a page, or the subtree of one of its nodes.
 
-    def __init__(self, nodes: Column):
+    ``nodes`` is a column or lambda variable. Methods return SQL text for ``F.expr``;
+    built as text, a portal's rules cost one parse instead of a call per operation.
+    """
+
+    def __init__(self, nodes: str):
         self.nodes = nodes
 
-    def sub(self, node: Column) -> Dom:
-        first = F.element_at(self.nodes, 1)["no"]
-        return Dom(F.slice(self.nodes, node["no"] - first + 1, node["last"] - node["no"] + 1))
+    @property
+    def node(self) -> str:
+        """The run's first node: the root of a subtree."""
+        return f"{self.nodes}[0]"
 
-    def matching(self, test: Test) -> Column:
-        return F.filter(self.nodes, test)
+    def matching(self, test: Test) -> str:
+        n = _name()
+        return f"filter({self.nodes}, {n} -> {test(n)})"
 
-    def each(self, test: Test, take: Callable[[Dom, Column], Column]) -> Column:
-        """``take`` of every matching subtree, in document order."""
-        return F.transform(self.matching(test), lambda n: take(self.sub(n), n))
+    def subtree(self, node: str) -> str:
+        return f"slice({self.nodes}, {node}.no - {self.nodes}[0].no + 1, {node}.last - {node}.no + 1)"
 
-    def _one(self, test: Test, take, position: int) -> Column:
-        found = self.matching(test)
-        chosen = F.slice(found, 1, 1) if position == 1 else F.slice(F.reverse(found), 1, 1)
-        return F.try_element_at(F.transform(chosen, lambda n: take(self.sub(n), n)), F.lit(1))
+    def _take(self, found: str, take: Callable[[Dom], str]) -> str:
+        n, d = _name(), _name()
+        return f"transform(transform({found}, {n} -> {self.subtree(n)}), {d} -> {take(Dom(d))})"
 
-    def first(self, test: Test, take: Callable[[Dom, Column], Column]) -> Column:
-        """``take`` of the first match, NULL without one. The match is evaluated once."""
-        return self._one(test, take, 1)
+    def each(self, test: Test, take: Callable[[Dom], str]) -> str:
+        """``take`` of every matching subtree, in document order."""
+        return self._take(self.matching(test), take)
 
-    def last(self, test: Test, take: Callable[[Dom, Column], Column]) -> Column:
-        return self._one(test, take, -1)
+    def first(self, test: Test, take: Callable[[Dom], str]) -> str:
+        """``take`` of the first match, NULL without one."""
+        return f"try_element_at({self._take(f'slice({self.matching(test)}, 1, 1)', take)}, 1)"
 
-    def first_text(self, test: Test, sep: str = "") -> Column:
-        return self.first(test, lambda d, _: d.text(sep))
+    def last(self, test: Test, take: Callable[[Dom], str]) -> str:
+        return f"try_element_at({self._take(f'slice(reverse({self.matching(test)}), 1, 1)', take)}, 1)"
 
-    def first_of(self, tests: list[Test], take: Callable[[Dom, Column], Column]) -> Column:
+    def first_text(self, test: Test, sep: str = "") -> str:
+        return self.first(test, lambda d: d.text(sep))
+
+    def first_of(self, tests: list[Test], take: Callable[[Dom], str]) -> str:
         """Selectors tried in order."""
-        return F.coalesce(*[self.first(t, take) for t in tests])
+        return "coalesce(" + ", ".join(self.first(t, take) for t in tests) + ")"
+
+    def first_attr(self, test: Test, name: str) -> str:
+        n = _name()
+        return f"try_element_at(transform(slice({self.matching(test)}, 1, 1), {n} -> {attr(n, name)}), 1)"
 
-    def first_attr(self, test: Test, name: str) -> Column:
-        return self.first(test, lambda _, n: _attr(n, name))
+    def parent_text(self, root: Dom) -> str:
+        """Text of the parent of a subtree of ``root``; all of ``root`` for a node at the top."""
+        inside = bind(
+            root.subtree(f"try_element_at({root.nodes}, nullif({self.node}.parent, 0))"), lambda d: Dom(d).text()
+        )
+        return f"CASE WHEN {self.node}.parent > 0 THEN {inside} ELSE {root.text()} END"
 
-    def text(self, sep: str = "", without: tuple[str, ...] = ()) -> Column:
+    def text(self, sep: str = "", without: tuple[str, ...] = ()) -> str:
         """Stripped, non-blank visible texts joined by ``sep``; '' when there are none."""
-        visible = F.filter(self.nodes, lambda n: (n["tag"] == TEXT) & (n["text"] != ""))
+        n, t = _name(), _name()
+        visible = f"filter({self.nodes}, {n} -> {n}.tag = '{TEXT}' AND {n}.text <> '')"
         if without:
-            cut = F.filter(self.nodes, lambda n: n["tag"].isin(*without))
-            visible = F.filter(
-                visible, lambda n: ~F.exists(cut, lambda c: (n["no"] > c["no"]) & (n["no"] <= c["last"]))
-            )
-        return F.array_join(F.transform(visible, lambda n: n["text"]), sep)
+            n, c = _name(), _name()
+            hides = lambda cut: f"NOT exists({cut}, {c} -> {n}.no > {c}.no AND {n}.no <= {c}.last)"
+            visible = bind(self.matching(tag(*without)), lambda cut: f"filter({visible}, {n} -> {hides(cut)})")
+        return f"array_join(transform({visible}, {t} -> {t}.text), {quote(sep)})"
 
-    def raw_text(self) -> Column:
+    def _as_written(self, kind: str) -> str:
+        n, t = _name(), _name()
+        kept = f"filter({self.nodes}, {n} -> {n}.tag = '{kind}')"
+        return f"array_join(transform({kept}, {t} -> coalesce({t}.raw, {t}.text)), '')"
+
+    def raw_text(self) -> str:
         """Visible text as written, nothing stripped."""
-        visible = F.filter(self.nodes, lambda n: n["tag"] == TEXT)
-        return F.array_join(F.transform(visible, lambda n: F.coalesce(n["raw"], n["text"])), "")
+        return self._as_written(TEXT)
 
-    def script_text(self) -> Column:
+    def script_text(self) -> str:
         """Text of a script element."""
-        hidden = F.filter(self.nodes, lambda n: n["tag"] == HIDDEN_TEXT)
-        return F.array_join(F.transform(hidden, lambda n: F.coalesce(n["raw"], n["text"])), "")
+        return self._as_written(HIDDEN_TEXT)
 
-    def mentions(self, *needles: str) -> Column:
+    def mentions(self, *needles: str) -> str:
         """True when tag, attribute or text of any node holds one of the needles."""
-
-        def markup(n: Column) -> Column:
-            keys, values = F.map_keys(n["attrs"]), F.map_values(n["attrs"])
-            return F.concat_ws(" ", n["tag"], F.array_join(keys, " "), F.array_join(values, " "), n["text"])
-
-        def holds(n: Column) -> Column:
-            found = F.contains(markup(n), F.lit(needles[0]))
-            for needle in needles[1:]:
-                found = found | F.contains(markup(n), F.lit(needle))
-            return found
-
-        return F.exists(self.nodes, holds)
+        n = _name()
+        markup = (
+            f"concat_ws(' ', {n}.tag, array_join(map_keys({n}.attrs), ' '), "
+            f"array_join(map_values({n}.attrs), ' '), {n}.text)"
+        )
+        holds = " OR ".join(f"contains({markup}, {quote(needle)})" for needle in needles)
+        return f"exists({self.nodes}, {n} -> {holds})"
 
 
 def page_title(html: Column) -> Column:

@@ -1,15 +1,15 @@
 """Postings from captured result pages.
 
 One plan for all portals: parse a page into nodes, pick the portal's card nodes, cut
-to the search limit, explode, and read the fields with the portal's rules. A portal is
-a :class:`CardRules` registered by key; :func:`register_cards` adds further ones.
+to the search limit, explode, read the raw fields with the portal's rules, and bring
+them to posting columns. A portal is a :class:`CardRules` registered by key;
+:func:`register_cards` adds further ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,173 +19,188 @@ from stellwerk.functions.html import (
     NODES_TYPE,
     Dom,
     Test,
+    attr,
     attr_is,
     attr_like,
+    bind,
     both,
     class_like,
     has_attr,
     has_class,
     html_nodes,
+    quote,
     tag,
 )
 from stellwerk.functions.links import canonical_link, job_id_from_href
+from stellwerk.functions.text import contains_any
 from stellwerk.schema import CARD_FIELDS
 
-OFFERS_TYPE = (
-    "struct<ControllerResponse:struct<Data:struct<Offers:array<struct<"
-    "id:string,title:string,intro:string,tasks:string,requirements:string,benefits:string,"
-    "jobTypeName:string,workplaceTypeName:string,locationCity:string,locationCountry:string,slug:string>>>>>"
+OFFER_TYPE = (
+    "struct<id:string,title:string,intro:string,tasks:string,requirements:string,benefits:string,"
+    "jobTypeName:string,workplaceTypeName:string,locationCity:string,locationCountry:string,slug:string>"
 )
+OFFERS_TYPE = f"struct<ControllerResponse:struct<Data:struct<Offers:array<{OFFER_TYPE}>>>>"
+
+#: Raw fields a portal's rules may give, with the value of one left out.
+RAW_FIELDS = {
+    "title": "CAST(NULL AS STRING)",
+    "href": "CAST(NULL AS STRING)",
+    "company": "CAST(NULL AS STRING)",
+    "location": "CAST(NULL AS STRING)",
+    "posted": "CAST(NULL AS STRING)",
+    "description": "CAST(NULL AS STRING)",
+    "type_text": "CAST(NULL AS STRING)",
+    "remote": "false",
+}
 
 
 @dataclass(frozen=True)
 class CardRules:
-    """Card selectors in order of preference, and the fields of one card.
+    """Card selectors in order of preference, and the raw fields of one card.
 
-    ``fields`` maps a card's nodes to raw columns. ``title`` or ``href`` left NULL
-    drops the card.
+    ``fields`` maps a card to SQL for any of :data:`RAW_FIELDS`. A NULL ``title`` or
+    ``href`` drops the card. ``type_text`` is text that work and employment type are
+    read from; without it ``employment`` and the portal's work type rule apply.
     """
 
     selectors: tuple[Test, ...]
-    fields: Callable[[Dom], dict[str, Column]]
-
-
-def _info_items(card: Dom, lists: list[Test]) -> Dom:
-    return Dom(card.first_of(lists, lambda d, _: d.nodes))
+    fields: Callable[[Dom], dict[str, str]]
+    employment: str = ""
 
 
-def _linkedin(card: Dom) -> dict[str, Column]:
+def _linkedin(card: Dom) -> dict[str, str]:
     title = card.first_text(both(tag("h3"), has_class("base-search-card__title")))
     company = card.first_text(both(tag("h4"), has_class("base-search-card__subtitle")))
     location = card.first_text(both(tag("span"), has_class("job-search-card__location")))
-    badges = F.array_join(card.each(both(tag("span"), class_like("badge|metadata")), lambda d, _: d.text()), " ")
-    everything = F.concat_ws(" ", title, badges, card.raw_text())
-    complete = company.isNotNull() & location.isNotNull()
+    badges = card.each(both(tag("span"), class_like("badge|metadata")), lambda d: d.text())
     return {
-        "title": F.when(complete, title),
+        "title": bind(title, lambda t: f"CASE WHEN {company} IS NOT NULL AND {location} IS NOT NULL THEN {t} END"),
         "company": company,
         "location": location,
         "href": card.first_attr(both(tag("a"), has_class("base-card__full-link")), "href"),
-        "work_location_type": types.work_type_from_text(everything),
-        "employment_type": types.employment_type_from_text(everything),
+        "type_text": f"concat_ws(' ', {title}, array_join({badges}, ' '), {card.raw_text()})",
     }
 
 
-def _hays(card: Dom) -> dict[str, Column]:
-    place = both(tag("div"), has_class("search__result__job__attribute__location"))
+def _hays(card: Dom) -> dict[str, str]:
     info = both(tag("div"), has_class("info-text"))
-    dated = F.filter(
-        card.each(both(tag("div"), has_class("row")), lambda d, _: d.raw_text()),
-        lambda t: F.contains(t, F.lit("Online seit")),
-    )
+    rows = card.each(both(tag("div"), has_class("row")), lambda d: d.raw_text())
     return {
         "title": card.first_text(both(tag("h4"), has_class("search__result__header__title"))),
-        "location": card.first(place, lambda d, _: d.first_text(info)),
+        "location": card.first(
+            both(tag("div"), has_class("search__result__job__attribute__location")), lambda d: d.first_text(info)
+        ),
         "href": card.first_attr(both(tag("a"), has_class("search__result__link")), "href"),
-        "posted_at_relative": cleanup.without_label(F.try_element_at(dated, F.lit(1)), "Online seit:"),
+        "posted": f"try_element_at(filter({rows}, r -> contains(r, 'Online seit')), 1)",
         "description": card.first_text(both(tag("div"), has_class("search__result__teaser")), " "),
-        "employment_type": F.lit("Contract"),
     }
 
 
-def _solcom(card: Dom) -> dict[str, Column]:
+def _solcom(card: Dom) -> dict[str, str]:
     header = both(tag("div"), has_class("project-header"))
     pin = both(tag("li"), has_class("pin-icon"))
-    link = card.first(header, lambda d, _: d.first(tag("a"), lambda a, _n: a.nodes))
-    anchor = Dom(link)
+
+    def of_link(take: Callable[[Dom], str]) -> str:
+        return card.first(header, lambda d: d.first(tag("a"), take))
+
     return {
-        "title": F.when(link.isNotNull(), F.coalesce(anchor.first_text(tag("h2")), F.lit("Unknown"))),
-        "location": card.first(both(tag("div"), has_class("project-infos")), lambda d, _: d.first_text(pin)),
-        "href": F.when(link.isNotNull(), F.coalesce(anchor.first_attr(tag("a"), "href"), F.lit(""))),
-        "employment_type": F.lit("Freelance"),
+        "title": of_link(lambda a: f"coalesce({a.first_text(tag('h2'))}, 'Unknown')"),
+        "location": card.first(both(tag("div"), has_class("project-infos")), lambda d: d.first_text(pin)),
+        "href": of_link(lambda a: f"coalesce({attr(a.node, 'href')}, '')"),
     }
 
 
-def _freelancermap(card: Dom) -> dict[str, Column]:
+def _freelancermap(card: Dom) -> dict[str, str]:
     link = both(tag("a"), attr_is("data-testid", "title"))
-    city = card.first_text(both(tag("div"), attr_is("data-testid", "city")), " ")
     return {
         "title": card.first_text(link),
-        "location": cleanup.clean_city(city),
-        "href": card.first(link, lambda _, n: F.coalesce(F.try_element_at(n["attrs"], F.lit("href")), F.lit(""))),
-        "posted_at_relative": card.first_text(both(tag("span"), attr_is("data-testid", "created"))),
-        "employment_type": F.lit("Freelance"),
+        "location": card.first_text(both(tag("div"), attr_is("data-testid", "city")), " "),
+        "href": card.first(link, lambda d: f"coalesce({attr(d.node, 'href')}, '')"),
+        "posted": card.first_text(both(tag("span"), attr_is("data-testid", "created"))),
     }
 
 
-def _xing(card: Dom) -> dict[str, Column]:
+def _xing(card: Dom) -> dict[str, str]:
     link = both(tag("a"), attr_like("href", "/jobs/"))
     return {
-        "title": F.coalesce(card.first_text(tag("h2", "h3")), card.first_text(link)),
+        "title": f"coalesce({card.first_text(tag('h2', 'h3'))}, {card.first_text(link)})",
         "href": card.first_attr(link, "href"),
-        "employment_type": F.lit("Full-time"),
     }
 
 
-def _gulp(card: Dom) -> dict[str, Column]:
+def _facts(card: Dom, lists: list[Test], kinds: Callable[[Dom, str], dict[str, str]]) -> str:
+    """Kind and text of each item of the first list found; an item has one kind at most."""
+
+    def fact(item: Dom) -> str:
+        def named(text: str) -> str:
+            cases = " ".join(f"WHEN {test} THEN {quote(kind)}" for kind, test in kinds(item, text).items())
+            return f"named_struct('text', {text}, 'kind', CASE {cases} END)"
+
+        return bind(item.text(), named)
+
+    return bind(card.first_of(lists, lambda d: d.nodes), lambda items: Dom(items).each(tag("li"), fact))
+
+
+def _last_fact(facts: str, kind: str) -> str:
+    return f"try_element_at(filter({facts}, f -> f.kind = {quote(kind)}), -1).text"
+
+
+def _gulp(card: Dom) -> dict[str, str]:
     link = both(tag("a"), has_attr("href"))
-    items = _info_items(card, [both(tag("ul"), has_class("small")), both(tag("ul"), has_class("fa-ul"))])
-    facts = items.each(
-        tag("li"),
-        lambda d, _: F.struct(
-            d.text().alias("text"),
-            F.when(d.mentions("map-marker"), "place")
-            .when(d.mentions("history"), "posted")
-            .when(d.mentions("laptop-house") | F.contains(d.text(), F.lit("Remote")), "remote")
-            .alias("kind"),
-        ),
+    facts = _facts(
+        card,
+        [both(tag("ul"), has_class("small")), both(tag("ul"), has_class("fa-ul"))],
+        lambda item, text: {
+            "place": item.mentions("map-marker"),
+            "posted": item.mentions("history"),
+            "remote": f"{item.mentions('laptop-house')} OR contains({text}, 'Remote')",
+        },
     )
+    badges = card.each(both(tag("a"), has_class("badge")), lambda d: d.text())
     return {
-        "title": F.coalesce(card.first_text(tag("h3")), card.first_text(link)),
+        "title": f"coalesce({card.first_text(tag('h3'))}, {card.first_text(link)})",
         "location": _last_fact(facts, "place"),
         "href": card.first_attr(link, "href"),
-        "posted_at_relative": _last_fact(facts, "posted"),
-        "description": F.array_join(card.each(both(tag("a"), has_class("badge")), lambda d, _: d.text()), " | "),
-        "employment_type": F.lit("Freelance"),
-        "remote_flag": _last_fact(facts, "remote").isNotNull(),
+        "posted": _last_fact(facts, "posted"),
+        "description": f"array_join({badges}, ' | ')",
+        "remote": f"{_last_fact(facts, 'remote')} IS NOT NULL",
     }
 
 
-def _last_fact(facts: Column, kind: str) -> Column:
-    found = F.filter(facts, lambda f: f["kind"] == kind)
-    return F.try_element_at(F.transform(found, lambda f: f["text"]), F.lit(-1))
-
-
-def _freelance_de(card: Dom) -> dict[str, Column]:
+def _freelance_de(card: Dom) -> dict[str, str]:
     link = both(tag("a"), attr_like("href", r"project\.php|projekte/"))
-    items = _info_items(card, [both(tag("ul"), class_like("fa-ul|icon-list"))])
-    facts = items.each(
-        tag("li"),
-        lambda d, _: F.struct(
-            d.text().alias("text"),
-            F.when(d.mentions("fa-map-marker", "fa-location"), "place")
-            .when(d.mentions("fa-calendar"), "start")
-            .when(F.lower(d.text()).rlike("remote|home office"), "remote")
-            .when(F.contains(d.text(), F.lit("Project Provider:")), "company")
-            .alias("kind"),
-        ),
+    facts = _facts(
+        card,
+        [both(tag("ul"), class_like("fa-ul|icon-list"))],
+        lambda item, text: {
+            "place": item.mentions("fa-map-marker", "fa-location"),
+            "start": item.mentions("fa-calendar"),
+            "remote": f"rlike(lower({text}), 'remote|home office')",
+            "company": f"contains({text}, 'Project Provider:')",
+        },
     )
     return {
-        "title": cleanup.clean_project_title(card.first_text(link)),
-        "company": cleanup.without_label(_last_fact(facts, "company"), "Project Provider:"),
-        "location": cleanup.clean_premium_location(_last_fact(facts, "place")),
+        "title": card.first_text(link),
+        "company": _last_fact(facts, "company"),
+        "location": _last_fact(facts, "place"),
         "href": card.first_attr(link, "href"),
-        "posted_at_relative": card.first_text(both(tag("small"), has_class("time-ago"))),
+        "posted": card.first_text(both(tag("small"), has_class("time-ago"))),
         "description": card.text(" | "),
-        "employment_type": F.lit("Freelance"),
-        "remote_flag": _last_fact(facts, "remote").isNotNull(),
+        "remote": f"{_last_fact(facts, 'remote')} IS NOT NULL",
     }
 
 
 CARD_RULES: dict[str, CardRules] = {
     "linkedin": CardRules((tag("li"),), _linkedin),
-    "hays": CardRules((both(tag("div"), has_class("search__result")),), _hays),
-    "solcom": CardRules((both(tag("div"), has_class("contenance-solcom-portal-project-item")),), _solcom),
-    "freelancermap": CardRules((both(tag("div"), has_class("project-card")),), _freelancermap),
-    "xing": CardRules((tag("article"),), _xing),
-    "gulp": CardRules((tag("search-project-card"), both(tag("div"), has_class("list-result-item"))), _gulp),
+    "hays": CardRules((both(tag("div"), has_class("search__result")),), _hays, "Contract"),
+    "solcom": CardRules(
+        (both(tag("div"), has_class("contenance-solcom-portal-project-item")),), _solcom, "Freelance"
+    ),
+    "freelancermap": CardRules((both(tag("div"), has_class("project-card")),), _freelancermap, "Freelance"),
+    "xing": CardRules((tag("article"),), _xing, "Full-time"),
+    "gulp": CardRules((tag("search-project-card"), both(tag("div"), has_class("list-result-item"))), _gulp, "Freelance"),
     "freelance_de": CardRules(
-        (tag("search-project-card"), both(tag("div"), has_class("project-item"))), _freelance_de
+        (tag("search-project-card"), both(tag("div"), has_class("project-item"))), _freelance_de, "Freelance"
     ),
 }
 
@@ -195,10 +210,19 @@ def register_cards(provider: str, rules: CardRules) -> None:
     CARD_RULES[provider] = rules
 
 
-def _cards_of(dom: Dom, rules: CardRules) -> Column:
+def by_provider(sql: dict[str, str]) -> Column:
+    """Each portal's SQL for its own rows, NULL for rows of other portals."""
+    return F.expr("CASE provider " + " ".join(f"WHEN {quote(k)} THEN {v}" for k, v in sql.items()) + " END")
+
+
+def _cards_of(nodes: str, rules: CardRules) -> str:
     """Subtrees of the first selector that matches anything."""
-    found = [dom.each(s, lambda d, _: d.nodes) for s in rules.selectors]
-    return reduce(lambda chosen, nxt: F.when(F.size(chosen) > 0, chosen).otherwise(nxt), found)
+    found = [Dom(nodes).each(s, lambda d: d.nodes) for s in rules.selectors]
+    chosen = found[-1]
+    for better in reversed(found[:-1]):
+        fallback = chosen
+        chosen = bind(better, lambda b, f=fallback: f"CASE WHEN size({b}) > 0 THEN {b} ELSE {f} END")
+    return chosen
 
 
 def offers_json(html: Column) -> Column:
@@ -223,13 +247,11 @@ def offer_markup(offer: Column) -> Column:
 
 
 def offer_fields(offer: Column, description: Column) -> dict[str, Column]:
-    place = F.concat_ws(
-        " ", F.coalesce(offer["locationCity"], F.lit("")), F.coalesce(offer["locationCountry"], F.lit(""))
-    )
+    city, country = F.coalesce(offer["locationCity"], F.lit("")), F.coalesce(offer["locationCountry"], F.lit(""))
     return {
         "title": cleanup.clean_offer_title(offer["title"]),
         "company": F.lit("FERCHAU"),
-        "location": cleanup.strip(place),
+        "location": cleanup.strip(F.concat_ws(" ", city, country)),
         "link": F.concat(F.lit(fixed.DOMAINS["ferchau"]), F.coalesce(offer["slug"], F.lit(""))),
         "job_id": F.coalesce(offer["id"], F.lit("None")),
         "posted_at_relative": F.lit(fixed.POSTED_DEFAULT),
@@ -239,42 +261,53 @@ def offer_fields(offer: Column, description: Column) -> dict[str, Column]:
     }
 
 
-def _card_struct(provider: str, card: Dom, rules: CardRules, remote_search: Column) -> Column:
-    key = F.lit(provider)
-    raw = rules.fields(card)
-    none = F.lit(None).cast("string")
-    title, href = raw["title"], raw["href"]
-    location = cleanup.default_fill(key, "location", raw.get("location", none))
-    values = {
+def _raw_struct(card: Dom, rules: CardRules) -> str:
+    given = RAW_FIELDS | rules.fields(card)
+    return "named_struct(" + ", ".join(f"{quote(k)}, {v}" for k, v in given.items()) + ")"
+
+
+def card_fields(provider: Column, raw: Column, remote_search: Column) -> dict[str, Column]:
+    """Posting columns from a card's raw fields."""
+    title = F.when(provider == "freelance_de", cleanup.clean_project_title(raw["title"])).otherwise(raw["title"])
+    place = (
+        F.when(provider == "freelancermap", cleanup.clean_city(raw["location"]))
+        .when(provider == "freelance_de", cleanup.clean_premium_location(raw["location"]))
+        .otherwise(raw["location"])
+    )
+    company = F.when(
+        provider == "freelance_de", cleanup.without_label(raw["company"], "Project Provider:")
+    ).otherwise(raw["company"])
+    posted = F.when(provider == "hays", cleanup.without_label(raw["posted"], "Online seit:")).otherwise(raw["posted"])
+    location = cleanup.default_fill(provider, "location", place)
+    employment = F.create_map(*[F.lit(x) for k, r in CARD_RULES.items() for x in (k, r.employment)])
+    portal_type = types.portal_work_type(provider, title, location, raw["remote"])
+    from_text = raw["type_text"].isNotNull()
+    work_type = F.when(from_text, types.work_type_from_text(raw["type_text"])).otherwise(portal_type)
+    return {
         "title": title,
-        "company": cleanup.default_fill(key, "company", raw.get("company", none)),
+        "company": cleanup.default_fill(provider, "company", company),
         "location": location,
-        "link": raw.get("link", canonical_link(key, href)),
-        "job_id": raw.get("job_id", job_id_from_href(key, href)),
-        "posted_at_relative": cleanup.default_fill(key, "posted_at_relative", raw.get("posted_at_relative", none)),
-        "description": F.coalesce(raw.get("description", none), F.lit("")),
-        "work_location_type": raw.get(
-            "work_location_type", types.portal_work_type(key, title, location, raw.get("remote_flag", F.lit(False)))
+        "link": canonical_link(provider, raw["href"]),
+        "job_id": job_id_from_href(provider, raw["href"]),
+        "posted_at_relative": cleanup.default_fill(provider, "posted_at_relative", posted),
+        "description": F.coalesce(raw["description"], F.lit("")),
+        "work_location_type": F.when((provider == "linkedin") & remote_search, F.lit("Remote")).otherwise(work_type),
+        "employment_type": F.when(from_text, types.employment_type_from_text(raw["type_text"])).otherwise(
+            F.try_element_at(employment, provider)
         ),
-        "employment_type": F.coalesce(raw.get("employment_type", none), F.lit("")),
     }
-    if provider == "linkedin":
-        values["work_location_type"] = F.when(remote_search, F.lit("Remote")).otherwise(values["work_location_type"])
-    return F.when(title.isNotNull() & href.isNotNull(), F.struct(*[values[f].alias(f) for f in CARD_FIELDS]))
-
-
-def not_blocked(df: DataFrame) -> DataFrame:
-    """Leave out pages of the portal that answers with a country notice."""
-    return df.where(~((F.col("provider") == "solcom") & is_blocked(F.col("html"))))
 
 
 def is_blocked(html: Column) -> Column:
     """True when the page, title included, holds a block phrase."""
-    from stellwerk.functions.text import contains_any
-
     return contains_any(html, fixed.BLOCK_PHRASES)
 
 
+def not_blocked(df: DataFrame) -> DataFrame:
+    """Leave out pages of the portal that answers with a country notice."""
+    return df.where(~((F.col("provider") == "solcom") & is_blocked(F.col("html"))))
+
+
 def extract_cards(pages: DataFrame) -> DataFrame:
     """One row per posting on each captured result page.
 
@@ -282,47 +315,39 @@ def extract_cards(pages: DataFrame) -> DataFrame:
     pass through. The limit cuts cards before unreadable ones are dropped.
     """
     keep = [c for c in pages.columns if c not in ("html", "location", "result_limit")]
-    live = not_blocked(pages).withColumnRenamed("location", "req_location")
-    dom = Dom(F.col("_nodes"))
-    none_card, none_offer = F.lit(None).cast(NODES_TYPE), F.lit(None).cast(OFFERS_ITEM)
-    chosen = F
-    for key, rules in CARD_RULES.items():
-        chosen = chosen.when(F.col("provider") == key, _cards_of(dom, rules))
-    offers = F.transform(
-        F.col("_offers"), lambda o: F.struct(none_card.alias("card"), o.alias("offer"))
-    )
-    cards = F.transform(chosen, lambda c: F.struct(c.alias("card"), none_offer.alias("offer")))
     is_offers = F.col("provider") == "ferchau"
-    items = (
-        live.withColumn("_offers", F.when(is_offers, offers_json(F.col("html"))))
+    cards = by_provider({k: _cards_of("_nodes", r) for k, r in CARD_RULES.items()})
+    items = F.when(
+        is_offers, F.expr(f"transform(_offers, o -> named_struct('card', CAST(NULL AS {NODES_TYPE}), 'offer', o))")
+    ).otherwise(F.expr(f"transform(_cards, c -> named_struct('card', c, 'offer', CAST(NULL AS {OFFER_TYPE})))"))
+    exploded = (
+        not_blocked(pages)
+        .withColumnRenamed("location", "req_location")
+        .withColumn("_offers", F.when(is_offers, offers_json(F.col("html"))))
         .withColumn("_nodes", html_nodes(F.when(~is_offers, F.col("html"))))
-        .withColumn("_items", F.slice(F.when(is_offers, offers).otherwise(cards), 1, F.col("result_limit")))
-        .select(*keep, "req_location", F.posexplode("_items").alias("pos", "_item"))
-        .withColumn("_card", F.col("_item.card"))
-        .withColumn("_offer", F.col("_item.offer"))
-        .withColumn("_offer_nodes", html_nodes(F.when(is_offers, offer_markup(F.col("_offer")))))
-    )
-    remote_search = F.lower(F.col("req_location")) == "remote"
-    fields = F.when(
-        is_offers,
-        F.struct(
-            *[v.alias(k) for k, v in offer_fields(F.col("_offer"), Dom(F.col("_offer_nodes")).text("\n")).items()]
-        ),
+        .withColumn("_cards", cards)
+        .select(*keep, "req_location", F.posexplode(F.slice(items, 1, F.col("result_limit"))).alias("pos", "_item"))
+        .select(*keep, "req_location", "pos", "_item.card", "_item.offer")
     )
-    for key, rules in CARD_RULES.items():
-        fields = fields.when(F.col("provider") == key, _card_struct(key, Dom(F.col("_card")), rules, remote_search))
-    criteria = search_criteria(F.col("query"), F.col("req_location"))
+    # Exploding the one-element list drops unreadable cards without a filter that Spark
+    # would push below, evaluating every rule a second time.
+    rules = by_provider({k: _raw_struct(Dom("card"), r) for k, r in CARD_RULES.items()})
+    readable = F.filter(F.array(rules), lambda r: F.col("offer").isNotNull() | (r["title"].isNotNull() & r["href"].isNotNull()))
+    raw = exploded.withColumn(
+        "_offer_nodes", html_nodes(F.when(is_offers, offer_markup(F.col("offer"))))
+    ).select(*keep, "req_location", "pos", "offer", "_offer_nodes", F.explode(readable).alias("_raw"))
+    from_offer = offer_fields(F.col("offer"), F.expr(Dom("_offer_nodes").text("\n")))
+    from_card = card_fields(F.col("provider"), F.col("_raw"), F.lower(F.col("req_location")) == "remote")
     others = [c for c in keep if c not in ("provider", "query")]
-    return (
-        items.withColumn("_p", fields)
-        .where(F.col("_p").isNotNull())
-        .select(*others, "provider", "pos", criteria.alias("search_criteria"), "_p.*")
+    return raw.select(
+        *others,
+        "provider",
+        "pos",
+        search_criteria(F.col("query"), F.col("req_location")).alias("search_criteria"),
+        *[F.when(is_offers, from_offer[f]).otherwise(from_card[f]).alias(f) for f in CARD_FIELDS],
     )
 
 
-OFFERS_ITEM = OFFERS_TYPE.split("Offers:array<", 1)[1][: -len(">>>>")]
-
-
 def search_criteria(query: Column, location: Column) -> Column:
     """How a search is named on its postings."""
     return F.concat(F.coalesce(query, F.lit("")), F.lit(" | "), F.coalesce(location, F.lit("")))

@@ -12,26 +12,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stellwerk import fixed
 from stellwerk.functions import cleanup, types
 from stellwerk.functions.html import (
-    NODES_TYPE,
     Dom,
+    Test,
     attr_is,
     attr_like,
+    bind,
     both,
     class_like,
     has_class,
     html_nodes,
-    page_title,
+    quote,
     tag,
 )
 from stellwerk.functions.links import offer_id_from_url
-from stellwerk.functions.text import text
-from stellwerk.operators.cards import offer_fields, offer_markup, offers_json
+from stellwerk.operators.cards import by_provider, offer_fields, offer_markup, offers_json
 from stellwerk.schema import DETAIL_FIELDS
 
-JSON_OPTIONS = {"allowSingleQuotes": "false"}
+LINE = "\n"
+JSON_OPTIONS = "map('allowSingleQuotes', 'false')"
 #: Fields that come as text, object or list are read as JSON text and looked into later.
 LD_TYPE = "array<struct<`@type`:string,title:string,description:string,hiringOrganization:string,jobLocation:string>>"
 STATE_TYPE = (
@@ -48,44 +48,61 @@ STATE_SCRIPT = both(
 # -- JSON-LD ---------------------------------------------------------------------------
 
 
-def ld_items(script: Column) -> Column:
+def ld_items(script: str) -> str:
     """Items of one JSON-LD text; a single object counts as a list of one. NULL if invalid."""
-    return F.from_json(F.nullif(script, F.lit("")), LD_TYPE, JSON_OPTIONS)
+    return f"from_json(nullif({script}, ''), {quote(LD_TYPE)}, {JSON_OPTIONS})"
 
 
-def first_ld(dom: Dom) -> Column:
+def first_ld(dom: Dom) -> str:
     """Items of the page's first JSON-LD script."""
-    return ld_items(dom.first(LD_SCRIPT, lambda d, _: d.script_text()))
+    return ld_items(dom.first(LD_SCRIPT, lambda d: d.script_text()))
 
 
-def all_ld(dom: Dom) -> Column:
+def all_ld(dom: Dom) -> str:
     """Items of all JSON-LD scripts up to the first invalid one."""
-    scripts = F.filter(dom.each(LD_SCRIPT, lambda d, _: d.script_text()), lambda s: s != "")
-    parsed = F.transform(scripts, ld_items)
-    bad = F.array_position(F.transform(parsed, lambda p: p.isNull()), F.lit(True))
-    return F.flatten(F.slice(parsed, 1, F.when(bad > 0, bad.cast("int") - 1).otherwise(F.size(parsed))))
+    scripts = f"filter({dom.each(LD_SCRIPT, lambda d: d.script_text())}, s -> s <> '')"
+    parsed = f"transform({scripts}, s -> {ld_items('s')})"
 
+    def valid(p: str) -> str:
+        bad = f"array_position(transform({p}, x -> x IS NULL), true)"
+        return f"flatten(slice({p}, 1, CAST(CASE WHEN {bad} > 0 THEN {bad} - 1 ELSE size({p}) END AS INT)))"
 
-def _object_text(json_text: Column, path: str) -> Column:
-    return F.when(F.startswith(F.ltrim(json_text), F.lit("{")), F.get_json_object(json_text, f"$.{path}"))
+    return bind(parsed, valid)
 
 
-def organisation(item: Column) -> Column:
-    return _object_text(item["hiringOrganization"], "name")
+def object_text(json_text: str, path: str) -> str:
+    """Text at ``path`` when the JSON text is an object."""
+    return f"CASE WHEN startswith(ltrim({json_text}), '{{') THEN get_json_object({json_text}, '$.{path}') END"
 
 
-def locality(item: Column, lists: bool = True) -> Column:
+def organisation(item: str) -> str:
+    return object_text(f"{item}.hiringOrganization", "name")
+
+
+def locality(item: str, lists: bool = True) -> str:
     """Town of an item whose location is an object or, with ``lists``, a list of them."""
-    place = item["jobLocation"]
-    single = _object_text(place, "address.addressLocality")
+    place = f"{item}.jobLocation"
+    single = object_text(place, "address.addressLocality")
     if not lists:
         return single
-    listed = F.startswith(F.ltrim(place), F.lit("["))
-    return F.when(listed, F.get_json_object(place, "$[0].address.addressLocality")).otherwise(single)
+    listed = f"get_json_object({place}, '$[0].address.addressLocality')"
+    return f"CASE WHEN startswith(ltrim({place}), '[') THEN {listed} ELSE {single} END"
+
+
+def _first_nonempty(values: str) -> str:
+    return f"try_element_at(filter({values}, v -> v IS NOT NULL AND v <> ''), 1)"
+
+
+def _nonempty(sql: str) -> str:
+    return f"nullif({sql}, '')"
 
 
-def _first_nonempty(values: Column) -> Column:
-    return F.try_element_at(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(1))
+def _given(sql: str) -> str:
+    return f"coalesce({sql}, '')"
+
+
+def _when(condition: str, sql: str) -> str:
+    return f"CASE WHEN {condition} THEN {sql} END"
 
 
 # -- portals ---------------------------------------------------------------------------
@@ -95,46 +112,30 @@ def _first_nonempty(values: Column) -> Column:
 class DetailRules:
     """How one portal's detail page is read.
 
-    ``markup`` names embedded HTML whose text is needed; it is parsed alongside the
-    page and handed to ``fields`` as a second :class:`Dom`.
+    ``fields`` gives SQL for any detail field, from the page and from the portal's
+    embedded markup (``markup``), which is parsed alongside. Fields other than the
+    description count only where a description was found, unless they ``always`` do.
     """
 
-    fields: Callable[[Dom, Dom, Column], dict[str, Column]]
-    markup: Callable[[Dom], Column] | None = None
-
-
-def _empty_as_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
-
+    fields: Callable[[Dom, Dom], dict[str, str]]
+    markup: Callable[[Dom], str] | None = None
+    always: bool = False
 
-def _parent_text(dom: Dom, node: Column) -> Column:
-    """Text of a node's parent; the whole page for a node at the top."""
-    parent = F.try_element_at(dom.nodes, F.nullif(node["parent"], F.lit(0)))
-    return F.when(node["parent"] > 0, dom.sub(parent).text()).otherwise(dom.text())
 
+def _linkedin_markup(dom: Dom) -> str:
+    return _first_nonempty(f"transform({first_ld(dom)}, i -> i.description)")
 
-def _linkedin_markup(dom: Dom) -> Column:
-    return _first_nonempty(F.transform(first_ld(dom), lambda i: i["description"]))
 
-
-def _linkedin(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
+def _linkedin(dom: Dom, embedded: Dom) -> dict[str, str]:
     containers = [
         both(tag("div"), has_class("show-more-less-html__markup")),
         both(tag("section"), has_class("description")),
         both(tag("article"), has_class("jobs-description")),
     ]
-    found = F.coalesce(
-        _empty_as_null(embedded.text("\n")), dom.first_of(containers, lambda d, _: d.text("\n")), F.lit("")
-    )
-    known = found != ""
-    return {
-        "description": found,
-        "work_location_type": F.when(known, types.work_type_from_text(found)),
-        "employment_type": F.when(known, types.employment_type_from_text(found)),
-    }
+    return {"description": f"coalesce({_nonempty(embedded.text(LINE))}, {dom.first_of(containers, lambda d: d.text(LINE))})"}
 
 
-def _hays(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
+def _hays(dom: Dom, embedded: Dom) -> dict[str, str]:
     containers = [
         both(tag("div"), has_class("job-description__content")),
         both(tag("div"), has_class("h-text")),
@@ -143,98 +144,87 @@ def _hays(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
         tag("article"),
     ]
     cut = ("script", "style", "iframe", "noscript")
-    found = F.coalesce(dom.first_of(containers, lambda d, _: d.text("\n", without=cut)), F.lit(""))
-    known = found != ""
+    header = dom.first_text(both(tag("div"), has_class("job-details__header-location")))
     # The label's parent holds the place.
-    labelled = dom.first(
-        lambda n: (n["tag"] == "span") & F.contains(dom.sub(n).raw_text(), F.lit("Einsatzort")),
-        lambda _, n: _parent_text(dom, n),
+    spans = dom.each(
+        tag("span"),
+        lambda d: f"CASE WHEN contains({d.raw_text()}, 'Einsatzort') THEN {d.parent_text(dom)} END",
     )
-    header = dom.first_text(both(tag("div"), has_class("job-details__header-location")))
+    labelled = f"try_element_at(filter({spans}, t -> t IS NOT NULL), 1)"
     return {
-        "description": found,
-        "title": F.when(known, dom.first_text(tag("h1"))),
-        "company": F.when(known, F.lit("Hays Client")),
-        "location": F.when(known, F.coalesce(header, cleanup.without_label(labelled, "Einsatzort"))),
+        "description": dom.first_of(containers, lambda d: d.text(LINE, without=cut)),
+        "title": dom.first_text(tag("h1")),
+        "company": "'Hays Client'",
+        "location": f"coalesce({header}, trim(replace({labelled}, 'Einsatzort', '')))",
     }
 
 
-def _solcom(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
-    heading = F.try_element_at(dom.matching(tag("h1")), F.lit(1))
-    around = lambda n: (
-        (n["tag"] == "div")
-        & class_like("content|main|project")(n)
-        & (n["no"] < heading["no"])
-        & (n["last"] >= heading["last"])
-    )
+def _solcom(dom: Dom, embedded: Dom) -> dict[str, str]:
+    def described(d: Dom) -> str:
+        items = d.each(tag("li"), lambda li: li.text())
+        return f"concat({d.text(LINE)}, {quote(LINE * 2 + 'SKILLS EXTRACT:' + LINE)}, array_join({items}, {quote(LINE)}))"
 
-    def described(d: Dom, _: Column) -> Column:
-        items = F.array_join(d.each(tag("li"), lambda li, _n: li.text()), "\n")
-        return F.concat(d.text("\n"), F.lit("\n\nSKILLS EXTRACT:\n"), items)
+    def around(heading: str) -> Test:
+        inside = lambda n: f"{n}.no < {heading}.no AND {n}.last >= {heading}.last"
+        return both(tag("div"), class_like("content|main|project"), inside)
 
-    found = F.coalesce(
-        dom.last(around, described),
-        dom.first(both(tag("div"), has_class("project-details")), described),
-        dom.first(both(tag("div"), has_class("description-content")), described),
+    containers = [both(tag("div"), has_class("project-details")), both(tag("div"), has_class("description-content"))]
+    found = bind(
+        f"try_element_at({dom.matching(tag('h1'))}, 1)",
+        lambda h: _when(
+            f"{h} IS NOT NULL", f"coalesce({dom.last(around(h), described)}, {dom.first_of(containers, described)})"
+        ),
     )
-    known = heading.isNotNull() & found.isNotNull()
-    return {
-        "description": F.when(known, found).otherwise(F.lit("")),
-        "company": F.when(known, F.lit("SOLCOM Client")),
-        "title": F.when(known, dom.first_text(tag("h1"))),
-    }
+    return {"description": found, "company": "'SOLCOM Client'", "title": dom.first_text(tag("h1"))}
 
 
-def _state(dom: Dom) -> Column:
-    script = dom.first(STATE_SCRIPT, lambda d, _: d.script_text())
-    return F.from_json(_empty_as_null(script), STATE_TYPE, JSON_OPTIONS)["project"]
+def _state(dom: Dom) -> str:
+    script = _nonempty(dom.first(STATE_SCRIPT, lambda d: d.script_text()))
+    return f"from_json({script}, {quote(STATE_TYPE)}, {JSON_OPTIONS}).project"
 
 
-def _freelancermap_markup(dom: Dom) -> Column:
-    return _empty_as_null(_state(dom)["description"])
+def _freelancermap_markup(dom: Dom) -> str:
+    return _nonempty(f"{_state(dom)}.description")
 
 
-def _freelancermap(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
-    project = _state(dom)
-    raw_company = text(project["company"])
-    state_company = F.coalesce(
-        _empty_as_null(
-            cleanup.strip(
-                F.when(raw_company.startswith("{"), text(F.get_json_object(raw_company, "$.name"))).otherwise(raw_company)
-            )
-        )
-    )
-    country = text(_object_text(project["country"], "localizedName"))
-    state_place = _empty_as_null(cleanup.strip(F.concat_ws(" ", text(project["city"]), country)))
-    skills = F.array_join(F.transform(project["skills"]["enabled"], lambda s: s["localizedName"]), ", ")
-    state_text = F.concat(
-        F.coalesce(embedded.text("\n"), F.lit("")),
-        F.when(F.size(project["skills"]["enabled"]) > 0, F.concat(F.lit("\n\nSkills: "), skills)).otherwise(F.lit("")),
+def _freelancermap(dom: Dom, embedded: Dom) -> dict[str, str]:
+    p = _state(dom)
+    own = f"{p}.company"
+    company = f"CASE WHEN startswith({own}, '{{') THEN get_json_object({own}, '$.name') ELSE {own} END"
+    country = _given(object_text(f"{p}.country", "localizedName"))
+    place = f"trim(concat_ws(' ', {_given(f'{p}.city')}, {country}))"
+    names = f"transform({p}.skills.enabled, s -> s.localizedName)"
+    skills = bind(
+        names,
+        lambda n: f"CASE WHEN size({n}) > 0 THEN concat({quote(LINE * 2 + 'Skills: ')}, array_join({n}, ', ')) ELSE '' END",
     )
-    postings = F.filter(all_ld(dom), lambda i: i["@type"] == "JobPosting")
-    ld_company = _first_nonempty(F.transform(postings, lambda i: cleanup.strip(organisation(i))))
-    ld_place = _first_nonempty(F.transform(postings, lambda i: cleanup.strip(locality(i, lists=False))))
+    postings = f"filter({all_ld(dom)}, i -> i.`@type` = 'JobPosting')"
+    ld_company = _first_nonempty(f"transform({postings}, i -> trim({organisation('i')}))")
+    ld_place = _first_nonempty(f"transform({postings}, i -> trim({locality('i', lists=False)}))")
     containers = [
         both(tag("div"), has_class("ql-editor")),
         both(tag("div"), has_class("project-body-description")),
         both(tag("div"), attr_is("id", "project-description")),
     ]
     firm = [both(tag("div"), has_class("company-name")), both(tag("a"), attr_like("href", "/profil/firma/"))]
+    own_text = _nonempty(f"concat({_given(embedded.text(LINE))}, {skills})")
     return {
-        "description": F.coalesce(
-            _empty_as_null(state_text), dom.first_of(containers, lambda d, _: d.text("\n")), F.lit("")
-        ),
-        "company": F.coalesce(state_company, ld_company, dom.first_of(firm, lambda d, _: d.text()), F.lit("")),
-        "title": cleanup.strip(text(project["title"])),
-        "location": F.coalesce(state_place, ld_place, F.lit("")),
+        "description": f"coalesce({own_text}, {dom.first_of(containers, lambda d: d.text(LINE))})",
+        "company": f"coalesce({_nonempty(f'trim({company})')}, {ld_company}, {dom.first_of(firm, lambda d: d.text())}, '')",
+        "title": _given(f"{p}.title"),
+        "location": f"coalesce({_nonempty(place)}, {ld_place}, '')",
     }
 
 
-def _xing(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
-    posting = F.try_element_at(first_ld(dom), F.lit(1))
-    heading = dom.first_text(tag("h1"))
-    name = F.coalesce(dom.first_text(tag("title")), cleanup.strip(page_title(page)), F.lit(""))
-    from_name = F.when(~F.contains(name, F.lit("XING")), cleanup.strip(F.substring_index(name, "|", 1)))
+def _xing(dom: Dom, embedded: Dom) -> dict[str, str]:
+    def fields(item: str) -> str:
+        return (
+            f"named_struct('title', {item}.title, 'company', {organisation(item)}, 'location', {_nonempty(locality(item))})"
+        )
+
+    posting = bind(f"try_element_at({first_ld(dom)}, 1)", fields)
+    name = dom.first_text(tag("title"))
+    from_name = f"CASE WHEN NOT contains({name}, 'XING') THEN trim(substring_index({name}, '|', 1)) END"
     containers = [
         both(tag("div"), attr_is("data-testid", "html-renderer")),
         both(tag("section"), attr_is("data-testid", "job-details-content")),
@@ -242,65 +232,69 @@ def _xing(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
         tag("main"),
     ]
     cut = ("script", "style", "nav", "header", "footer")
-    title = F.coalesce(_empty_as_null(posting["title"]), _empty_as_null(heading), from_name, F.lit(""))
-    found = F.coalesce(dom.first_of(containers, lambda d, _: d.text("\n", without=cut)), F.lit(""))
-    known = (title != "") | (found != "")
+    title = f"coalesce({_nonempty(f'{posting}.title')}, {_nonempty(dom.first_text(tag('h1')))}, {from_name}, '')"
+    found = _given(dom.first_of(containers, lambda d: d.text(LINE, without=cut)))
+    known = lambda f: f"{f}.title <> '' OR {f}.description <> ''"
+    # A title alone is enough for the page to count.
+    both_fields = bind(
+        f"named_struct('title', {title}, 'description', {found}, 'p', {posting})",
+        lambda f: f"CASE WHEN {known(f)} THEN {f} END",
+    )
     return {
-        "description": found,
-        "title": F.when(known, title),
-        "company": F.when(known, F.coalesce(organisation(posting), F.lit("XING Employer"))),
-        "location": F.when(known, F.coalesce(_empty_as_null(locality(posting)), F.lit("Germany"))),
+        "description": f"{both_fields}.description",
+        "title": f"{both_fields}.title",
+        "company": bind(both_fields, lambda f: f"CASE WHEN {f} IS NOT NULL THEN coalesce({f}.p.company, 'XING Employer') END"),
+        "location": bind(both_fields, lambda f: f"CASE WHEN {f} IS NOT NULL THEN coalesce({f}.p.location, 'Germany') END"),
     }
 
 
-def _gulp(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
+def _gulp(dom: Dom, embedded: Dom) -> dict[str, str]:
     tags = dom.first(
-        attr_is("data-testid", "readonlyTagsContainer"), lambda d, _: d.each(has_class("tag"), lambda t, _n: t.text())
+        attr_is("data-testid", "readonlyTagsContainer"), lambda d: d.each(has_class("tag"), lambda t: t.text())
     )
-    main = F.concat(
-        F.coalesce(dom.first_text(attr_is("data-testid", "readonlyValue"), "\n"), F.lit("")),
-        F.when(F.size(tags) > 0, F.concat(F.lit("\n\nSkills: "), F.array_join(tags, ", "))).otherwise(F.lit("")),
+    skills = bind(
+        tags,
+        lambda t: f"CASE WHEN size({t}) > 0 THEN concat({quote(LINE * 2 + 'Skills: ')}, array_join({t}, ', ')) ELSE '' END",
     )
+    main = f"concat({_given(dom.first_text(attr_is('data-testid', 'readonlyValue'), LINE))}, {skills})"
     containers = [both(tag("div"), has_class("project-details")), both(tag("div"), has_class("description-content"))]
-    found = F.coalesce(_empty_as_null(main), dom.first_of(containers, lambda d, _: d.text("\n")), F.lit(""))
-    known = found != ""
-    places = dom.each(
-        both(tag("i"), class_like("map-marker")),
-        lambda _, n: _parent_text(dom, n),
-    )
-    labelled = F.try_element_at(F.filter(places, lambda t: F.contains(t, F.lit("Location:"))), F.lit(1))
-    heading = F.coalesce(
-        dom.first_text(attr_is("data-testid", "projectTitle")), dom.first_text(tag("h1")), F.lit("")
-    )
+    places = dom.each(both(tag("i"), class_like("map-marker")), lambda d: d.parent_text(dom))
+    labelled = f"try_element_at(filter({places}, t -> contains(t, 'Location:')), 1)"
+    heading = f"{dom.first_text(attr_is('data-testid', 'projectTitle'))}, {dom.first_text(tag('h1'))}"
     return {
-        "description": found,
-        "title": F.when(known, heading),
-        "company": F.when(known, F.lit("GULP Client")),
-        "location": F.when(known, F.coalesce(cleanup.without_label(labelled, "Location:"), F.lit("Germany"))),
+        "description": f"coalesce({_nonempty(main)}, {dom.first_of(containers, lambda d: d.text(LINE))})",
+        "title": f"coalesce({heading}, '')",
+        "company": "'GULP Client'",
+        "location": f"coalesce(trim(replace({labelled}, 'Location:', '')), 'Germany')",
     }
 
 
-def _freelance_de(dom: Dom, embedded: Dom, page: Column) -> dict[str, Column]:
+def _freelance_de(dom: Dom, embedded: Dom) -> dict[str, str]:
     containers = [
         both(tag("div"), attr_is("id", "project-description")),
         both(tag("div"), has_class("panel-body")),
         both(tag("div"), has_class("project-detail-content")),
     ]
-    badges = dom.each(class_like("badge|tag|skill"), lambda d, _: d.text())
-    described = F.concat(
-        F.coalesce(dom.first_of(containers, lambda d, _: d.text("\n")), F.lit("")),
-        F.when(F.size(badges) > 0, F.concat(F.lit("\n\nSkills & Keywords: "), F.array_join(badges, ", "))).otherwise(
-            F.lit("")
-        ),
+    badges = bind(
+        dom.each(class_like("badge|tag|skill"), lambda d: d.text()),
+        lambda b: f"CASE WHEN size({b}) > 0 THEN concat({quote(LINE * 2 + 'Skills & Keywords: ')}, array_join({b}, ', ')) ELSE '' END",
+    )
+
+    def fact(item: Dom) -> str:
+        place, firm = item.mentions("fa-map-marker", "fa-location"), item.mentions("fa-building")
+        kind = f"CASE WHEN {place} THEN 'place' WHEN {firm} THEN 'company' END"
+        return f"named_struct('text', {item.text()}, 'kind', {kind})"
+
+    facts = bind(
+        dom.first(both(tag("ul"), class_like("fa-ul|icon-list|overview")), lambda d: d.nodes),
+        lambda items: Dom(items).each(tag("li"), fact),
     )
-    facts = Dom(dom.first(both(tag("ul"), class_like("fa-ul|icon-list|overview")), lambda d, _: d.nodes))
-    marked = lambda n: (n["tag"] == "li") & facts.sub(n).mentions("fa-map-marker", "fa-location")
-    firm = lambda n: (n["tag"] == "li") & facts.sub(n).mentions("fa-building") & ~marked(n)
+    last = lambda kind: f"try_element_at(filter({facts}, f -> f.kind = '{kind}'), -1).text"
     return {
-        "description": described,
-        "title": F.coalesce(cleanup.clean_project_heading(dom.first_text(tag("h1"))), F.lit("")),
-        "company": F.coalesce(facts.last(firm, lambda d, _: d.text()), F.lit("Freelance.de Client")),
-        "location": F.coalesce(facts.last(marked, lambda d, _: d.text()), F.lit("Germany/Remote")),
+        "description": f"concat({_given(dom.first_of(containers, lambda d: d.text(LINE)))}, {badges})",
+        "title": _given(dom.first_text(tag("h1"))),
+        "company": f"coalesce({last('company')}, 'Freelance.de Client')",
+        "location": f"coalesce({last('place')}, 'Germany/Remote')",
     }
 
 
@@ -308,10 +302,10 @@ DETAIL_RULES: dict[str, DetailRules] = {
     "linkedin": DetailRules(_linkedin, _linkedin_markup),
     "hays": DetailRules(_hays),
     "solcom": DetailRules(_solcom),
-    "freelancermap": DetailRules(_freelancermap, _freelancermap_markup),
-    "xing": DetailRules(_xing),
+    "freelancermap": DetailRules(_freelancermap, _freelancermap_markup, always=True),
+    "xing": DetailRules(_xing, always=True),
     "gulp": DetailRules(_gulp),
-    "freelance_de": DetailRules(_freelance_de),
+    "freelance_de": DetailRules(_freelance_de, always=True),
 }
 
 
@@ -329,9 +323,47 @@ def target_offer(offers: Column, target: Column, strict: bool = False) -> Column
     return own if strict else F.coalesce(own, F.try_element_at(offers, F.lit(1)))
 
 
-def _detail_struct(values: dict[str, Column]) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(*[values.get(f, none).alias(f) for f in DETAIL_FIELDS])
+def _raw_struct(rules: DetailRules) -> str:
+    """The portal's fields as a struct, the description never NULL.
+
+    Unless the portal's fields always count, a page without a description gives nothing
+    else either.
+    """
+    given = rules.fields(Dom("_nodes"), Dom("_embedded"))
+    null = "CAST(NULL AS STRING)"
+    description = _given(given["description"])
+
+    def struct(d: str) -> str:
+        parts = [f"'description', {d}"]
+        for f in DETAIL_FIELDS:
+            if f != "description":
+                value = given.get(f, null)
+                parts.append(f"'{f}', " + (value if rules.always else f"CASE WHEN {d} <> '' THEN {value} END"))
+        return f"named_struct({', '.join(parts)})"
+
+    return bind(description, struct)
+
+
+def detail_fields(provider: Column, raw: Column) -> dict[str, Column]:
+    """Detail columns from a page's raw fields."""
+    described = (provider == "linkedin") & (raw["description"] != "")
+    title = (
+        F.when(provider == "freelance_de", cleanup.clean_project_heading(raw["title"]))
+        .when(provider == "freelancermap", cleanup.strip(raw["title"]))
+        .otherwise(raw["title"])
+    )
+    return {
+        "title": title,
+        "company": raw["company"],
+        "location": raw["location"],
+        "description": raw["description"],
+        "work_location_type": F.when(described, types.work_type_from_text(raw["description"])).otherwise(
+            raw["work_location_type"]
+        ),
+        "employment_type": F.when(described, types.employment_type_from_text(raw["description"])).otherwise(
+            raw["employment_type"]
+        ),
+    }
 
 
 def extract_details(pages: DataFrame, strict_target: bool = False) -> DataFrame:
@@ -340,35 +372,27 @@ def extract_details(pages: DataFrame, strict_target: bool = False) -> DataFrame:
     ``pages`` needs ``link, provider, html``. A page that yields nothing gives an empty
     description and NULL elsewhere, as a failed page visit does.
     """
-    page = F.col("html")
-    dom, embedded = Dom(F.col("_nodes")), Dom(F.col("_embedded"))
-    is_offers = F.col("provider") == "ferchau"
-    markup = F.when(is_offers, offer_markup(F.col("_offer")))
-    for key, rules in DETAIL_RULES.items():
-        if rules.markup:
-            markup = markup.when(F.col("provider") == key, rules.markup(dom))
-    offer = offer_fields(F.col("_offer"), embedded.text("\n"))
-    fields = F.when(is_offers & F.col("_offer").isNotNull(), _detail_struct(offer))
-    for key, rules in DETAIL_RULES.items():
-        fields = fields.when(F.col("provider") == key, _detail_struct(rules.fields(dom, embedded, page)))
-    nothing = _detail_struct({"description": F.lit("")})
-    parsed = pages.withColumns(
-        {
-            "_offer": F.when(
-                is_offers, target_offer(offers_json(page), offer_id_from_url(F.col("link")), strict_target)
-            ),
-            "_nodes": html_nodes(F.when(~is_offers, page)),
-        }
-    ).withColumn("_embedded", html_nodes(markup))
+    page, provider = F.col("html"), F.col("provider")
+    is_offers = provider == "ferchau"
+    markup = by_provider({k: r.markup(Dom("_nodes")) for k, r in DETAIL_RULES.items() if r.markup})
     others = [c for c in pages.columns if c not in ("html", *DETAIL_FIELDS)]
-    return parsed.select(*others, F.coalesce(fields, nothing).alias("_d")).select(*others, "_d.*")
+    own_offer = target_offer(offers_json(page), offer_id_from_url(F.col("link")), strict_target)
+    parsed = (
+        pages.withColumns({"_offer": F.when(is_offers, own_offer), "_nodes": html_nodes(F.when(~is_offers, page))})
+        .withColumn("_embedded", html_nodes(F.when(is_offers, offer_markup(F.col("_offer"))).otherwise(markup)))
+        .withColumn("_raw", by_provider({k: _raw_struct(r) for k, r in DETAIL_RULES.items()}))
+    )
+    offer = offer_fields(F.col("_offer"), F.expr(Dom("_embedded").text(LINE)))
+    detail = detail_fields(provider, F.col("_raw"))
+    found = F.col("_offer").isNotNull()
+    columns = []
+    for f in DETAIL_FIELDS:
+        value = F.when(found, offer[f]).otherwise(detail[f])
+        columns.append((F.coalesce(value, F.lit("")) if f == "description" else value).alias(f))
+    return parsed.select(*others, *columns)
 
 
 def unreadable(pages: DataFrame) -> DataFrame:
     """Pages whose markup could not be parsed at all."""
-    return pages.withColumn("_nodes", html_nodes("html")).where(
-        F.col("_nodes").cast(NODES_TYPE).isNull() & F.col("html").isNotNull()
-    ).drop("_nodes")
-
-
-PORTALS = [key for key, *_ in fixed.PROVIDERS]
+    parsed = pages.withColumn("_nodes", html_nodes("html"))
+    return parsed.where(F.col("_nodes").isNull() & F.col("html").isNotNull()).drop("_nodes")
