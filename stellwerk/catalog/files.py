@@ -1,2 +1,162 @@
-def register(c):
-    pass
+"""Writing and reading back: runs, exports, link lists, the master table, the stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stellwerk import fixed
+from stellwerk.catalog import Catalog
+from stellwerk.catalog.base import POSTINGS, postings, quoted
+from stellwerk.catalog.lifecycle import as_postings
+from stellwerk.catalog.links import PORTAL_URLS, PROVIDER_SQL, portal_urls
+from stellwerk.catalog.reports import any_contains
+from stellwerk.plans.maintenance import maintain
+from stellwerk.plans.row_filters import by_title
+from stellwerk.session import shared_dir
+from stellwerk.sources import runs, sinks
+from stellwerk.streaming.sync import read_run_stream, start_sync
+
+#: Run rows: every header the postings view has, and the whole text in a header column.
+GIVEN = ["search_criteria", "provider", "title", "company", "location", "work_location_type", "employment_type",
+         "posted_at_relative", "link"]
+
+
+def run_rows(spark, sf):
+    return postings(spark, sf).withColumns(
+        {"relevance_score": (F.length("description") % 60).cast("int"), "salary_hint": F.col("description")}
+    )
+
+
+def event_runs(spark, sf):
+    """Events as postings of daily runs, with the time as text."""
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    return as_postings(spark, sf).select(
+        "seq", "link", "provider", F.substring("run_id", 1, 8).alias("run_id"), stamp.alias("scraped_at"),
+        F.col("value").cast("int").alias("relevance_score"),
+    )
+
+
+EVENT_RUNS = """
+SELECT event_id AS seq, concat(event_type, '/', cast(user_id AS STRING)) AS link, event_type AS provider,
+       strftime(ts, '%Y%m%d') AS run_id, date_trunc('second', ts) AS ts FROM events
+"""
+MASTER_SQL = f"""
+SELECT link, provider, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY link ORDER BY run_id, seq) AS rn FROM ({EVENT_RUNS})) WHERE rn = 1
+"""
+NOW = "2024-01-12 00:00:00"
+
+
+def register(c: Catalog) -> None:
+    @c.add(
+        "run_table",
+        f"""SELECT seq, run_id, job_id, description, cast(length(description) % 60 AS INTEGER) AS relevance_score,
+                   {', '.join(GIVEN)} FROM ({POSTINGS})""",
+    )
+    def run_table(spark, sf):
+        out = shared_dir(spark)
+        sinks.write_run(run_rows(spark, sf), out, ("json",))
+        rows = runs.scan_run_table(spark, f"{out}/all_jobs_raw.json")
+        return rows.select("seq", "run_id", "job_id", "description", "relevance_score", *GIVEN)
+
+    values = {g: g for g in GIVEN} | {
+        "relevance_score": "cast(length(description) % 60 AS STRING)", "salary_hint": "description"
+    }
+
+    @c.add(
+        "raw_export",
+        "SELECT " + ", ".join(f"{values.get(h, quoted(''))} AS {h}" for h in fixed.HEADERS) + f" FROM ({POSTINGS})",
+    )
+    def raw_export(spark, sf):
+        out = shared_dir(spark)
+        sinks.write_run(run_rows(spark, sf), out, ("csv",))
+        return runs.scan_raw_csv(spark, out).select(*fixed.HEADERS)
+
+    @c.add(
+        "raw_export_by_title",
+        f"SELECT DISTINCT link FROM ({POSTINGS}) WHERE {any_contains('lower(title)', fixed.TITLE_WORDS)}",
+    )
+    def raw_export_by_title(spark, sf):
+        out = shared_dir(spark)
+        sinks.write_run(run_rows(spark, sf), out, ("csv",))
+        return by_title(spark, out).select("link")
+
+    @c.add(
+        "link_list",
+        f"""SELECT url AS link, {PROVIDER_SQL} ELSE 'linkedin' END AS provider,
+            {', '.join(f'{quoted(v)} AS {k}' for k, v in fixed.MANUAL_TEMPLATE.items())}
+            FROM ({PORTAL_URLS}) WHERE NOT contains(url, '#top')""",
+    )
+    def link_list(spark, sf):
+        out = shared_dir(spark)
+        url = F.when(~F.contains("url", F.lit("#top")), F.col("url")).otherwise("")
+        rows = portal_urls(spark, sf).select(F.col("page_id").cast("string").alias("note"), url.alias("link"))
+        rows.write.options(**sinks.CSV_OPTIONS).csv(out)
+        return runs.scan_link_list(spark, out).select("link", "provider", *fixed.MANUAL_TEMPLATE)
+
+    @c.add(
+        "captured_scan",
+        f"SELECT page_id, {PROVIDER_SQL} END AS provider FROM pages",
+    )
+    def captured_scan(spark, sf):
+        return runs.scan_pages(spark, f"{sf}/pages.parquet").select("page_id", "provider")
+
+    @c.add("master_table", f"SELECT strftime(ts, '%Y%m') AS month, provider, count(*) AS n FROM ({MASTER_SQL}) GROUP BY ALL")
+    def master_table(spark, sf):
+        from stellwerk.operators.sync import new_postings
+
+        out = shared_dir(spark)
+        new = new_postings(event_runs(spark, sf), sinks.read_master(spark, out))
+        sinks.append_master(new, out)
+        return sinks.read_master(spark, out).groupBy("month", "provider").agg(F.count(F.lit(1)).alias("n"))
+
+    @c.add(
+        "dashboard_files",
+        f"""SELECT 'ALL_JOBS' AS sheet, count(*) AS n FROM ({POSTINGS})
+            UNION ALL SELECT substr(upper(provider), 1, 30), count(*) FROM ({POSTINGS}) GROUP BY 1""",
+    )
+    def dashboard_files(spark, sf):
+        out = shared_dir(spark)
+        sinks.write_dashboard(run_rows(spark, sf), out)
+        everything = spark.read.parquet(f"{out}/ALL_JOBS").select(F.lit("ALL_JOBS").alias("sheet"))
+        sheets = spark.read.parquet(f"{out}/sheets").select("sheet")
+        return everything.unionByName(sheets).groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+
+    @c.add(
+        "markdown_file",
+        f"SELECT concat('### ', row_number() OVER (ORDER BY relevance_score DESC, seq), '. ', title, ' (**', relevance_score, '%**)') AS line "
+        f"FROM (SELECT *, length(description) % 60 AS relevance_score FROM ({POSTINGS}))",
+    )
+    def markdown_file(spark, sf):
+        out = shared_dir(spark)
+        sinks.write_markdown(run_rows(spark, sf).withColumn("matching_skills", F.col("title")), out)
+        return spark.read.text(out).where(F.col("value").startswith("### ")).select(F.col("value").alias("line"))
+
+    @c.add(
+        "maintenance",
+        f"""SELECT (SELECT count(*) FROM ({MASTER_SQL})) AS new_rows,
+              (SELECT count(*) FROM ({MASTER_SQL}) WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS archived,
+              (SELECT concat(strftime(min(ts), '%Y%m'), '_', strftime(max(ts), '%Y%m'), '_archived_jobs') FROM ({MASTER_SQL})
+               WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS archive_name,
+              (SELECT count(DISTINCT run_id) FROM ({EVENT_RUNS}) WHERE strptime(run_id, '%Y%m%d') < TIMESTAMP '{NOW}' - INTERVAL 3 DAY)
+                AS expired_runs""",
+    )
+    def maintenance(spark, sf):
+        out = shared_dir(spark)
+        done = maintain(
+            spark, event_runs(spark, sf), f"{out}/master", f"{out}/master_next", f"{out}/history", f"{out}/dashboard",
+            F.lit(NOW + "+00:00").cast("timestamp"), retention_days=7, run_retention_days=3,
+        )
+        return done.expired.agg(F.count(F.lit(1)).alias("expired_runs")).select(
+            F.lit(done.new_rows).cast("long").alias("new_rows"), F.lit(done.archived).cast("long").alias("archived"),
+            F.lit(done.archive_name).alias("archive_name"), "expired_runs",
+        )
+
+    @c.add("stream_sync", f"SELECT DISTINCT link FROM ({EVENT_RUNS})")
+    def stream_sync(spark, sf):
+        """Run files arrive as a stream, some per batch; the master is read when all are in."""
+        out = shared_dir(spark)
+        sinks.write_run(event_runs(spark, sf), out, ("json",))
+        stream = read_run_stream(spark, f"{out}/all_jobs_raw.json", files_per_trigger=64)
+        start_sync(stream, f"{out}/master", f"{out}/checkpoint", available_now=True).awaitTermination()
+        return sinks.read_master(spark, f"{out}/master").select("link")

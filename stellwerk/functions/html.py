@@ -8,13 +8,20 @@ built-in expressions on that array.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from html.parser import HTMLParser
 from itertools import count
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
+from stellwerk.functions.text import EDGE_SPACE
+
+# Workers get this module's code with the tasks, whether or not the package is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template rt rp".split())
 
@@ -134,6 +141,11 @@ def quote(value: str) -> str:
     return f"'{escaped}'"
 
 
+def strip_sql(sql: str) -> str:
+    """SQL trimming every kind of white space."""
+    return f"regexp_replace({sql}, {quote(EDGE_SPACE)}, '')"
+
+
 _names = count()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 # Word characters as Unicode letters, numbers and underscore; Java's own \w is ASCII.
 WORD = r"[\p{L}\p{N}_]"
+EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def text(col: Column | str) -> Column:
@@ -18,7 +19,7 @@ def text(col: Column | str) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not just blanks."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(col, EDGE_SPACE, "")
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:

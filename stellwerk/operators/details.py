@@ -24,6 +24,7 @@ from stellwerk.functions.html import (
     has_class,
     html_nodes,
     quote,
+    strip_sql,
     tag,
 )
 from stellwerk.functions.links import offer_id_from_url
@@ -155,7 +156,7 @@ def _hays(dom: Dom, embedded: Dom) -> dict[str, str]:
         "description": dom.first_of(containers, lambda d: d.text(LINE, without=cut)),
         "title": dom.first_text(tag("h1")),
         "company": "'Hays Client'",
-        "location": f"coalesce({header}, trim(replace({labelled}, 'Einsatzort', '')))",
+        "location": f"coalesce({header}, {strip_sql(f"replace({labelled}, 'Einsatzort', '')")})",
     }
 
 
@@ -192,15 +193,15 @@ def _freelancermap(dom: Dom, embedded: Dom) -> dict[str, str]:
     own = f"{p}.company"
     company = f"CASE WHEN startswith({own}, '{{') THEN get_json_object({own}, '$.name') ELSE {own} END"
     country = _given(object_text(f"{p}.country", "localizedName"))
-    place = f"trim(concat_ws(' ', {_given(f'{p}.city')}, {country}))"
+    place = strip_sql(f"concat_ws(' ', {_given(f'{p}.city')}, {country})")
     names = f"transform({p}.skills.enabled, s -> s.localizedName)"
     skills = bind(
         names,
         lambda n: f"CASE WHEN size({n}) > 0 THEN concat({quote(LINE * 2 + 'Skills: ')}, array_join({n}, ', ')) ELSE '' END",
     )
     postings = f"filter({all_ld(dom)}, i -> i.`@type` = 'JobPosting')"
-    ld_company = _first_nonempty(f"transform({postings}, i -> trim({organisation('i')}))")
-    ld_place = _first_nonempty(f"transform({postings}, i -> trim({locality('i', lists=False)}))")
+    ld_company = _first_nonempty(f"transform({postings}, i -> {strip_sql(organisation('i'))})")
+    ld_place = _first_nonempty(f"transform({postings}, i -> {strip_sql(locality('i', lists=False))})")
     containers = [
         both(tag("div"), has_class("ql-editor")),
         both(tag("div"), has_class("project-body-description")),
@@ -210,7 +211,7 @@ def _freelancermap(dom: Dom, embedded: Dom) -> dict[str, str]:
     own_text = _nonempty(f"concat({_given(embedded.text(LINE))}, {skills})")
     return {
         "description": f"coalesce({own_text}, {dom.first_of(containers, lambda d: d.text(LINE))})",
-        "company": f"coalesce({_nonempty(f'trim({company})')}, {ld_company}, {dom.first_of(firm, lambda d: d.text())}, '')",
+        "company": f"coalesce({_nonempty(strip_sql(company))}, {ld_company}, {dom.first_of(firm, lambda d: d.text())}, '')",
         "title": _given(f"{p}.title"),
         "location": f"coalesce({_nonempty(place)}, {ld_place}, '')",
     }
@@ -224,7 +225,7 @@ def _xing(dom: Dom, embedded: Dom) -> dict[str, str]:
 
     posting = bind(f"try_element_at({first_ld(dom)}, 1)", fields)
     name = dom.first_text(tag("title"))
-    from_name = f"CASE WHEN NOT contains({name}, 'XING') THEN trim(substring_index({name}, '|', 1)) END"
+    from_name = f"CASE WHEN NOT contains({name}, 'XING') THEN {strip_sql(f"substring_index({name}, '|', 1)")} END"
     containers = [
         both(tag("div"), attr_is("data-testid", "html-renderer")),
         both(tag("section"), attr_is("data-testid", "job-details-content")),
@@ -265,7 +266,7 @@ def _gulp(dom: Dom, embedded: Dom) -> dict[str, str]:
         "description": f"coalesce({_nonempty(main)}, {dom.first_of(containers, lambda d: d.text(LINE))})",
         "title": f"coalesce({heading}, '')",
         "company": "'GULP Client'",
-        "location": f"coalesce(trim(replace({labelled}, 'Location:', '')), 'Germany')",
+        "location": f"coalesce({strip_sql(f"replace({labelled}, 'Location:', '')")}, 'Germany')",
     }
 
 

@@ -6,11 +6,16 @@ come from a run, ``run_id``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from stellwerk import fixed
 from stellwerk.functions.links import provider_from_url
+from stellwerk.functions.text import text
 from stellwerk.schema import RAW_CSV_SCHEMA, RUN_SCHEMA
+from stellwerk.sources.sinks import CSV_OPTIONS
 
 
 def _part(path: Column, from_end: int) -> Column:
@@ -57,27 +62,35 @@ def scan_run_folders(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_run_table(spark: SparkSession, path: str) -> DataFrame:
     """Postings written by :func:`stellwerk.sources.sinks.write_run`, by ``run_id``."""
-    schema = RUN_SCHEMA.add("seq", "long").add("run_id", "string")
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(run_table_schema()).json(path)
+
+
+def run_table_schema() -> StructType:
+    return StructType([*RUN_SCHEMA.fields, StructField("seq", LongType()), StructField("run_id", StringType())])
 
 
 def scan_raw_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``all_jobs_raw.csv`` below ``folder``: the fixed headers as text.
 
-    ``path`` and ``seq`` give file and row order. Quoted fields may span lines, so a file
-    is read by one task, in order.
+    The name may be a file or, as :func:`stellwerk.sources.sinks.write_run` leaves it, a
+    folder of parts. ``path`` and ``seq`` give file and row order. Quoted fields may span
+    lines, so a file is read by one task, in order.
     """
+    path = F.col("_metadata.file_path")
     return (
         spark.read.schema(RAW_CSV_SCHEMA)
+        .options(**CSV_OPTIONS)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", fixed.RAW_CSV)
-        .option("header", True)
+        .option("pathGlobFilter", "*.csv")
         .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
         .option("ignoreCorruptFiles", True)
         .csv(folder)
-        .withColumns({"path": F.col("_metadata.file_path"), "seq": F.monotonically_increasing_id()})
+        .where(path.rlike(rf"/{re.escape(fixed.RAW_CSV)}(/[^/]*)?$"))
+        .select(
+            *[text(h).alias(h) for h in fixed.HEADERS],
+            path.alias("path"),
+            F.monotonically_increasing_id().alias("seq"),
+        )
     )
 
 
@@ -85,9 +98,8 @@ def scan_link_list(spark: SparkSession, path: str) -> DataFrame:
     """Postings to inject by link, from a CSV with a ``link`` column."""
     name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
     rows = (
-        spark.read.option("header", True)
+        spark.read.options(**CSV_OPTIONS)
         .option("multiLine", True)
-        .option("escape", '"')
         .csv(path)
         .select("link", name.alias("file"), F.monotonically_increasing_id().alias("seq"))
     )

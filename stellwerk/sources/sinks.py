@@ -9,7 +9,14 @@ from stellwerk.operators.rank import canonical, dashboard, markdown_report, numb
 from stellwerk.operators.sync import parse_utc, utc_format
 from stellwerk.schema import RUN_FIELDS
 
-CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"', "emptyValue": ""}
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_run(df: DataFrame, path: str, formats=("csv",)) -> None:

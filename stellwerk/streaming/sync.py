@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stellwerk.operators.sync import new_postings
-from stellwerk.schema import RUN_SCHEMA
+from stellwerk.sources.runs import run_table_schema
 from stellwerk.sources.sinks import append_master, read_master
 
 
 def read_run_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """New run files (JSON lines, by run) as a stream."""
-    reader = spark.readStream.schema(RUN_SCHEMA.add("seq", "long").add("run_id", "string"))
+    reader = spark.readStream.schema(run_table_schema())
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path)
