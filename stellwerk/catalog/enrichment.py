@@ -32,7 +32,7 @@ from stellwerk.functions import language, score, skills, types
 from stellwerk.functions.text import scoring_text, words
 from stellwerk.operators.dedup import dedup_in_run
 from stellwerk.operators.enrich import enrich, enrich_two_pass, skill_columns, with_matches
-from stellwerk.operators.match_join import label_lists, match_join
+from stellwerk.operators.match_join import entry_counts, label_lists, match_join
 from stellwerk.operators.merge import merge_details
 from stellwerk.plans.search_run import RunSettings, ranked_results, scored_postings
 
@@ -63,7 +63,7 @@ SELECT p.* EXCLUDE (title, location, description, work_location_type),
 FROM ({FIRST_PASS}) p LEFT JOIN ({DETAILS}) d ON p.link = d.link
 """
 
-_NUMBERS_SQL = """
+_LEXICON_SQL = """
 SELECT list_name, category, entry_no, label, unnest(candidates) AS candidate FROM (
   SELECT 'bench' AS list_name, 'words' AS category, cast(item_id AS INTEGER) AS entry_no,
          concat('item ', cast(item_id AS STRING)) AS label,
@@ -73,6 +73,20 @@ SELECT list_name, category, entry_no, label, unnest(candidates) AS candidate FRO
 """
 
 
+def passage_lexicon(spark, sf):
+    """Lexicon derived from the benchmark passages: first word, and first two words."""
+    w = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")
+    first, second = F.get(F.col("w"), F.lit(0)), F.coalesce(F.get(F.col("w"), F.lit(1)), F.lit(""))
+    passages = table(spark, sf, "benchmark").select("item_id", w.alias("w")).where(first != "")
+    return passages.select(
+        F.lit("bench").alias("list_name"),
+        F.lit("words").alias("category"),
+        F.col("item_id").cast("int").alias("entry_no"),
+        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"),
+        F.explode(F.array(first, F.concat_ws(" ", first, second))).alias("candidate"),
+    )
+
+
 def register(c: Catalog) -> None:
     @c.add(
         "postings_ranked",
@@ -118,7 +132,7 @@ def register(c: Catalog) -> None:
         def skill(spark, sf):
             m = matching()
             found = with_matches(postings(spark, sf).select("seq", scoring_text().alias("_text")), m)
-            return found.select("seq", skill_columns(F.col("_matched"), m)[column].alias(column))
+            return found.select("seq", skill_columns("_matched", m)[column].alias(column))
 
     mine = labels_sql("txt", matching().mine())
     skill_query(
@@ -147,7 +161,7 @@ def register(c: Catalog) -> None:
         m = matching()
         found = with_matches(postings(spark, sf).select("seq", scoring_text().alias("_text")), m)
         return found.select(
-            "seq", *[skills.mentioned(F.col("_matched"), [e]).alias(f"m{i}") for i, e in enumerate(LEXICON)]
+            "seq", *[skills.mentioned("_matched", [e]).alias(f"m{i}") for i, e in enumerate(LEXICON)]
         )
 
     @c.add(
@@ -163,7 +177,7 @@ def register(c: Catalog) -> None:
     def category_counts(spark, sf):
         m = matching()
         found = with_matches(postings(spark, sf).select("seq", scoring_text().alias("_text")), m)
-        matched = F.col("_matched")
+        matched = "_matched"
         columns = []
         for n in CATEGORIES:
             columns.append(skills.match_count(matched, PROFILE.of(n)).alias(f"{n}_count"))
@@ -173,28 +187,24 @@ def register(c: Catalog) -> None:
     @c.add(
         "skill_match_join",
         f"""SELECT seq, array_to_string(list_sort(list_distinct(list(label))), ', ') AS labels FROM (
-              SELECT t.seq, l.label FROM {TXT} t JOIN ({_NUMBERS_SQL}) l
+              SELECT t.seq, l.label FROM {TXT} t JOIN ({_LEXICON_SQL}) l
               ON regexp_matches(t.txt, concat('(^|[^a-zA-Z0-9])', l.candidate, '($|[^a-zA-Z0-9])'))
             ) GROUP BY seq""",
     )
     def skill_match_join(spark, sf):
-        """Lexicon derived from the benchmark passages: first word, and first two words."""
-        bench = table(spark, sf, "benchmark")
-        w = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")
-        two = F.concat_ws(" ", F.get(F.col("w"), F.lit(0)), F.coalesce(F.get(F.col("w"), F.lit(1)), F.lit("")))
-        lexicon = (
-            bench.select("item_id", w.alias("w"))
-            .where(F.get(F.col("w"), F.lit(0)) != "")
-            .select(
-                F.lit("bench").alias("list_name"),
-                F.lit("words").alias("category"),
-                F.col("item_id").cast("int").alias("entry_no"),
-                F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"),
-                F.explode(F.array(F.get(F.col("w"), F.lit(0)), two)).alias("candidate"),
-            )
-        )
         txt = postings(spark, sf).select("seq", scoring_text().alias("_text"))
-        return label_lists(match_join(txt, lexicon))
+        return label_lists(match_join(txt, passage_lexicon(spark, sf), marks=False))
+
+    @c.add(
+        "entry_counts_join",
+        f"""SELECT seq, list_name, category, count(*) AS matches FROM (
+              SELECT DISTINCT t.seq, l.list_name, l.category, l.entry_no FROM {TXT} t JOIN ({_LEXICON_SQL}) l
+              ON regexp_matches(t.txt, concat('(^|[^a-zA-Z0-9])', l.candidate, '($|[^a-zA-Z0-9])'))
+            ) GROUP BY ALL""",
+    )
+    def entry_counts_join(spark, sf):
+        txt = postings(spark, sf).select("seq", scoring_text().alias("_text"))
+        return entry_counts(match_join(txt, passage_lexicon(spark, sf), marks=False))
 
     def score_query(name: str, category_map: str, weights: dict | None) -> None:
         @c.add(name, f"SELECT seq, relevance_score FROM ({enriched_sql(f'{NO_SALARY} ({POSTINGS})', category_map, weights)})")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-from stellwerk.functions.text import EDGE_SPACE
+from stellwerk.functions.text import EDGE_SPACE, quote
 
 # Workers get this module's code with the tasks, whether or not the package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,12 +135,6 @@ def html_nodes(pages: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), nodes)
 
 
-def quote(value: str) -> str:
-    """SQL text literal."""
-    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    return f"'{escaped}'"
-
-
 def strip_sql(sql: str) -> str:
     """SQL trimming every kind of white space."""
     return f"regexp_replace({sql}, {quote(EDGE_SPACE)}, '')"

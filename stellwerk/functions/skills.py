@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from stellwerk import fixed
+from stellwerk.functions.text import quote
 from stellwerk.sources.config import Entry
 
 _ALNUM = re.compile(r"[a-z0-9]+", re.ASCII)
@@ -33,8 +34,8 @@ def pattern(candidate: str) -> str:
     return f"(?:^|{BOUNDARY}){re.escape(candidate)}(?:$|{BOUNDARY})"
 
 
-def _string_array(values) -> Column:
-    return F.lit(list(values)) if values else F.array().cast("array<string>")
+def _array(values) -> str:
+    return f"CAST(array({', '.join(quote(v) for v in values)}) AS ARRAY<STRING>)"
 
 
 def _ordered_set(entries) -> list[str]:
@@ -45,59 +46,56 @@ def tokens(lower_text: Column) -> Column:
     return F.split(lower_text, f"{BOUNDARY}+")
 
 
-def token_hits(lower_text: Column, entries: list[Entry]) -> Column:
-    """Distinct tokens of the text that begin some candidate."""
+def token_hits(lower_text: str, entries: list[Entry]) -> Column:
+    """Distinct tokens of the text column that begin some candidate."""
     wanted = dict.fromkeys(
         first_token(c) for c in _ordered_set(entries) if c not in fixed.SUBSTRING_CANDIDATES and first_token(c)
     )
-    return F.array_intersect(tokens(lower_text), _string_array(wanted))
+    return F.array_intersect(tokens(F.col(lower_text)), F.expr(_array(wanted)))
 
 
-def matched_candidates(lower_text: Column, hits: Column, entries: list[Entry]) -> Column:
-    """Candidate texts found, given the row's :func:`token_hits`."""
+def matched_candidates(lower_text: str, hits: str, entries: list[Entry]) -> Column:
+    """Candidate texts found in a text column, given its :func:`token_hits` column."""
     candidates = _ordered_set(entries)
     substrings = [c for c in candidates if c in fixed.SUBSTRING_CANDIDATES]
     plain = [c for c in candidates if is_plain(c)]
     rest = [c for c in candidates if c not in substrings and not is_plain(c)]
-    checks = [F.when(F.contains(lower_text, F.lit(c)), F.lit(c)) for c in substrings]
+    checks = [f"CASE WHEN contains({lower_text}, {quote(c)}) THEN {quote(c)} END" for c in substrings]
     for c in rest:
-        test = F.contains(lower_text, F.lit(c)) & F.rlike(lower_text, F.lit(pattern(c)))
         lead = first_token(c)
-        checks.append(F.when(F.array_contains(hits, lead) & test if lead else test, F.lit(c)))
-    found = F.array_intersect(hits, _string_array(plain))
-    return F.concat(found, F.array_compact(F.array(*checks))) if checks else found
+        tests = [f"array_contains({hits}, {quote(lead)})"] if lead else []
+        tests += [f"contains({lower_text}, {quote(c)})", f"rlike({lower_text}, {quote(pattern(c))})"]
+        checks.append(f"CASE WHEN {' AND '.join(tests)} THEN {quote(c)} END")
+    found = f"array_intersect({hits}, {_array(plain)})"
+    return F.expr(f"concat({found}, array_compact(array({', '.join(checks)})))" if checks else found)
 
 
-def _lookup(entries: list[Entry], value) -> Column:
-    """Literal map: candidate text to the values of the entries it stands for."""
-    table: dict[str, list] = {}
+def _values(matched: str, entries: list[Entry], value, element: str) -> str:
+    """Distinct values of the entries that matched candidates stand for, by a literal map."""
+    if not entries:
+        return f"CAST(array() AS ARRAY<{element}>)"
+    lookup: dict[str, list[str]] = {}
     for number, e in enumerate(entries):
         for c in e.candidates:
-            table.setdefault(c, []).append(value(number, e))
-    return F.map_from_arrays(F.lit(list(table)), F.array(*[F.lit(v) for v in table.values()]))
-
-
-def _values(matched: Column, entries: list[Entry], value, element: str) -> Column:
-    if not entries:
-        return F.array().cast(f"array<{element}>")
-    table = _lookup(entries, value)
-    per_candidate = F.transform(matched, lambda c: F.try_element_at(table, c))
-    return F.array_distinct(F.flatten(F.filter(per_candidate, lambda v: v.isNotNull())))
+            lookup.setdefault(c, []).append(value(number, e))
+    pairs = ", ".join(f"{quote(c)}, array({', '.join(v)})" for c, v in lookup.items())
+    per_candidate = f"transform({matched}, c -> try_element_at(map({pairs}), c))"
+    return f"array_distinct(flatten(filter({per_candidate}, v -> v IS NOT NULL)))"
 
 
-def labels(matched: Column, entries: list[Entry], titled: bool = True) -> Column:
-    """Distinct labels of the entries with a matched candidate."""
-    return _values(matched, entries, lambda _, e: e.label.title() if titled else e.label, "string")
+def labels(matched: str, entries: list[Entry], titled: bool = True) -> Column:
+    """Distinct labels of the entries with a candidate in the ``matched`` column."""
+    return F.expr(_values(matched, entries, lambda _, e: quote(e.label.title() if titled else e.label), "STRING"))
 
 
-def match_count(matched: Column, entries: list[Entry]) -> Column:
+def match_count(matched: str, entries: list[Entry]) -> Column:
     """Number of entries (not labels) with a matched candidate."""
-    return F.size(_values(matched, entries, lambda n, _: n, "int"))
+    return F.expr(f"size({_values(matched, entries, lambda n, _: str(n), 'INT')})")
 
 
-def mentioned(matched: Column, entries: list[Entry]) -> Column:
+def mentioned(matched: str, entries: list[Entry]) -> Column:
     """True when any entry matches."""
-    return F.arrays_overlap(matched, _string_array(_ordered_set(entries))) if entries else F.lit(False)
+    return F.expr(f"arrays_overlap({matched}, {_array(_ordered_set(entries))})") if entries else F.lit(False)
 
 
 def joined(label_array: Column, limit: int | None = None) -> Column:

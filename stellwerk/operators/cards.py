@@ -28,11 +28,10 @@ from stellwerk.functions.html import (
     has_attr,
     has_class,
     html_nodes,
-    quote,
     tag,
 )
 from stellwerk.functions.links import canonical_link, job_id_from_href
-from stellwerk.functions.text import contains_any
+from stellwerk.functions.text import contains_any, quote
 from stellwerk.schema import CARD_FIELDS
 
 OFFER_TYPE = (

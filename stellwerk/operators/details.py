@@ -23,11 +23,11 @@ from stellwerk.functions.html import (
     class_like,
     has_class,
     html_nodes,
-    quote,
     strip_sql,
     tag,
 )
 from stellwerk.functions.links import offer_id_from_url
+from stellwerk.functions.text import quote
 from stellwerk.operators.cards import by_provider, offer_fields, offer_markup, offers_json
 from stellwerk.schema import DETAIL_FIELDS
 

@@ -54,12 +54,12 @@ def with_matches(df: DataFrame, m: Matching, text_col: str = "_text") -> DataFra
     it (the score, above all) is then evaluated on the array. Through a plain
     projection Spark would push the filter below and repeat the whole matching in it.
     """
-    hits = df.withColumn("_hits", skills.token_hits(F.col(text_col), list(m.entries)))
-    matched = skills.matched_candidates(F.col(text_col), F.col("_hits"), list(m.entries))
+    hits = df.withColumn("_hits", skills.token_hits(text_col, list(m.entries)))
+    matched = skills.matched_candidates(text_col, "_hits", list(m.entries))
     return hits.select(*df.columns, F.explode(F.array(matched)).alias("_matched"))
 
 
-def skill_columns(matched: Column, m: Matching) -> dict[str, Column]:
+def skill_columns(matched: str, m: Matching) -> dict[str, Column]:
     """The three joined label columns."""
     mine = skills.labels(matched, m.mine())
     everything = skills.labels(matched, list(m.lexicon))
@@ -70,7 +70,7 @@ def skill_columns(matched: Column, m: Matching) -> dict[str, Column]:
     }
 
 
-def score_columns(matched: Column, m: Matching) -> Column:
+def score_columns(matched: str, m: Matching) -> Column:
     names = [c for _, c in fixed.SCORED_CATEGORIES]
     return score.score_parts(
         {n: skills.match_count(matched, m.profile.of(n)) for n in names},
@@ -102,8 +102,8 @@ def enrich(df: DataFrame, m: Matching, breakdown: bool = False) -> DataFrame:
         }
     )
     out = with_matches(out, m)
-    out = out.withColumns(skill_columns(F.col("_matched"), m))
-    out = out.withColumn("score_parts", score_columns(F.col("_matched"), m))
+    out = out.withColumns(skill_columns("_matched", m))
+    out = out.withColumn("score_parts", score_columns("_matched", m))
     out = out.withColumn("relevance_score", score.relevance_score(F.col("score_parts")))
     return out.drop("_text", "_matched", *([] if breakdown else ["score_parts"]))
 

@@ -39,36 +39,66 @@ def _escaped(candidate: Column) -> Column:
 
 
 def _holds(text: Column, candidate: Column, how: Column) -> Column:
+    """The candidate stands in the text, between boundaries unless a substring will do."""
     bounded = F.concat(
         F.lit(f"(?:^|{skills.BOUNDARY})"), _escaped(candidate), F.lit(f"(?:$|{skills.BOUNDARY})")
     )
-    return F.when(how == "substring", F.contains(text, candidate)).otherwise(F.rlike(text, bounded))
+    return F.contains(text, candidate) & ((how == "substring") | F.rlike(text, bounded))
 
 
-def match_join(postings: DataFrame, lexicon: DataFrame, key: str = "seq", text: str = "_text", salts: int = 16) -> DataFrame:
-    """Distinct ``key, list_name, category, entry_no, label`` of matching entries.
+def _salted(df: DataFrame, salts: int) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
-    Every posting holds common words, so token keys are skewed: postings spread each
-    token over ``salts`` groups and the lexicon is repeated per salt. Spark decides by
-    size whether the lexicon is broadcast instead. Texts travel only to candidates that
-    need them; each posting's matches meet again by ``key``, which is unique.
+
+def match_candidates(
+    postings: DataFrame, lexicon: DataFrame, key: str = "seq", text: str = "_text", salts: int = 16, marks: bool = True
+) -> DataFrame:
+    """``key, salt, candidate`` for every candidate text found, once each.
+
+    Every posting holds common words, so lead keys are skewed: postings spread each lead
+    over ``salts`` groups and the lexicon is repeated per salt. Spark decides by size
+    whether the lexicon is broadcast instead. A posting's possible candidates (at most
+    the lexicon's) are gathered and meet its text once; plain ones match on the lead
+    alone. ``marks=False`` is for lexicons with an ASCII token in every candidate.
     """
-    lex = prepare_lexicon(lexicon).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    wanted = _salted(prepare_lexicon(lexicon.select("candidate").distinct()), salts)
     low = F.col(text)
-    leads = F.array_distinct(F.concat(skills.tokens(low), F.regexp_extract_all(low, F.lit(f"({MARK})"), 1)))
-    found = postings.select(key, F.explode(leads).alias("lead")).where(F.col("lead") != "")
-    salted = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    entry = [key, "list_name", "category", "entry_no", "label"]
-    hits = salted.join(lex, ["lead", "salt"]).select(*entry, "candidate", "how")
-    plain = hits.where(F.col("how") == "plain").select(*entry)
-    checked = (
-        hits.where(F.col("how") != "plain")
-        .join(postings.select(key, text), key)
-        .where(_holds(low, F.col("candidate"), F.col("how")))
+    leads = skills.tokens(low)
+    if marks:
+        leads = F.concat(leads, F.regexp_extract_all(low, F.lit(f"({MARK})"), 1))
+    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt")
+    found = postings.select(key, salt, F.explode(F.array_distinct(leads)).alias("lead")).where(F.col("lead") != "")
+    hits = found.join(wanted, ["lead", "salt"])
+    possible = hits.groupBy(key, "salt").agg(F.collect_list(F.struct("candidate", "how")).alias("_c"))
+    sure = F.filter("_c", lambda c: (c["how"] == "plain") | _holds(low, c["candidate"], c["how"]))
+    return (
+        possible.join(postings.select(key, text), key)
+        .select(key, "salt", F.explode(sure).alias("_c"))
+        .select(key, "salt", "_c.candidate")
+    )
+
+
+def match_join(
+    postings: DataFrame, lexicon: DataFrame, key: str = "seq", text: str = "_text", salts: int = 16, marks: bool = True
+) -> DataFrame:
+    """``key, list_name, category, entry_no, label`` of matching entries.
+
+    An entry appears once per matching candidate; count or collect it distinctly.
+    """
+    matched = match_candidates(postings, lexicon, key, text, salts, marks)
+    return matched.join(_salted(lexicon, salts), ["candidate", "salt"]).select(
+        key, "list_name", "category", "entry_no", "label"
+    )
+
+
+def entry_counts(matches: DataFrame, key: str = "seq") -> DataFrame:
+    """Matching entries per posting and category."""
+    return (
+        matches.groupBy(key, "list_name", "category", "entry_no").agg(F.first("label").alias("label"))
+        .groupBy(key, "list_name", "category").agg(F.count(F.lit(1)).alias("matches"))
     )
-    return plain.unionByName(checked.select(*entry)).distinct()
 
 
 def label_lists(matches: DataFrame, key: str = "seq", limit: int | None = None) -> DataFrame:
-    """Sorted distinct labels per posting, joined; at most one entry per lexicon label."""
+    """Sorted distinct labels per posting, joined; never more than the lexicon has."""
     return matches.groupBy(key).agg(skills.joined(F.collect_set("label"), limit).alias("labels"))

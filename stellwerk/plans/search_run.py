@@ -54,9 +54,13 @@ def scored_postings(
 
 
 def ranked_results(scored: DataFrame, settings: RunSettings = RunSettings()) -> DataFrame:
-    """Filtered postings, best first."""
+    """Filtered postings, best first.
+
+    A global sort first samples its input. The shuffle in front of it keeps the scored
+    rows, so that sampling reads them back instead of matching every posting twice.
+    """
     kept = filter_ranked(scored, settings.min_relevance_score, settings.exclude_keywords, settings.manual)
-    return rank_by_score(kept)
+    return rank_by_score(kept.repartition("seq"))
 
 
 def run_search(

@@ -19,6 +19,8 @@ def build_session(app_name: str = "stellwerk", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        # Recording the Python call site of every column operation dominates plan building.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.files.maxPartitionBytes": "134217728",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
