@@ -57,17 +57,20 @@ def write_markdown(df: DataFrame, path: str, order: str = "seq") -> None:
     sections.select(F.col("section").alias("value")).write.text(path)
 
 
+def _master_type(header: str) -> str:
+    return "int" if header == "relevance_score" else "string"
+
+
 def append_master(new: DataFrame, path: str, headers: list[str] = fixed.HEADERS) -> None:
     """Append postings to the master table, by month of ``scraped_at``."""
-    rows = new.select(
-        *[F.col(h) if h in new.columns else F.lit(None).cast("string").alias(h) for h in headers]
-    ).withColumn("month", F.coalesce(utc_format(parse_utc(F.col("scraped_at")), "yyyyMM"), F.lit("unknown")))
+    given = {h: F.col(h) if h in new.columns else F.lit(None) for h in headers}
+    rows = new.select(*[given[h].cast(_master_type(h)).alias(h) for h in headers]).withColumn("month", F.coalesce(utc_format(parse_utc(F.col("scraped_at")), "yyyyMM"), F.lit("unknown")))
     rows.write.mode("append").partitionBy("month").parquet(path)
 
 
 def read_master(spark: SparkSession, path: str, headers: list[str] = fixed.HEADERS) -> DataFrame:
     """The master table; an empty frame where nothing has been written yet."""
-    fields = ", ".join(f"{h} {'int' if h == 'relevance_score' else 'string'}" for h in headers)
+    fields = ", ".join(f"{h} {_master_type(h)}" for h in headers)
     schema = f"{fields}, month string"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
