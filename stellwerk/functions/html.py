@@ -11,13 +11,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from html.parser import HTMLParser
-from itertools import count
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-from stellwerk.functions.text import EDGE_SPACE, quote
+from stellwerk.functions.text import EDGE_SPACE, bind, fresh_name, quote
 
 # Workers get this module's code with the tasks, whether or not the package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -140,19 +139,6 @@ def strip_sql(sql: str) -> str:
     return f"regexp_replace({sql}, {quote(EDGE_SPACE)}, '')"
 
 
-_names = count()
-
-
-def _name() -> str:
-    return f"v{next(_names)}"
-
-
-def bind(value: str, use: Callable[[str], str]) -> str:
-    """``use`` of a value that is evaluated once, however often ``use`` mentions it."""
-    v = _name()
-    return f"element_at(transform(array({value}), {v} -> {use(v)}), 1)"
-
-
 #: A selector: SQL condition on a node.
 Test = Callable[[str], str]
 
@@ -206,14 +192,14 @@ class Dom:
         return f"{self.nodes}[0]"
 
     def matching(self, test: Test) -> str:
-        n = _name()
+        n = fresh_name()
         return f"filter({self.nodes}, {n} -> {test(n)})"
 
     def subtree(self, node: str) -> str:
         return f"slice({self.nodes}, {node}.no - {self.nodes}[0].no + 1, {node}.last - {node}.no + 1)"
 
     def _take(self, found: str, take: Callable[[Dom], str]) -> str:
-        n, d = _name(), _name()
+        n, d = fresh_name(), fresh_name()
         return f"transform(transform({found}, {n} -> {self.subtree(n)}), {d} -> {take(Dom(d))})"
 
     def each(self, test: Test, take: Callable[[Dom], str]) -> str:
@@ -235,7 +221,7 @@ class Dom:
         return "coalesce(" + ", ".join(self.first(t, take) for t in tests) + ")"
 
     def first_attr(self, test: Test, name: str) -> str:
-        n = _name()
+        n = fresh_name()
         return f"try_element_at(transform(slice({self.matching(test)}, 1, 1), {n} -> {attr(n, name)}), 1)"
 
     def parent_text(self, root: Dom) -> str:
@@ -247,16 +233,16 @@ class Dom:
 
     def text(self, sep: str = "", without: tuple[str, ...] = ()) -> str:
         """Stripped, non-blank visible texts joined by ``sep``; '' when there are none."""
-        n, t = _name(), _name()
+        n, t = fresh_name(), fresh_name()
         visible = f"filter({self.nodes}, {n} -> {n}.tag = '{TEXT}' AND {n}.text <> '')"
         if without:
-            n, c = _name(), _name()
+            n, c = fresh_name(), fresh_name()
             hides = lambda cut: f"NOT exists({cut}, {c} -> {n}.no > {c}.no AND {n}.no <= {c}.last)"
             visible = bind(self.matching(tag(*without)), lambda cut: f"filter({visible}, {n} -> {hides(cut)})")
         return f"array_join(transform({visible}, {t} -> {t}.text), {quote(sep)})"
 
     def _as_written(self, kind: str) -> str:
-        n, t = _name(), _name()
+        n, t = fresh_name(), fresh_name()
         kept = f"filter({self.nodes}, {n} -> {n}.tag = '{kind}')"
         return f"array_join(transform({kept}, {t} -> coalesce({t}.raw, {t}.text)), '')"
 
@@ -270,7 +256,7 @@ class Dom:
 
     def mentions(self, *needles: str) -> str:
         """True when tag, attribute or text of any node holds one of the needles."""
-        n = _name()
+        n = fresh_name()
         markup = (
             f"concat_ws(' ', {n}.tag, array_join(map_keys({n}.attrs), ' '), "
             f"array_join(map_values({n}.attrs), ' '), {n}.text)"

@@ -9,6 +9,7 @@ need their pattern tried. No shuffle, no Python at run time.
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, functions as F
 
@@ -17,7 +18,9 @@ from stellwerk.functions.text import quote
 from stellwerk.sources.config import Entry
 
 _ALNUM = re.compile(r"[a-z0-9]+", re.ASCII)
-BOUNDARY = "[^a-zA-Z0-9]"
+# Spelled out, the class is a bit set to Java; as ranges it is several times slower.
+ALNUM = string.digits + string.ascii_letters
+BOUNDARY = f"[^{ALNUM}]"
 
 
 def first_token(candidate: str) -> str | None:
@@ -42,8 +45,9 @@ def _ordered_set(entries) -> list[str]:
     return list(dict.fromkeys(c for e in entries for c in e.candidates))
 
 
-def tokens(lower_text: Column) -> Column:
-    return F.split(lower_text, f"{BOUNDARY}+")
+def tokens(lower_text: str) -> Column:
+    """ASCII tokens of a text column; empty ones may be among them."""
+    return F.split(F.col(lower_text), f"{BOUNDARY}+")
 
 
 def token_hits(lower_text: str, entries: list[Entry]) -> Column:
@@ -51,7 +55,7 @@ def token_hits(lower_text: str, entries: list[Entry]) -> Column:
     wanted = dict.fromkeys(
         first_token(c) for c in _ordered_set(entries) if c not in fixed.SUBSTRING_CANDIDATES and first_token(c)
     )
-    return F.array_intersect(tokens(F.col(lower_text)), F.expr(_array(wanted)))
+    return F.array_intersect(tokens(lower_text), F.expr(_array(wanted)))
 
 
 def matched_candidates(lower_text: str, hits: str, entries: list[Entry]) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +19,19 @@ def quote(value: str) -> str:
     return f"'{escaped}'"
 
 
+_names = count()
+
+
+def fresh_name() -> str:
+    return f"v{next(_names)}"
+
+
+def bind(value: str, use: Callable[[str], str]) -> str:
+    """``use`` of a value that is evaluated once, however often ``use`` mentions it."""
+    v = fresh_name()
+    return f"element_at(transform(array({value}), {v} -> {use(v)}), 1)"
+
+
 def text(col: Column | str) -> Column:
     """Column with NULL read as empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

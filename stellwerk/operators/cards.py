@@ -22,7 +22,6 @@ from stellwerk.functions.html import (
     attr,
     attr_is,
     attr_like,
-    bind,
     both,
     class_like,
     has_attr,
@@ -31,7 +30,7 @@ from stellwerk.functions.html import (
     tag,
 )
 from stellwerk.functions.links import canonical_link, job_id_from_href
-from stellwerk.functions.text import contains_any, quote
+from stellwerk.functions.text import bind, contains_any, quote
 from stellwerk.schema import CARD_FIELDS
 
 OFFER_TYPE = (

@@ -18,7 +18,6 @@ from stellwerk.functions.html import (
     Test,
     attr_is,
     attr_like,
-    bind,
     both,
     class_like,
     has_class,
@@ -27,7 +26,7 @@ from stellwerk.functions.html import (
     tag,
 )
 from stellwerk.functions.links import offer_id_from_url
-from stellwerk.functions.text import quote
+from stellwerk.functions.text import bind, quote
 from stellwerk.operators.cards import by_provider, offer_fields, offer_markup, offers_json
 from stellwerk.schema import DETAIL_FIELDS
 

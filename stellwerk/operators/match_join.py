@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stellwerk import fixed
 from stellwerk.functions import skills
 
-MARK = r"[^a-zA-Z0-9\s]"
+MARK = rf"[^{skills.ALNUM} \t\n\x0b\f\r]"
 
 
 def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def match_candidates(
     """
     wanted = _salted(prepare_lexicon(lexicon.select("candidate").distinct()), salts)
     low = F.col(text)
-    leads = skills.tokens(low)
+    leads = skills.tokens(text)
     if marks:
         leads = F.concat(leads, F.regexp_extract_all(low, F.lit(f"({MARK})"), 1))
     salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt")
