@@ -59,14 +59,16 @@ class CardRules:
     ``fields`` maps a card to SQL for any of :data:`RAW_FIELDS`. A NULL ``title`` or
     ``href`` drops the card. ``type_text`` is text that work and employment type are
     read from; without it ``employment`` and the portal's work type rule apply.
+    ``shared`` is SQL that several fields need: evaluated once, passed to ``fields``.
     """
 
     selectors: tuple[Test, ...]
-    fields: Callable[[Dom], dict[str, str]]
+    fields: Callable[[Dom, str], dict[str, str]]
     employment: str = ""
+    shared: Callable[[Dom], str] = lambda card: "0"
 
 
-def _linkedin(card: Dom) -> dict[str, str]:
+def _linkedin(card: Dom, _: str) -> dict[str, str]:
     title = card.first_text(both(tag("h3"), has_class("base-search-card__title")))
     company = card.first_text(both(tag("h4"), has_class("base-search-card__subtitle")))
     location = card.first_text(both(tag("span"), has_class("job-search-card__location")))
@@ -80,7 +82,7 @@ def _linkedin(card: Dom) -> dict[str, str]:
     }
 
 
-def _hays(card: Dom) -> dict[str, str]:
+def _hays(card: Dom, _: str) -> dict[str, str]:
     info = both(tag("div"), has_class("info-text"))
     rows = card.each(both(tag("div"), has_class("row")), lambda d: d.raw_text())
     return {
@@ -94,7 +96,7 @@ def _hays(card: Dom) -> dict[str, str]:
     }
 
 
-def _solcom(card: Dom) -> dict[str, str]:
+def _solcom(card: Dom, _: str) -> dict[str, str]:
     header = both(tag("div"), has_class("project-header"))
     pin = both(tag("li"), has_class("pin-icon"))
 
@@ -108,7 +110,7 @@ def _solcom(card: Dom) -> dict[str, str]:
     }
 
 
-def _freelancermap(card: Dom) -> dict[str, str]:
+def _freelancermap(card: Dom, _: str) -> dict[str, str]:
     link = both(tag("a"), attr_is("data-testid", "title"))
     return {
         "title": card.first_text(link),
@@ -118,7 +120,7 @@ def _freelancermap(card: Dom) -> dict[str, str]:
     }
 
 
-def _xing(card: Dom) -> dict[str, str]:
+def _xing(card: Dom, _: str) -> dict[str, str]:
     link = both(tag("a"), attr_like("href", "/jobs/"))
     return {
         "title": f"coalesce({card.first_text(tag('h2', 'h3'))}, {card.first_text(link)})",
@@ -143,9 +145,8 @@ def _last_fact(facts: str, kind: str) -> str:
     return f"try_element_at(filter({facts}, f -> f.kind = {quote(kind)}), -1).text"
 
 
-def _gulp(card: Dom) -> dict[str, str]:
-    link = both(tag("a"), has_attr("href"))
-    facts = _facts(
+def _gulp_facts(card: Dom) -> str:
+    return _facts(
         card,
         [both(tag("ul"), has_class("small")), both(tag("ul"), has_class("fa-ul"))],
         lambda item, text: {
@@ -154,6 +155,10 @@ def _gulp(card: Dom) -> dict[str, str]:
             "remote": f"{item.mentions('laptop-house')} OR contains({text}, 'Remote')",
         },
     )
+
+
+def _gulp(card: Dom, facts: str) -> dict[str, str]:
+    link = both(tag("a"), has_attr("href"))
     badges = card.each(both(tag("a"), has_class("badge")), lambda d: d.text())
     return {
         "title": f"coalesce({card.first_text(tag('h3'))}, {card.first_text(link)})",
@@ -165,9 +170,8 @@ def _gulp(card: Dom) -> dict[str, str]:
     }
 
 
-def _freelance_de(card: Dom) -> dict[str, str]:
-    link = both(tag("a"), attr_like("href", r"project\.php|projekte/"))
-    facts = _facts(
+def _freelance_de_facts(card: Dom) -> str:
+    return _facts(
         card,
         [both(tag("ul"), class_like("fa-ul|icon-list"))],
         lambda item, text: {
@@ -177,6 +181,10 @@ def _freelance_de(card: Dom) -> dict[str, str]:
             "company": f"contains({text}, 'Project Provider:')",
         },
     )
+
+
+def _freelance_de(card: Dom, facts: str) -> dict[str, str]:
+    link = both(tag("a"), attr_like("href", r"project\.php|projekte/"))
     return {
         "title": card.first_text(link),
         "company": _last_fact(facts, "company"),
@@ -196,9 +204,14 @@ CARD_RULES: dict[str, CardRules] = {
     ),
     "freelancermap": CardRules((both(tag("div"), has_class("project-card")),), _freelancermap, "Freelance"),
     "xing": CardRules((tag("article"),), _xing, "Full-time"),
-    "gulp": CardRules((tag("search-project-card"), both(tag("div"), has_class("list-result-item"))), _gulp, "Freelance"),
+    "gulp": CardRules(
+        (tag("search-project-card"), both(tag("div"), has_class("list-result-item"))), _gulp, "Freelance", _gulp_facts
+    ),
     "freelance_de": CardRules(
-        (tag("search-project-card"), both(tag("div"), has_class("project-item"))), _freelance_de, "Freelance"
+        (tag("search-project-card"), both(tag("div"), has_class("project-item"))),
+        _freelance_de,
+        "Freelance",
+        _freelance_de_facts,
     ),
 }
 
@@ -260,8 +273,11 @@ def offer_fields(offer: Column, description: Column) -> dict[str, Column]:
 
 
 def _raw_struct(card: Dom, rules: CardRules) -> str:
-    given = RAW_FIELDS | rules.fields(card)
-    return "named_struct(" + ", ".join(f"{quote(k)}, {v}" for k, v in given.items()) + ")"
+    def struct(shared: str) -> str:
+        given = RAW_FIELDS | rules.fields(card, shared)
+        return "named_struct(" + ", ".join(f"{quote(k)}, {v}" for k, v in given.items()) + ")"
+
+    return bind(rules.shared(card), struct)
 
 
 def card_fields(provider: Column, raw: Column, remote_search: Column) -> dict[str, Column]:

@@ -9,6 +9,7 @@ its rows to one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 RUN_KEY = ["job_id", "link"]
 
@@ -22,9 +23,12 @@ def first_by_key(df: DataFrame, key: list[str] | list[Column], order: list[str])
     """Keep the first row per key in ``order``; columns keep their sequence."""
     keys = [F.col(k) if isinstance(k, str) else k for k in key]
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    ranked = F.struct(*[F.col(o) for o in order], row.alias("_row"))
-    best = df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(ranked).alias("_best"))
-    return best.select("_best._row.*")
+    if any(isinstance(f.dataType, MapType) for f in df.schema.fields):  # maps have no order
+        best = F.min_by(row, F.struct(*order))
+    else:
+        best = F.min(F.struct(*order, row.alias("_row")))["_row"]
+    grouped = df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("_row"))
+    return grouped.select("_row.*")
 
 
 def dedup_in_run(df: DataFrame, order: list[str] | None = None, per_provider: bool = False) -> DataFrame:

@@ -115,18 +115,20 @@ class DetailRules:
     ``fields`` gives SQL for any detail field, from the page and from the portal's
     embedded markup (``markup``), which is parsed alongside. Fields other than the
     description count only where a description was found, unless they ``always`` do.
+    ``shared`` is SQL that several fields need: evaluated once, passed to ``fields``.
     """
 
-    fields: Callable[[Dom, Dom], dict[str, str]]
+    fields: Callable[[Dom, Dom, str], dict[str, str]]
     markup: Callable[[Dom], str] | None = None
     always: bool = False
+    shared: Callable[[Dom], str] = lambda dom: "0"
 
 
 def _linkedin_markup(dom: Dom) -> str:
     return _first_nonempty(f"transform({first_ld(dom)}, i -> i.description)")
 
 
-def _linkedin(dom: Dom, embedded: Dom) -> dict[str, str]:
+def _linkedin(dom: Dom, embedded: Dom, _: str) -> dict[str, str]:
     containers = [
         both(tag("div"), has_class("show-more-less-html__markup")),
         both(tag("section"), has_class("description")),
@@ -135,7 +137,7 @@ def _linkedin(dom: Dom, embedded: Dom) -> dict[str, str]:
     return {"description": f"coalesce({_nonempty(embedded.text(LINE))}, {dom.first_of(containers, lambda d: d.text(LINE))})"}
 
 
-def _hays(dom: Dom, embedded: Dom) -> dict[str, str]:
+def _hays(dom: Dom, embedded: Dom, _: str) -> dict[str, str]:
     containers = [
         both(tag("div"), has_class("job-description__content")),
         both(tag("div"), has_class("h-text")),
@@ -159,7 +161,7 @@ def _hays(dom: Dom, embedded: Dom) -> dict[str, str]:
     }
 
 
-def _solcom(dom: Dom, embedded: Dom) -> dict[str, str]:
+def _solcom(dom: Dom, embedded: Dom, _: str) -> dict[str, str]:
     def described(d: Dom) -> str:
         items = d.each(tag("li"), lambda li: li.text())
         return f"concat({d.text(LINE)}, {quote(LINE * 2 + 'SKILLS EXTRACT:' + LINE)}, array_join({items}, {quote(LINE)}))"
@@ -187,8 +189,7 @@ def _freelancermap_markup(dom: Dom) -> str:
     return _nonempty(f"{_state(dom)}.description")
 
 
-def _freelancermap(dom: Dom, embedded: Dom) -> dict[str, str]:
-    p = _state(dom)
+def _freelancermap(dom: Dom, embedded: Dom, p: str) -> dict[str, str]:
     own = f"{p}.company"
     company = f"CASE WHEN startswith({own}, '{{') THEN get_json_object({own}, '$.name') ELSE {own} END"
     country = _given(object_text(f"{p}.country", "localizedName"))
@@ -216,7 +217,9 @@ def _freelancermap(dom: Dom, embedded: Dom) -> dict[str, str]:
     }
 
 
-def _xing(dom: Dom, embedded: Dom) -> dict[str, str]:
+def _xing_found(dom: Dom) -> str:
+    """Title, description and JSON-LD fields; NULL on a page without title and description."""
+
     def fields(item: str) -> str:
         return (
             f"named_struct('title', {item}.title, 'company', {organisation(item)}, 'location', {_nonempty(locality(item))})"
@@ -234,21 +237,22 @@ def _xing(dom: Dom, embedded: Dom) -> dict[str, str]:
     cut = ("script", "style", "nav", "header", "footer")
     title = f"coalesce({_nonempty(f'{posting}.title')}, {_nonempty(dom.first_text(tag('h1')))}, {from_name}, '')"
     found = _given(dom.first_of(containers, lambda d: d.text(LINE, without=cut)))
-    known = lambda f: f"{f}.title <> '' OR {f}.description <> ''"
-    # A title alone is enough for the page to count.
-    both_fields = bind(
+    return bind(
         f"named_struct('title', {title}, 'description', {found}, 'p', {posting})",
-        lambda f: f"CASE WHEN {known(f)} THEN {f} END",
+        lambda f: f"CASE WHEN {f}.title <> '' OR {f}.description <> '' THEN {f} END",
     )
+
+
+def _xing(dom: Dom, embedded: Dom, found: str) -> dict[str, str]:
     return {
-        "description": f"{both_fields}.description",
-        "title": f"{both_fields}.title",
-        "company": bind(both_fields, lambda f: f"CASE WHEN {f} IS NOT NULL THEN coalesce({f}.p.company, 'XING Employer') END"),
-        "location": bind(both_fields, lambda f: f"CASE WHEN {f} IS NOT NULL THEN coalesce({f}.p.location, 'Germany') END"),
+        "description": f"{found}.description",
+        "title": f"{found}.title",
+        "company": _when(f"{found} IS NOT NULL", f"coalesce({found}.p.company, 'XING Employer')"),
+        "location": _when(f"{found} IS NOT NULL", f"coalesce({found}.p.location, 'Germany')"),
     }
 
 
-def _gulp(dom: Dom, embedded: Dom) -> dict[str, str]:
+def _gulp(dom: Dom, embedded: Dom, _: str) -> dict[str, str]:
     tags = dom.first(
         attr_is("data-testid", "readonlyTagsContainer"), lambda d: d.each(has_class("tag"), lambda t: t.text())
     )
@@ -269,7 +273,19 @@ def _gulp(dom: Dom, embedded: Dom) -> dict[str, str]:
     }
 
 
-def _freelance_de(dom: Dom, embedded: Dom) -> dict[str, str]:
+def _freelance_de_facts(dom: Dom) -> str:
+    def fact(item: Dom) -> str:
+        place, firm = item.mentions("fa-map-marker", "fa-location"), item.mentions("fa-building")
+        kind = f"CASE WHEN {place} THEN 'place' WHEN {firm} THEN 'company' END"
+        return f"named_struct('text', {item.text()}, 'kind', {kind})"
+
+    return bind(
+        dom.first(both(tag("ul"), class_like("fa-ul|icon-list|overview")), lambda d: d.nodes),
+        lambda items: Dom(items).each(tag("li"), fact),
+    )
+
+
+def _freelance_de(dom: Dom, embedded: Dom, facts: str) -> dict[str, str]:
     containers = [
         both(tag("div"), attr_is("id", "project-description")),
         both(tag("div"), has_class("panel-body")),
@@ -279,16 +295,6 @@ def _freelance_de(dom: Dom, embedded: Dom) -> dict[str, str]:
         dom.each(class_like("badge|tag|skill"), lambda d: d.text()),
         lambda b: f"CASE WHEN size({b}) > 0 THEN concat({quote(LINE * 2 + 'Skills & Keywords: ')}, array_join({b}, ', ')) ELSE '' END",
     )
-
-    def fact(item: Dom) -> str:
-        place, firm = item.mentions("fa-map-marker", "fa-location"), item.mentions("fa-building")
-        kind = f"CASE WHEN {place} THEN 'place' WHEN {firm} THEN 'company' END"
-        return f"named_struct('text', {item.text()}, 'kind', {kind})"
-
-    facts = bind(
-        dom.first(both(tag("ul"), class_like("fa-ul|icon-list|overview")), lambda d: d.nodes),
-        lambda items: Dom(items).each(tag("li"), fact),
-    )
     last = lambda kind: f"try_element_at(filter({facts}, f -> f.kind = '{kind}'), -1).text"
     return {
         "description": f"concat({_given(dom.first_of(containers, lambda d: d.text(LINE)))}, {badges})",
@@ -302,10 +308,10 @@ DETAIL_RULES: dict[str, DetailRules] = {
     "linkedin": DetailRules(_linkedin, _linkedin_markup),
     "hays": DetailRules(_hays),
     "solcom": DetailRules(_solcom),
-    "freelancermap": DetailRules(_freelancermap, _freelancermap_markup, always=True),
-    "xing": DetailRules(_xing, always=True),
+    "freelancermap": DetailRules(_freelancermap, _freelancermap_markup, always=True, shared=_state),
+    "xing": DetailRules(_xing, always=True, shared=_xing_found),
     "gulp": DetailRules(_gulp),
-    "freelance_de": DetailRules(_freelance_de, always=True),
+    "freelance_de": DetailRules(_freelance_de, always=True, shared=_freelance_de_facts),
 }
 
 
@@ -329,19 +335,22 @@ def _raw_struct(rules: DetailRules) -> str:
     Unless the portal's fields always count, a page without a description gives nothing
     else either.
     """
-    given = rules.fields(Dom("_nodes"), Dom("_embedded"))
-    null = "CAST(NULL AS STRING)"
-    description = _given(given["description"])
-
-    def struct(d: str) -> str:
-        parts = [f"'description', {d}"]
-        for f in DETAIL_FIELDS:
-            if f != "description":
-                value = given.get(f, null)
-                parts.append(f"'{f}', " + (value if rules.always else f"CASE WHEN {d} <> '' THEN {value} END"))
-        return f"named_struct({', '.join(parts)})"
-
-    return bind(description, struct)
+    dom, embedded, null = Dom("_nodes"), Dom("_embedded"), "CAST(NULL AS STRING)"
+
+    def struct(shared: str) -> str:
+        given = rules.fields(dom, embedded, shared)
+
+        def with_description(d: str) -> str:
+            parts = [f"'description', {d}"]
+            for f in DETAIL_FIELDS:
+                if f != "description":
+                    value = given.get(f, null)
+                    parts.append(f"'{f}', " + (value if rules.always else _when(f"{d} <> ''", value)))
+            return f"named_struct({', '.join(parts)})"
+
+        return bind(_given(given["description"]), with_description)
+
+    return bind(rules.shared(dom), struct)
 
 
 def detail_fields(provider: Column, raw: Column) -> dict[str, Column]:

@@ -32,7 +32,7 @@ def new_postings(batch: DataFrame, master: DataFrame, order: list[str] | None =
     with a small batch that test is a broadcast and the master is never shuffled.
     """
     unique = dedup_by_link(batch, order)
-    known = master.select("link").join(unique.select("link"), "link", "left_semi")
+    known = master.select("link").join(batch.select("link").distinct(), "link", "left_semi")
     return unique.join(known, "link", "left_anti").select(*batch.columns)
 
 

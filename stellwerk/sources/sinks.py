@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stellwerk import fixed
@@ -72,9 +73,12 @@ def read_master(spark: SparkSession, path: str, headers: list[str] = fixed.HEADE
     """The master table; an empty frame where nothing has been written yet."""
     fields = ", ".join(f"{h} {_master_type(h)}" for h in headers)
     schema = f"{fields}, month string"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def write_archive(archived: DataFrame, history: str, name: str) -> None:

@@ -171,7 +171,7 @@ def test_blocked_page_yields_nothing(spark):
 
 
 def test_further_portal_by_rules(spark):
-    rules = CardRules((tag("section"),), lambda c: {"title": c.first_text(tag("h5")), "href": c.first_attr(tag("a"), "href")}, "Full-time")
+    rules = CardRules((tag("section"),), lambda c, _: {"title": c.first_text(tag("h5")), "href": c.first_attr(tag("a"), "href")}, "Full-time")
     register_cards("other", rules)
     got = cards(spark, "other", '<section><h5>T</h5><a href="http://o/9">x</a></section><section>none</section>')
     assert [(r["title"], r["link"], r["job_id"], r["employment_type"]) for r in got] == [("T", "http://o/9", "9", "Full-time")]
