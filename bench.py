@@ -41,7 +41,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     catalog, spent = build(), {}
-    spark.range(1000).selectExpr("sum(id)").collect()
+    # One query outside the timed set starts the executor threads and loads classes.
+    catalog.queries["scoring_text"](spark, sf).write.format("noop").mode("overwrite").save()
     for name in HEADLINE:
         start = time.perf_counter()
         catalog.queries[name](spark, sf).write.format("noop").mode("overwrite").save()

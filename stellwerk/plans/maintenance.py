@@ -48,16 +48,20 @@ def rotate(
     ``<history>/<name>_quarantine``.
     """
     master = sinks.read_master(spark, master_path).withColumn("_ts", sync.parse_utc(F.col("scraped_at")))
-    split = master.withColumn("_class", sync.retention_class(F.col("_ts"), now, retention_days))
-    archived = split.where(F.col("_class") == "archived")
+    part = sync.retention_class(F.col("_ts"), now, retention_days)
+    month, unknown = F.col("month"), F.col("month") == "unknown"
+    cut_month = sync.utc_format(now - F.make_dt_interval(F.lit(retention_days)), "yyyyMM")
+    # The month conditions follow from the class; they let each read skip the other months' files.
+    archived = master.where((month <= cut_month) & ~unknown & (part == "archived"))
+    active = master.where((month >= cut_month) & ~unknown & (part == "active"))
     period = sync.archive_period(archived, F.col("_ts")).first()
     if period is None:
         return 0, None
-    keep = [*fixed.HEADERS, "month"]
-    sinks.write_archive(archived.select(*keep), history, period["name"])
-    sinks.write_archive(split.where(F.col("_class") == "quarantine").select(*keep), history, f"{period['name']}_quarantine")
-    split.where(F.col("_class") == "active").select(*keep).write.partitionBy("month").parquet(next_master_path)
-    return spark.read.parquet(f"{history}/{period['name']}").count(), period["name"]
+    keep, name = [*fixed.HEADERS, "month"], period["name"]
+    sinks.write_archive(archived.select(*keep), history, name)
+    sinks.write_archive(master.where(unknown).select(*keep), history, f"{name}_quarantine")
+    active.select(*keep).write.partitionBy("month").parquet(next_master_path)
+    return spark.read.parquet(f"{history}/{name}").count(), name
 
 
 def maintain(
