@@ -41,9 +41,14 @@ def sync_summary(new: DataFrame) -> DataFrame:
     return new.rollup("run_id").agg(F.count(F.lit(1)).alias("new_rows"))
 
 
+def days_before(now: Column, days: int) -> Column:
+    """Timestamp whole days of 24 hours earlier; interval arithmetic would follow the session zone's clock changes."""
+    return F.timestamp_micros(F.unix_micros(now) - F.lit(days * 86_400_000_000))
+
+
 def retention_class(scraped_at: Column, now: Column, retention_days: int = fixed.MASTER_RETENTION_DAYS) -> Column:
     """``active``, ``archived`` or, for unreadable times, ``quarantine``."""
-    cutoff = now - F.make_dt_interval(F.lit(retention_days))
+    cutoff = days_before(now, retention_days)
     return (
         F.when(scraped_at < cutoff, F.lit("archived"))
         .when(scraped_at >= cutoff, F.lit("active"))

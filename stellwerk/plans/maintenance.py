@@ -50,7 +50,7 @@ def rotate(
     master = sinks.read_master(spark, master_path).withColumn("_ts", sync.parse_utc(F.col("scraped_at")))
     part = sync.retention_class(F.col("_ts"), now, retention_days)
     month, unknown = F.col("month"), F.col("month") == "unknown"
-    cut_month = sync.utc_format(now - F.make_dt_interval(F.lit(retention_days)), "yyyyMM")
+    cut_month = sync.utc_format(sync.days_before(now, retention_days), "yyyyMM")
     # The month conditions follow from the class; they let each read skip the other months' files.
     archived = master.where((month <= cut_month) & ~unknown & (part == "archived"))
     active = master.where((month >= cut_month) & ~unknown & (part == "active"))
