@@ -32,11 +32,13 @@ def build_session(app_name: str = "stellwerk", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """Fresh folder below the cluster's checkpoint folder.
 
-    The session names that folder in ``spark.checkpoint.dir``. Where nothing is
-    named (single-machine tests) a temporary folder is set for the session.
+    The session names that folder in ``spark.checkpoint.dir``. Only a single-machine session
+    may leave it out, and gets a temporary one; on a cluster each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="stellwerk-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/stellwerk-{uuid.uuid4().hex}"
