@@ -11,6 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from stellwerk.llm.simhash import near_duplicates
 from stellwerk.llm.token_automaton import encode_decode
 from stellwerk.llm.token_counts import count_tokens
 
@@ -29,9 +30,14 @@ def op6_token_automaton(spark: SparkSession, sf: str) -> DataFrame:
     return encode_decode(_documents(spark, sf), public_tokenizers.path(WORD_BPE))
 
 
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_token_automaton": op6_token_automaton,
+    "op7_simhash": op7_simhash,
 }
 
 SQL: dict[str, str] = {}
