@@ -11,6 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from stellwerk.llm import licenses, line_quality
 from stellwerk.llm.simhash import near_duplicates
 from stellwerk.llm.token_automaton import encode_decode
 from stellwerk.llm.token_counts import count_tokens
@@ -22,6 +23,14 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf)).drop("spans")
+
+
+def op4_line_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return line_quality.rate(_documents(spark, sf))
+
+
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(_documents(spark, sf), public_tokenizers.path(WORD_BPE))
 
@@ -35,6 +44,8 @@ def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
+    "op4_line_quality": op4_line_quality,
     "op5_token_counts": op5_token_counts,
     "op6_token_automaton": op6_token_automaton,
     "op7_simhash": op7_simhash,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
@@ -14,3 +17,13 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body (or its lambdas) read it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sliding(n: Column, width: int) -> Column:
+    """Starts 0, 1, ... of the windows of ``width`` that fit into ``n``; empty if none fits."""
+    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
