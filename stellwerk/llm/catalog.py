@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stellwerk.llm import licenses, line_quality
+from stellwerk.llm import disclosure, licenses, line_quality
 from stellwerk.llm.simhash import near_duplicates
 from stellwerk.llm.token_automaton import encode_decode
 from stellwerk.llm.token_counts import count_tokens
@@ -43,12 +44,31 @@ def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf))
 
 
+def _equals(value: str) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
+def op10_disclosure(spark: SparkSession, sf: str) -> DataFrame:
+    found = disclosure.find(_documents(spark, sf))
+    counts = [
+        F.size(F.filter(F.transform("pii_base", lambda s: s["kind"]), _equals(kind))).cast("long").alias(f"n_{kind}")
+        for kind in disclosure.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(disclosure.digest_text(F.col("pii_base")), 256).alias("base_sha256"),
+        disclosure.digest_text(F.col("pii_spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op4_line_quality": op4_line_quality,
     "op5_token_counts": op5_token_counts,
     "op6_token_automaton": op6_token_automaton,
     "op7_simhash": op7_simhash,
+    "op10_disclosure": op10_disclosure,
 }
 
 SQL: dict[str, str] = {}
