@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import decontamination, disclosure, licenses, line_quality
+from stellwerk.llm import cross_parsing, decontamination, disclosure, licenses, line_quality
 from stellwerk.llm.simhash import near_duplicates
 from stellwerk.llm.token_automaton import encode_decode
 from stellwerk.llm.token_counts import count_tokens
@@ -32,6 +32,10 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.find_leaks(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op3_cross_parsing(spark: SparkSession, sf: str) -> DataFrame:
+    return cross_parsing.identify(_documents(spark, sf))
+
+
 def op4_line_quality(spark: SparkSession, sf: str) -> DataFrame:
     return line_quality.rate(_documents(spark, sf))
 
@@ -69,6 +73,7 @@ def op10_disclosure(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_decontamination": op2_decontamination,
+    "op3_cross_parsing": op3_cross_parsing,
     "op4_line_quality": op4_line_quality,
     "op5_token_counts": op5_token_counts,
     "op6_token_automaton": op6_token_automaton,
