@@ -1,4 +1,8 @@
-"""A corpus pipeline: the stages, and a run over all of them."""
+"""A corpus pipeline over ``documents``: five stages, each by one of the corpus operators.
+
+Every stage takes what its predecessor kept and returns the columns of ``documents``; the last one
+returns the token identifiers of what is left.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,54 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stellwerk.llm.token_automaton import encode_decode
+from stellwerk.llm import cross_parsing, decontamination, disclosure, simhash, token_automaton
 from stellwerk.session import materialise
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those that no language fits."""
+    return cross_parsing.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, the one with the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and the terms that give it away."""
+    clean = disclosure.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token identifiers of every remaining text."""
-    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token identifiers of every remaining text, with digests of them and of what they decode to."""
+    return token_automaton.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("bpe", bpe)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("pii", pii),
+    ("bpe", bpe),
+]
 
-#: Fingerprints, cross-parsing and merges have no SQL form; tests compare with brute force.
+#: Automata, fingerprints and merges have no SQL form; a test compares with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
-        docs = materialise(docs) if k < len(STAGES) else docs
+        docs = docs if k == len(STAGES) else materialise(docs)
     return docs
