@@ -152,44 +152,32 @@ def _codec(path: str) -> Codec:
 
 
 def encode_decode(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
-    """``id_col``, n_tokens, ids_sha256, decoded_sha256 for every row; with ``texts`` also ids and decoded.
+    """``id_col``, n_tokens, ids_sha256, decoded_sha256 for every row; ``with_ids`` adds ids.
 
-    ids is the decimal identifiers joined by one space, decoded their labels joined likewise. A
-    null text is encoded as an empty one (0 tokens, digests of the empty string). Repeated rows
-    are kept; other columns are not read. ``tokenizer_path`` must exist on every executor.
+    ids is the decimal identifiers joined by one space, decoded their labels joined likewise; both
+    digests are lowercase hex. A null text is encoded as an empty one (0 tokens, digests of the
+    empty string). Repeated rows are kept; other columns are not read. ``tokenizer_path`` must
+    exist on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokenizer_path)
         for batch in batches:
-            counts, ids, decoded = [], [], []
+            counts, digests, decoded, ids = [], [], [], []
             for text in batch.column(1):
                 codes = codec.encode(text.as_py() or "")
-                joined, labels = " ".join(codes), codec.decode(codes)
+                joined = " ".join(codes)
                 counts.append(joined.count(" ") + 1 if joined else 0)
-                if texts:
-                    ids.append(joined)
-                    decoded.append(labels)
-                else:
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(labels.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                names=["id", "n_tokens", "a", "b"],
-            )
+                digests.append(hashlib.sha256(joined.encode()).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(codes).encode()).hexdigest())
+                ids.append(joined if with_ids else None)
+            columns = [pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in (digests, decoded, ids))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_tokens", "a", "b", "c"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    coded = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, a string, b string")
-    if not texts:
-        return coded.select(F.col("id").alias(id_col), "n_tokens", F.col("a").alias("ids_sha256"), F.col("b").alias("decoded_sha256"))
-    return coded.select(
-        F.col("id").alias(id_col),
-        "n_tokens",
-        F.sha2("a", 256).alias("ids_sha256"),
-        F.sha2("b", 256).alias("decoded_sha256"),
-        F.col("a").alias("ids"),
-        F.col("b").alias("decoded"),
-    )
+    coded = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, a string, b string, c string")
+    named = {"id": id_col, "a": "ids_sha256", "b": "decoded_sha256", "c": "ids"}
+    return (coded if with_ids else coded.drop("c")).withColumnsRenamed(named)
