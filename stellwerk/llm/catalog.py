@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.llm import chat_format, cross_parsing, decontamination, disclosure, licenses, line_quality, toxicity
+from stellwerk.llm.oracle import SQL  # noqa: F401  for those that SQL can express
 from stellwerk.llm.simhash import near_duplicates
 from stellwerk.llm.token_automaton import encode_decode
 from stellwerk.llm.token_counts import count_tokens
@@ -94,4 +95,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_disclosure": op10_disclosure,
 }
 
-SQL: dict[str, str] = {}

@@ -124,15 +124,11 @@ def _near(found: DataFrame) -> DataFrame:
         ).alias("c"),
     ).select("id", "mark", "entity", "c.*")
 
-    # Other entities are blanked out with as many characters.
-    def blank(side: Column, pattern: str) -> Column:
-        def blanked(found: Column) -> Column:
-            pieces = F.arrays_zip(F.split(side, pattern, -1).alias("0"), found.alias("1"))
-            gap = lambda p: F.repeat(F.lit(" "), F.coalesce(F.length(p["1"]), F.lit(0)))
-            return F.array_join(F.transform(pieces, lambda p: F.concat(p["0"], gap(p))), "")
-
-        found = F.regexp_extract_all(side, F.lit(pattern), F.lit(0))
-        return F.when(side.rlike(pattern), let(found, blanked)).otherwise(side)
+    # Addresses, the only entities with letters, are blanked out with as many characters.
+    def blank(found: Column) -> Column:
+        pieces = F.arrays_zip(F.split("side", PATTERNS["email"], -1).alias("0"), found.alias("1"))
+        gap = lambda p: F.repeat(F.lit(" "), F.coalesce(F.length(p["1"]), F.lit(0)))
+        return F.array_join(F.transform(pieces, lambda p: F.concat(p["0"], gap(p))), "")
 
     def terms(side: Column) -> Column:
         def add(acc: Column, piece: Column) -> Column:
@@ -147,8 +143,8 @@ def _near(found: DataFrame) -> DataFrame:
             lambda m: F.aggregate(F.arrays_zip(F.slice(F.split(side, TERM, -1), F.lit(1), F.size(m)).alias("0"), m.alias("1")), empty, add)["out"],
         )
 
-    for pattern in PATTERNS.values():
-        one = one.withColumn("side", blank(F.col("side"), pattern))
+    found = F.regexp_extract_all("side", F.lit(PATTERNS["email"]), F.lit(0))
+    one = one.withColumn("side", F.when(F.col("side").contains("@"), let(found, blank)).otherwise(F.col("side")))
     one = one.where(F.col("side").rlike(TERM))
     one = one.withColumn("terms", terms(F.col("side")))
     whole = F.filter("terms", lambda t: F.when(F.col("left"), (t["start"] > 0) | (F.col("at") == 0)).otherwise(t["end"] < NEAR_CHARS))

@@ -78,7 +78,7 @@ def _own_lines(text: Column) -> Column:
     """Normalised lines that hold a word: hash, words, and whether it is the first such line of the text."""
 
     def line(x: Column) -> Column:
-        clean = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[0-9]+", "0"), "\\s+", " ")
+        clean = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[0-9]+", "0"), f"{SPACE}+", " ")
         return F.struct(F.xxhash64(clean).alias("hash"), F.regexp_count(x, F.lit(f"[^{SPACE[1:-1]}]+")).alias("words"))
 
     def marked(lines: Column) -> Column:

@@ -6,7 +6,8 @@ another; the gadget of a merge ``u v -> uv``
 
 * splits the state that ``u`` leads to: ``u`` now leads to a copy of it without the arc ``v``,
   so that ``u v`` can no longer be read as two tokens;
-* adds an arc ``uv`` to every state that has an arc ``u``, leading where ``v`` leads.
+* adds an arc ``uv`` to every state that has an arc ``u``, leading where ``v`` leads (if ``u`` led to
+  a state with an arc ``v``; otherwise nothing ever spells ``u v``).
 
 All arcs of one token lead to one state (true at the start and kept by every gadget), so a
 state is named by a token that leads to it. Written out, the table would have states x tokens
@@ -51,19 +52,24 @@ class TokenAutomaton:
         self._parts: dict[str, tuple[str, str]] = {}
         #: (token, arc) -> step at which the state of the token lost the arc.
         self._lost: dict[tuple[str, str], int] = {}
+        #: Tokens that no state has an arc for.
+        self._unread: set[str] = set()
         for step, (u, v) in enumerate(merges, 1):
             self._compile(step, u, v)
 
     def _compile(self, step: int, u: str, v: str) -> None:
         if u not in self._step or v not in self._step or u + v in self._step:
             raise ValueError(f"merge {step} ({u} {v}) needs tokens made before it and must make a new one")
-        self._lost[u, v] = step
+        if u in self._unread or not self.has_arc(u, v):
+            self._unread.add(u + v)  # an earlier merge always takes u or v away: no arc is added
+        else:
+            self._lost[u, v] = step
         self._step[u + v], self._parts[u + v] = step, (u, v)
 
     def has_arc(self, state: str | None, token: str) -> bool:
         """Whether the state has an arc for the token."""
-        if state is None:
-            return True
+        if state is None or token in self._unread:
+            return token not in self._unread
         lost, step, parts = self._lost, self._step, self._parts
         arc, arc_until = token, len(step)
         while True:
