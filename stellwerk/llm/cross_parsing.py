@@ -4,7 +4,8 @@ Each language has a suffix automaton of a reference: a sample of labelled text.
 parsed against it into the longest phrases that occur in the reference; a document in the
 same language needs few of them. Phrases are normalised to bits per character,
 ``phrases * log2(reference length) / characters``, an estimate of the cross entropy, and the
-language with the fewest wins.
+language with the fewest wins. Its score is its weight against the others', and against parsing
+into little more than single letters, which is what an unknown script comes to.
 
 Texts of a batch are parsed side by side, one character of each at a time in each language, so
 the work is array look-ups in the automata's transition tables.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 SAMPLE_TEXTS, STRETCH, REFERENCE = 120, 400, 30_000
 #: Different letters told apart; rarer ones are like letters never seen.
 LETTERS = 62
-#: Below this score no language of the sample fits a text better than the others do.
+#: Characters per phrase, on average, below which a text is not in a language.
+LEAST_PHRASE = 4 / 3
+#: Below this score no language of the sample fits a text, or none fits better than the others do.
 MIN_SCORE = 0.4
 UNKNOWN = "und"
 #: Characters parsed side by side within a batch.
@@ -145,7 +148,10 @@ class CrossParser:
             count, sizes, letters = self.phrases(block)
             bits = count * np.array(self._bits)[:, None] / np.maximum(sizes, 1)
             best = bits.argmin(axis=0)
-            score = 1 / np.exp2(-6 * (bits - bits.min(axis=0))).sum(axis=0)
+            # One more rival: a language that offers next to nothing but single letters.
+            least = bits.min(axis=0)
+            rivals = np.concatenate((bits, np.full((1, len(block)), min(self._bits) / LEAST_PHRASE)))
+            score = 1 / np.exp2(np.minimum(-6 * (rivals - least), 500)).sum(axis=0)
             out += [
                 (self.languages[b], float(s)) if some else (UNKNOWN, 0.0) for b, s, some in zip(best, score, letters > 0)
             ]
