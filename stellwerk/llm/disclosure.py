@@ -6,8 +6,8 @@ together: with n(t, e) documents in which t stands near e, n(t) documents with t
 and N in all, the pointwise mutual information log(n(t, e) N / (n(t) n(e))) is set against the
 information of the entity itself, log(N / n(e)). A term that reveals at least REMOVE of it is
 removed, one that reveals at least GENERALISE is replaced by a general word. Ties are only
-believed if they were seen in several different surroundings, so that copies of one
-document do not count as evidence.
+believed if they were seen in several documents and in as many different surroundings, so
+that neither copies nor repetitions within a document count as evidence.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ HINTS = {"email": "@", "phone": "+", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "car
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Characters looked at on each side of an entity, and words taken there.
 NEAR_CHARS, NEAR_WORDS = 120, 8
-#: Different surroundings that must tie a term to an entity, and the shares of its information.
+#: Documents, and different surroundings, that must tie a term to an entity, and the shares of its information.
 SURROUNDINGS, REMOVE, GENERALISE = 3, 0.9, 0.6
 TERM = r"\p{L}{3,}"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
@@ -161,10 +161,11 @@ def _near(found: DataFrame) -> DataFrame:
 def disclosing_terms(rows: DataFrame, holders: DataFrame, near: DataFrame) -> DataFrame:
     """entity, term, disclosed: what the corpus ties to an entity, and how much of it that gives away."""
     tied = (
-        near.groupBy("entity", "term", "around", "id", "mark").agg(F.lit(1).alias("one"))
-        .groupBy("entity", "term", "around").agg(F.count("*").alias("documents"))
-        .groupBy("entity", "term").agg(F.sum("documents").alias("both"), F.count("*").alias("surroundings"))
-        .where(F.col("surroundings") >= SURROUNDINGS)
+        near.groupBy("entity", "term")
+        .agg(
+            F.count_distinct(F.struct("id", "mark")).alias("both"), F.count_distinct("around").alias("surroundings")
+        )
+        .where((F.col("both") >= SURROUNDINGS) & (F.col("surroundings") >= SURROUNDINGS))
     )
     with_entity = (
         holders.select(F.explode(F.array_distinct(F.transform("spans", lambda s: _entity(s["kind"], s["value"])))).alias("entity"))
@@ -178,7 +179,8 @@ def disclosing_terms(rows: DataFrame, holders: DataFrame, near: DataFrame) -> Da
         tied.join(with_entity, "entity").withColumn("hash", F.xxhash64("term")).join(with_term, "hash")
         .join(F.broadcast(total))  # one row
     )
-    ratio = F.log2(F.col("both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
+    told = F.log2(F.col("both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
+    ratio = F.try_divide(told, F.log2(F.col("n") / F.col("n_entity")))  # null if every document has the entity
     return joined.select("entity", "term", F.coalesce(ratio, F.lit(0.0)).alias("disclosed")).where(F.col("disclosed") >= GENERALISE)
 
 

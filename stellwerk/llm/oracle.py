@@ -209,9 +209,8 @@ def disclosure_sql() -> str:
       SELECT n.*, around FROM nearest n JOIN (SELECT rid, string_agg(term, ' ' ORDER BY start) AS around FROM nearest GROUP BY rid) USING (rid)
     ),
     tied AS (
-      SELECT entity, term, sum(documents) AS both_, count(*) AS surroundings
-      FROM (SELECT entity, term, around, count(DISTINCT doc) AS documents FROM near GROUP BY entity, term, around)
-      GROUP BY entity, term HAVING count(*) >= {q.SURROUNDINGS}
+      SELECT entity, term, count(DISTINCT doc) AS both_ FROM near GROUP BY entity, term
+      HAVING count(DISTINCT doc) >= {q.SURROUNDINGS} AND count(DISTINCT around) >= {q.SURROUNDINGS}
     ),
     with_entity AS (SELECT entity, count(DISTINCT rid) AS n_entity FROM entity GROUP BY entity),
     with_term AS (

@@ -165,6 +165,8 @@ def test_terms_that_give_an_entity_away(spark):
     rows = [(i, f"Today {filler[i]} Zanzibaro {filler[i + 1]} wrote {mail} about {filler[i + 2]} things") for i in range(5)]
     # Copies of one document are one surrounding, whatever their number.
     rows += [(20 + i, "Copied Unicorno text from cp@mail.example.org here") for i in range(9)]
+    again = "Walruso"
+    rows += [(50, "\n".join(f"line {x} {again} at 10.20.30.40 {y}" for x, y in zip(filler, filler[1:])))]
     rows += [(100 + i, f"Today {filler[i % 7]} {filler[(i + 2) % 7]} wrote about things of page {i}") for i in range(60)]
     got = {r.doc_id: r for r in disclosure.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     for i in range(5):
@@ -173,6 +175,7 @@ def test_terms_that_give_an_entity_away(spark):
         (span,) = [s for s in got[i].pii_spans if s.value == "zanzibaro"]
         assert rows[i][1][span.start : span.end] == "Zanzibaro"
     assert all(got[20 + i].pii_spans == got[20 + i].pii_base for i in range(9))
+    assert got[50].pii_spans == got[50].pii_base and len(got[50].pii_base) == 6
     assert all(not got[100 + i].pii_spans for i in range(60))
 
 
@@ -181,6 +184,8 @@ def test_disclosure_repeated_null_and_empty(spark):
     got = sorted((r.doc_id or 0, disclosure_text(r.pii_spans)) for r in disclosure.find(df).collect())
     assert got == [(0, "phone:0:14"), (1, "email:0:5"), (1, "email:0:5"), (2, "")]
     assert disclosure.find(spark.createDataFrame([], df.schema)).collect() == []
+    everywhere = spark.createDataFrame([(i, f"word{chr(97 + i)} Namo a@b.c") for i in range(4)], df.schema)
+    assert all(r.pii_spans == r.pii_base for r in disclosure.find(everywhere).collect())
 
 
 def disclosure_text(spans):
