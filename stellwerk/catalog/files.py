@@ -9,9 +9,9 @@ from stellwerk.catalog import Catalog
 from stellwerk.catalog.base import POSTINGS, postings, quoted
 from stellwerk.catalog.lifecycle import as_postings
 from stellwerk.catalog.links import PORTAL_URLS, PROVIDER_SQL, portal_urls
-from stellwerk.catalog.reports import any_contains
-from stellwerk.plans.maintenance import maintain
-from stellwerk.plans.row_filters import by_title
+from stellwerk.catalog.reports import REPORT_DATE, any_contains, markdown_sql
+from stellwerk.plans.maintenance import maintain, sync_master
+from stellwerk.plans.row_filters import by_city, by_title
 from stellwerk.session import shared_dir
 from stellwerk.sources import runs, sinks
 from stellwerk.streaming.sync import read_run_stream, start_sync
@@ -36,8 +36,10 @@ def event_runs(spark, sf):
     )
 
 
+#: Headers that runs made of events fill.
+MASTER_GIVEN = ["link", "provider", "relevance_score", "scraped_at"]
 EVENT_RUNS = """
-SELECT event_id AS seq, concat(event_type, '/', cast(user_id AS STRING)) AS link, event_type AS provider,
+SELECT event_id AS seq, cast(trunc(value) AS INTEGER) AS relevance_score, concat(event_type, '/', cast(user_id AS STRING)) AS link, event_type AS provider,
        strftime(ts, '%Y%m%d') AS run_id, date_trunc('second', ts) AS ts FROM events
 """
 MASTER_SQL = f"""
@@ -59,6 +61,35 @@ def register(c: Catalog) -> None:
         rows = runs.scan_run_table(spark, f"{out}/all_jobs_raw.json")
         return rows.select("seq", "run_id", "job_id", "description", "relevance_score", *GIVEN)
 
+    @c.add(
+        "run_to_master",
+        f"""SELECT link, provider, relevance_score, scraped_at, month, {', '.join(f"'' AS {h}" for h in fixed.HEADERS if h not in MASTER_GIVEN)}
+            FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY run_id, seq) AS rn,
+                         strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at, strftime(ts, '%Y%m') AS month
+                  FROM ({EVENT_RUNS})) WHERE rn = 1""",
+    )
+    def run_to_master(spark, sf):
+        """Runs are written, scanned from their folders, synchronised; every master column is compared."""
+        out = shared_dir(spark)
+        sinks.write_run(event_runs(spark, sf), f"{out}/runs/all", ("json",))
+        sync_master(runs.scan_run_folders(spark, f"{out}/runs"), f"{out}/master")
+        master = sinks.read_master(spark, f"{out}/master")
+        return master.select(*MASTER_GIVEN, "month", *[F.coalesce(h, F.lit("")).alias(h) for h in fixed.HEADERS if h not in MASTER_GIVEN])
+
+    @c.add(
+        "raw_export_by_city",
+        f"""SELECT DISTINCT link, 'note' AS via FROM ({POSTINGS}) WHERE {any_contains("lower(concat(title, ' ', description))", fixed.CITY_WORDS)}
+              OR seq % 5 = 0""",
+    )
+    def raw_export_by_city(spark, sf):
+        """Exports whose columns stand in another order, with one more that only the city filter searches."""
+        out = shared_dir(spark)
+        rows = run_rows(spark, sf)
+        note = F.when(F.col("seq") % 5 == 0, F.lit(f"office in {fixed.CITY_WORDS[0].upper()}")).otherwise("")
+        turned = [F.col(h) for h in ("salary_hint", "link", "title")]
+        rows.select(note.alias("note"), *turned).write.options(**sinks.CSV_OPTIONS).csv(f"{out}/all_jobs_raw.csv")
+        return by_city(spark, out).select("link", F.lit("note").alias("via"))
+
     values = {g: g for g in GIVEN} | {
         "relevance_score": "cast(length(description) % 60 AS STRING)", "salary_hint": "description"
     }
@@ -101,36 +132,41 @@ def register(c: Catalog) -> None:
     def captured_scan(spark, sf):
         return runs.scan_pages(spark, f"{sf}/pages.parquet").select("page_id", "provider")
 
-    @c.add("master_table", f"SELECT strftime(ts, '%Y%m') AS month, provider, count(*) AS n FROM ({MASTER_SQL}) GROUP BY ALL")
+    @c.add("master_table", f"SELECT strftime(ts, '%Y%m') AS month, link, provider, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at FROM ({MASTER_SQL})")
     def master_table(spark, sf):
         from stellwerk.operators.sync import new_postings
 
         out = shared_dir(spark)
         new = new_postings(event_runs(spark, sf), sinks.read_master(spark, out))
         sinks.append_master(new, out)
-        return sinks.read_master(spark, out).groupBy("month", "provider").agg(F.count(F.lit(1)).alias("n"))
+        return sinks.read_master(spark, out).select("month", "link", "provider", "scraped_at")
 
     @c.add(
         "dashboard_files",
-        f"""SELECT 'ALL_JOBS' AS sheet, count(*) AS n FROM ({POSTINGS})
-            UNION ALL SELECT substr(upper(provider), 1, 30), count(*) FROM ({POSTINGS}) GROUP BY 1""",
+        f"""SELECT sheet, link, title, provider, cast(length(description) % 60 AS INTEGER) AS relevance_score FROM (
+              SELECT *, 'ALL_JOBS' AS sheet FROM ({POSTINGS}) UNION ALL SELECT *, substr(upper(provider), 1, 30) FROM ({POSTINGS}))""",
     )
     def dashboard_files(spark, sf):
         out = shared_dir(spark)
         sinks.write_dashboard(run_rows(spark, sf), out)
-        everything = spark.read.parquet(f"{out}/ALL_JOBS").select(F.lit("ALL_JOBS").alias("sheet"))
-        sheets = spark.read.parquet(f"{out}/sheets").select("sheet")
-        return everything.unionByName(sheets).groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+        shown = ["link", "title", "provider", "relevance_score"]
+        everything = spark.read.parquet(f"{out}/ALL_JOBS").select(F.lit("ALL_JOBS").alias("sheet"), *shown)
+        return everything.unionByName(spark.read.parquet(f"{out}/sheets").select("sheet", *shown))
+
+    reported = f"SELECT *, length(description) % 60 AS relevance_score, title AS matching_skills FROM ({POSTINGS})"
 
     @c.add(
         "markdown_file",
-        f"SELECT concat('### ', row_number() OVER (ORDER BY relevance_score DESC, seq), '. ', title, ' (**', relevance_score, '%**)') AS line "
-        f"FROM (SELECT *, length(description) % 60 AS relevance_score FROM ({POSTINGS}))",
+        f"""SELECT unnest(string_split(substr(section, 1, length(section) - 1), chr(10))) AS line
+            FROM ({markdown_sql(reported)})""",
     )
     def markdown_file(spark, sf):
+        """Every line of the report."""
         out = shared_dir(spark)
-        sinks.write_markdown(run_rows(spark, sf).withColumn("matching_skills", F.col("title")), out)
-        return spark.read.text(out).where(F.col("value").startswith("### ")).select(F.col("value").alias("line"))
+        sinks.write_markdown(
+            run_rows(spark, sf).withColumn("matching_skills", F.col("title")), out, date=F.lit(REPORT_DATE)
+        )
+        return spark.read.text(out).select(F.col("value").alias("line"))
 
     @c.add(
         "maintenance",
@@ -152,6 +188,24 @@ def register(c: Catalog) -> None:
             F.lit(done.archive_name).alias("archive_name"), "expired_runs",
         )
 
+    @c.add("maintained_tables", f"""
+        SELECT CASE WHEN ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 'archive' ELSE 'active' END AS part, link, provider,
+               strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at FROM ({MASTER_SQL})""")
+    def maintained_tables(spark, sf):
+        """Where a rotation leaves every posting."""
+        out = shared_dir(spark)
+        done = maintain(
+            spark, event_runs(spark, sf), f"{out}/master", f"{out}/master_next", f"{out}/history", f"{out}/dashboard",
+            F.lit(NOW + "+00:00").cast("timestamp"), retention_days=7, run_retention_days=3,
+        )
+        active = sinks.read_master(spark, f"{out}/master_next" if done.archive_name else f"{out}/master")
+        shown = active.select(F.lit("active").alias("part"), "link", "provider", "scraped_at")
+        if done.archive_name:
+            for part, name in (("archive", done.archive_name), ("quarantine", f"{done.archive_name}_quarantine")):
+                moved = spark.read.parquet(f"{out}/history/{name}")
+                shown = shown.union(moved.select(F.lit(part).alias("part"), "link", "provider", "scraped_at"))
+        return shown
+
     @c.add("stream_sync", f"SELECT DISTINCT link FROM ({EVENT_RUNS})")
     def stream_sync(spark, sf):
         """Run files arrive as a stream, some per batch; the master is read when all are in."""

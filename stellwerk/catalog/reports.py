@@ -32,6 +32,21 @@ def first_sql(source: str, key: str, order: str, where: str = "TRUE") -> str:
     ) WHERE rn = 1"""
 
 
+REPORT_DATE = "2025-01-31"
+
+
+def markdown_sql(source: str) -> str:
+    return f"""
+    SELECT 0 AS rank, concat('# Job Search Results ({REPORT_DATE})', chr(10), chr(10), 'Total processed: ', count(*), chr(10), chr(10)) AS section
+    FROM ({source})
+    UNION ALL
+    SELECT rank, concat('### ', rank, '. ', title, ' (**', relevance_score, '%**)', chr(10), '- **Provider:** ', provider,
+           ' | **Location:** ', location, chr(10), '- **Matching Skills:** ', matching_skills, chr(10),
+           '- **Link:** [View Posting](', link, ')', chr(10), chr(10), '---', chr(10)) AS section
+    FROM (SELECT *, row_number() OVER (ORDER BY relevance_score DESC, seq) AS rank FROM ({source}))
+    """
+
+
 KEPT = "seq, job_id, provider, link, title, company"
 KEPT_COLUMNS = KEPT.split(", ")
 PART_ROWS = "SELECT p_partkey AS seq, p_brand AS link, p_name AS title, p_type AS company, cast(p_size AS STRING) AS location FROM part"
@@ -60,9 +75,16 @@ def register(c: Catalog) -> None:
     def dedup_per_provider(spark, sf):
         return dedup.dedup_in_run(postings(spark, sf).select(*KEPT_COLUMNS), per_provider=True)
 
-    @c.add("dedup_count", f"SELECT count(*) AS unique_postings FROM ({DEDUP_SQL})")
+    # Postings with neither id nor link are one posting; every ninth loses both here.
+    @c.add(
+        "dedup_count",
+        f"""SELECT count(*) AS unique_postings FROM (
+              SELECT DISTINCT CASE WHEN seq % 9 <> 0 THEN coalesce(nullif(job_id, ''), link) END AS k FROM ({POSTINGS}))""",
+    )
     def dedup_count(spark, sf):
-        return postings(spark, sf).select(F.count_distinct(dedup.run_key()).alias("unique_postings"))
+        keep = F.col("seq") % 9 != 0
+        lost = {k: F.when(keep, F.col(k)) for k in ("job_id", "link")}
+        return dedup.count_unique(postings(spark, sf).select(*KEPT_COLUMNS).withColumns(lost))
 
     @c.add("dedup_cross_run", f"SELECT run_id, {KEPT} FROM ({first_sql(POSTINGS, 'link', 'run_id, seq')})")
     def dedup_cross_run(spark, sf):
@@ -175,16 +197,10 @@ def register(c: Catalog) -> None:
     def top_rows(spark, sf):
         return rank.top_rows(scored(spark, sf).select("seq", "title", "relevance_score"), 20)
 
-    @c.add(
-        "markdown_lines",
-        f"""SELECT rank, concat('### ', rank, '. ', title, ' (**', relevance_score, '%**)', chr(10), '- **Provider:** ', provider,
-                   ' | **Location:** ', location, chr(10), '- **Matching Skills:** ', matching_skills, chr(10),
-                   '- **Link:** [View Posting](', link, ')', chr(10), chr(10), '---', chr(10)) AS section
-            FROM (SELECT *, row_number() OVER (ORDER BY relevance_score DESC, seq) AS rank FROM ({SCORED}))""",
-    )
+    @c.add("markdown_lines", markdown_sql(SCORED))
     def markdown_lines(spark, sf):
         columns = ["seq", "title", "relevance_score", "provider", "location", "matching_skills", "link"]
-        return rank.markdown_report(scored(spark, sf).select(*columns))
+        return rank.markdown_report(scored(spark, sf).select(*columns), date=F.lit(REPORT_DATE))
 
     @c.add(
         "per_search_limit",
@@ -204,6 +220,25 @@ def register(c: Catalog) -> None:
         limit = F.when(F.col("provider") == "click", 1).when(F.col("provider") == "view", 3).otherwise(2)
         return rank.per_search_limit(rows, limit, most=3, pos="event_id")
 
+    @c.add(
+        "per_search_limit_open",
+        """SELECT event_id, provider, query, location FROM (
+             SELECT event_id, event_type AS provider, props AS query, cast(user_id AS STRING) AS location,
+                    row_number() OVER (PARTITION BY event_type, props, user_id ORDER BY event_id) AS rn,
+                    CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 300 END AS lim
+             FROM events) WHERE lim IS NULL OR rn <= lim""",
+    )
+    def per_search_limit_open(spark, sf):
+        """Limits per row that no constant bounds: missing for most portals, large for one."""
+        rows = table(spark, sf, "events").select(
+            "event_id",
+            F.col("event_type").alias("provider"),
+            F.col("props").alias("query"),
+            F.col("user_id").cast("string").alias("location"),
+        )
+        limit = F.when(F.col("provider") == "click", 1).when(F.col("provider") == "view", 300)
+        return rank.per_search_limit(rows, limit, pos="event_id")
+
     @c.add(
         "dashboard",
         f"""SELECT seq, provider, link, relevance_score, substr(upper(provider), 1, 30) AS sheet FROM ({SCORED})

@@ -9,6 +9,7 @@ built-in expressions on that array.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -46,6 +47,9 @@ class _Nodes(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        #: How many elements are open by name, and how many of them hide their text.
+        self.names: Counter[str] = Counter()
+        self.hidden = 0
         self.pending: list[str] = []
 
     def _flush(self):
@@ -56,8 +60,7 @@ class _Nodes(HTMLParser):
         clean = raw.strip()
         if not clean:
             raw = "\n" if "\n" in raw else " "
-        hidden = any(self.rows[i][3] in HIDDEN for i in self.open)
-        self._add(HIDDEN_TEXT if hidden else TEXT, None, clean, None if raw == clean else raw)
+        self._add(HIDDEN_TEXT if self.hidden else TEXT, None, clean, None if raw == clean else raw)
 
     def _add(self, tag, attrs, text=None, raw=None):
         no = len(self.rows) + 1
@@ -79,19 +82,23 @@ class _Nodes(HTMLParser):
         self._add(tag, list(values.items()) or None)
         if not closed and tag not in VOID:
             self.open.append(len(self.rows) - 1)
+            self.names[tag] += 1
+            self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs, closed=True)
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(self.rows[i][3] == tag for i in self.open):
+        if self.names[tag]:
             while self._close() != tag:
                 pass
 
     def _close(self):
         row = self.rows[self.open.pop()]
         row[1] = len(self.rows)
+        self.names[row[3]] -= 1
+        self.hidden -= row[3] in HIDDEN
         return row[3]
 
     def finish(self) -> list[list]:

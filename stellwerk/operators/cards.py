@@ -322,11 +322,18 @@ def not_blocked(df: DataFrame) -> DataFrame:
     return df.where(~((F.col("provider") == "solcom") & is_blocked(F.col("html"))))
 
 
+def _first(items: Column, limit: Column) -> Column:
+    """The first ``limit`` items; all of them where there is no limit."""
+    return F.when(limit.isNull(), items).otherwise(F.slice(items, F.lit(1), F.greatest(limit, F.lit(0))))
+
+
 def extract_cards(pages: DataFrame) -> DataFrame:
     """One row per posting on each captured result page.
 
     ``pages`` needs ``provider, query, location, result_limit, html``; other columns
-    pass through. The limit cuts cards before unreadable ones are dropped.
+    pass through. The limit cuts cards before unreadable ones are dropped; NULL is no limit.
+    ``scraped_at``, where the page has it, is when the page was captured; else it is the time
+    of the run, as UTC text.
     """
     keep = [c for c in pages.columns if c not in ("html", "location", "result_limit")]
     is_offers = F.col("provider") == "ferchau"
@@ -340,7 +347,7 @@ def extract_cards(pages: DataFrame) -> DataFrame:
         .withColumn("_offers", F.when(is_offers, offers_json(F.col("html"))))
         .withColumn("_nodes", html_nodes(F.when(~is_offers, F.col("html"))))
         .withColumn("_cards", cards)
-        .select(*keep, "req_location", F.posexplode(F.slice(items, 1, F.col("result_limit"))).alias("pos", "_item"))
+        .select(*keep, "req_location", F.posexplode(_first(items, F.col("result_limit"))).alias("pos", "_item"))
         .select(*keep, "req_location", "pos", "_item.card", "_item.offer")
     )
     # Exploding the one-element list drops unreadable cards without a filter that Spark
@@ -358,10 +365,16 @@ def extract_cards(pages: DataFrame) -> DataFrame:
         "provider",
         "pos",
         search_criteria(F.col("query"), F.col("req_location")).alias("search_criteria"),
+        *([] if "scraped_at" in others else [scraped_now().alias("scraped_at")]),
         *[F.when(is_offers, from_offer[f]).otherwise(from_card[f]).alias(f) for f in CARD_FIELDS],
     )
 
 
+def scraped_now() -> Column:
+    """The run's time as the master table reads it, in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def search_criteria(query: Column, location: Column) -> Column:
     """How a search is named on its postings."""
     return F.concat(F.coalesce(query, F.lit("")), F.lit(" | "), F.coalesce(location, F.lit("")))

@@ -9,7 +9,7 @@ its rows to one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 RUN_KEY = ["job_id", "link"]
 
@@ -19,11 +19,17 @@ def run_key() -> Column:
     return F.coalesce(F.nullif(F.col("job_id"), F.lit("")), F.col("link"))
 
 
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return _holds_map(kind.elementType) if isinstance(kind, ArrayType) else isinstance(kind, MapType)
+
+
 def first_by_key(df: DataFrame, key: list[str] | list[Column], order: list[str]) -> DataFrame:
     """Keep the first row per key in ``order``; columns keep their sequence."""
     keys = [F.col(k) if isinstance(k, str) else k for k in key]
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    if any(isinstance(f.dataType, MapType) for f in df.schema.fields):  # maps have no order
+    if _holds_map(df.schema):  # maps have no order
         best = F.min_by(row, F.struct(*order))
     else:
         best = F.min(F.struct(*order, row.alias("_row")))["_row"]
@@ -41,6 +47,11 @@ def dedup_in_run(df: DataFrame, order: list[str] | None = None, per_provider: bo
     return first_by_key(df, key, order or ["seq"])
 
 
+def count_unique(df: DataFrame) -> DataFrame:
+    """One row, ``unique_postings``: what :func:`dedup_in_run` keeps, postings without id and link being one."""
+    return df.groupBy(run_key().alias("_k")).agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias("unique_postings"))
+
+
 def dedup_by_link(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """First posting per non-empty link, over all runs."""
     linked = df.where(F.coalesce(F.col("link"), F.lit("")) != "")

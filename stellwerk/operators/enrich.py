@@ -108,11 +108,14 @@ def enrich(df: DataFrame, m: Matching, breakdown: bool = False) -> DataFrame:
     return out.drop("_text", "_matched", *([] if breakdown else ["score_parts"]))
 
 
-def enrich_two_pass(df: DataFrame, details: DataFrame, m: Matching, keep_nonempty: bool = False) -> DataFrame:
+def enrich_two_pass(
+    df: DataFrame, details: DataFrame, m: Matching, keep_nonempty: bool = False, order: str | None = None
+) -> DataFrame:
     """List pass, detail merge, detail pass, as one plan.
 
     Only salary and work type survive from the list pass, so only those are
-    computed there; everything else is derived once, from the merged posting.
+    computed there; everything else is derived once, from the merged posting. ``order``
+    names the column of ``details`` that decides between several pages of one link.
     """
     list_text = scoring_text()
     first = df.withColumns(
@@ -123,4 +126,4 @@ def enrich_two_pass(df: DataFrame, details: DataFrame, m: Matching, keep_nonempt
             "work_location_type": types.work_type_override(list_text, _optional(df, "work_location_type")),
         }
     )
-    return enrich(merge_details(first, details, keep_nonempty=keep_nonempty), m)
+    return enrich(merge_details(first, details, keep_nonempty, order), m)

@@ -19,15 +19,15 @@ def merge_details(
 ) -> DataFrame:
     """Left join on ``link``; detail fields that are present replace the posting's.
 
-    ``details`` holds one row per link (pass ``order`` to keep the first of
-    several). The detail side is therefore unique on the key, so a link shared by
-    many postings only widens the left side, which adaptive execution splits.
+    Of several detail rows of a link the first counts: by ``order`` where given, else the
+    smallest row; rows without a link are left out. The detail side is therefore unique on the
+    key, so a link shared by many postings only widens the left side, which adaptive execution splits.
     ``keep_nonempty`` protects list text from pages that came back empty.
     """
     fields = [f for f in DETAIL_FIELDS if f in details.columns]
-    if order:
-        details = first_by_key(details, ["link"], [order])
-    right = details.select("link", F.struct(*fields).alias("_d"))
+    linked = details.where(F.coalesce(F.col("link"), F.lit("")) != "")
+    narrow = linked.select("link", *fields, *([order] if order and order not in fields else []))
+    right = first_by_key(narrow, ["link"], [order or "link"]).select("link", F.struct(*fields).alias("_d"))
     joined = df.join(right, "link", "left")
     current = {f: F.col(f) if f in df.columns else F.lit(None).cast("string") for f in fields}
     merged = joined.withColumns({f: overlay(F.col("_d")[f], current[f], keep_nonempty) for f in fields})

@@ -47,10 +47,11 @@ def number_rows(df: DataFrame, order: str = "seq", block: int = 1_000_000, name:
     Rows are grouped by score and block of arrival numbers. Counts per group, summed
     upwards, give each group's offset; positions inside a group are local. ``order``
     must be a unique integer, so no group exceeds ``block`` rows however many postings
-    share a score.
+    share a score; a row without one is an error.
     """
+    number = F.coalesce(F.col(order).cast("long"), F.raise_error(F.lit(f"{order} is null: no place in the ranking")).cast("long"))
     keyed = df.withColumns(
-        {"_score": score_or_zero(), "_block": F.floor(F.col(order) / F.lit(float(block))).cast("long")}
+        {"_score": score_or_zero(), "_block": F.floor(number / F.lit(float(block))).cast("long")}
     )
     sizes = keyed.groupBy("_score", "_block").agg(F.count(F.lit(1)).alias("_n"))
     per_score = sizes.groupBy("_score").agg(F.sum("_n").alias("_n"))
@@ -91,22 +92,38 @@ def markdown_section(rank: Column) -> Column:
     )
 
 
-def markdown_report(df: DataFrame, order: str = "seq") -> DataFrame:
-    """Rank and section text of every posting."""
-    numbered = number_rows(df, order)
-    return numbered.select("rank", markdown_section(F.col("rank")).alias("section"))
+def markdown_head(date: Column, total: Column) -> Column:
+    """Title and total above the sections; ``date`` as yyyy-MM-dd text."""
+    return F.format_string("# Job Search Results (%s)\n\nTotal processed: %d\n\n", date, total)
 
 
-def per_search_limit(df: DataFrame, limit: int | Column, most: int, pos: str = "pos") -> DataFrame:
-    """First rows per (provider, query, location) in page order.
+def markdown_report(df: DataFrame, order: str = "seq", date: Column | None = None) -> DataFrame:
+    """Rank and section text of every posting, after the head at rank 0 (today's UTC date, if none is given)."""
+    sections = number_rows(df, order).select("rank", markdown_section(F.col("rank")).alias("section"))
+    today = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd")
+    head = df.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.lit(0).cast("long").alias("rank"), markdown_head(today if date is None else date, F.col("_n")).alias("section")
+    )
+    return head.union(sections)
+
+
+def per_search_limit(df: DataFrame, limit: int | Column, most: int | None = None, pos: str = "pos") -> DataFrame:
+    """First rows per (provider, query, location) in page order; a NULL limit keeps all.
 
-    ``most`` bounds every limit. The constant lets Spark keep at most that many rows
-    per search in each map task before the shuffle, so a search holding a large share
-    of the rows never gathers in one task.
+    A constant lets Spark keep at most that many rows per search in each map task before
+    the shuffle, so a search holding a large share of the rows never gathers in one task. For
+    a limit per row, ``most`` gives the constant; a limit above it, or none, is then an error.
     """
     search = W.partitionBy("provider", "query", "location").orderBy(pos)
-    ranked = df.withColumn("_rn", F.row_number().over(search)).where(F.col("_rn") <= F.lit(most))
-    return ranked.where(F.col("_rn") <= limit).drop("_rn")
+    most = limit if isinstance(limit, int) else most
+    bounded = F.lit(limit) if isinstance(limit, int) else limit
+    if most is not None:
+        broken = F.raise_error(F.lit(f"a limit is missing or above {most}")).cast("int")
+        df = df.withColumn("_limit", F.when(bounded <= most, bounded.cast("int")).otherwise(broken))
+        ranked = df.withColumn("_rn", F.row_number().over(search)).where(F.col("_rn") <= F.lit(most))
+        return ranked.where(F.col("_rn") <= F.col("_limit")).drop("_rn", "_limit")
+    ranked = df.withColumn("_rn", F.row_number().over(search))
+    return ranked.where(bounded.isNull() | (F.col("_rn") <= bounded)).drop("_rn")
 
 
 def sheet_name(provider: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stellwerk import fixed
 from stellwerk.operators.dedup import dedup_by_link
@@ -22,7 +22,8 @@ def by_title(spark: SparkSession, folder: str, words=tuple(fixed.TITLE_WORDS)) -
 
 def by_city(spark: SparkSession, folder: str, words=tuple(fixed.CITY_WORDS)) -> DataFrame:
     rows = scan_raw_csv(spark, folder)
-    return first_matching(rows, any_column_includes(fixed.HEADERS, words), ["path", "seq"])
+    everywhere = any_column_includes([*fixed.HEADERS, "others"], words)
+    return first_matching(rows.withColumn("others", F.concat_ws(" ", "others")), everywhere, ["path", "seq"])
 
 
 def export_by_title(spark: SparkSession, folder: str, out: str, words=tuple(fixed.TITLE_WORDS)) -> None:

@@ -6,6 +6,7 @@ come from a run, ``run_id``.
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,50 +15,83 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from stellwerk import fixed
 from stellwerk.functions.links import provider_from_url
 from stellwerk.functions.text import text
-from stellwerk.schema import RAW_CSV_SCHEMA, RUN_SCHEMA
+from stellwerk.schema import RUN_SCHEMA
 from stellwerk.sources.sinks import CSV_OPTIONS
 
 
-def _part(path: Column, from_end: int) -> Column:
-    return F.substring_index(F.substring_index(path, "/", -from_end), "/", 1)
+#: A run file (``<run>/jobs.json``), or a part of what the engine wrote for a run in its place.
+_RUN_PATH = r"/([^/]+)/(jobs\.json|all_jobs_raw\.json)(?:/(?:run_id=([^/]+)/)?(part-[^/]*))?$"
+#: A run file's list is read with scores as text: other JSON kinds are problems to report, not silence.
+_LOOSE = ", ".join(f"{f.name} string" for f in RUN_SCHEMA.fields)
 
 
-def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``run_id`` and file name below ``folder``; lists files, reads no content."""
+def _run_texts(spark: SparkSession, folder: str, parts: bool) -> DataFrame:
+    """Whole run files, or the lines of runs written in parts: run_id, file, value."""
+    path = F.col("_metadata.file_path")
+    name = "part-*" if parts else "{" + ",".join(fixed.RUN_FILES) + "}"
+    found = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=not parts)
+    )
+    said = found.select("value", *[F.regexp_extract(path, _RUN_PATH, k).alias(n) for k, n in enumerate(["folder", "file", "part_of", "part"], 1)])
+    said = said.where((F.col("file") != "") & ((F.col("part") != "") if parts else (F.col("part") == "")))
+    return said.select(F.coalesce(F.nullif("part_of", F.lit("")), "folder").alias("run_id"), "folder", "file", "value")
+
+
+def _chosen(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Whole files and written parts that count: the second name only where the first does not exist."""
+    first, second = fixed.RUN_FILES
     path = F.col("path")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .load(folder)
-        .select(_part(path, 2).alias("run_id"), _part(path, 1).alias("file"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
+        F.regexp_extract(path, _RUN_PATH, 1).alias("folder"), F.regexp_extract(path, _RUN_PATH, 2).alias("name")
     )
+    hidden = files.where(F.col("name") == first).select("folder", F.lit(second).alias("file")).distinct()
+    return tuple(_run_texts(spark, folder, parts).join(hidden, ["folder", "file"], "left_anti") for parts in (False, True))
+
+
+def _items(value: Column) -> Column:
+    """The list a run file holds; NULL unless the file as a whole is one."""
+    wrapped = F.concat(F.lit('{"v":'), value, F.lit("}"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+    read = F.from_json(wrapped, f"v array<struct<{_LOOSE.replace(' string', ':string')}>>, _corrupt string", options)
+    whole = value.rlike(r"^\s*\[") & value.rlike(r"\]\s*$") & read["_corrupt"].isNull()
+    return F.when(whole, read["v"])
+
+
+def _with_score(df: DataFrame) -> DataFrame:
+    number = F.expr("try_cast(relevance_score AS double)")
+    return df.withColumn("relevance_score", F.when(number == F.floor(number), number.cast("int")))
 
 
 def scan_run_folders(spark: SparkSession, folder: str) -> DataFrame:
     """Postings of ``<folder>/<run>/jobs.json``, else ``all_jobs_raw.json``.
 
-    The choice goes by existence, so an unreadable preferred file hides the other. Files
-    whose payload is not a valid JSON list contribute nothing. One run file is one
-    search run's output and is read whole by one task; runs spread over tasks.
+    Either may be one JSON list or what :func:`stellwerk.sources.sinks.write_run` leaves, a folder
+    of parts with a posting per line. The choice goes by existence, so an unreadable
+    preferred file hides the other. A file that is not a JSON list as a whole contributes
+    nothing; see :func:`run_problems`. A list is read by one task; runs, and the parts of a
+    run, spread over tasks.
     """
-    first, second = fixed.RUN_FILES
-    path = F.col("_metadata.file_path")
-    texts = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "{" + ",".join(fixed.RUN_FILES) + "}")
-        .text(folder, wholetext=True)
-        .select(_part(path, 2).alias("run_id"), _part(path, 1).alias("file"), "value")
+    files, parts = _chosen(spark, folder)
+    listed = files.select("run_id", F.posexplode(_items(F.col("value"))).alias("seq", "r")).select(
+        "run_id", F.col("seq").cast("long").alias("seq"), "r.*"
     )
-    preferred = _files(spark, folder, first).select("run_id").withColumn("file", F.lit(second))
-    chosen = texts.join(preferred, ["run_id", "file"], "left_anti")
-    item = RUN_SCHEMA.simpleString()
-    rows = F.from_json("value", f"array<{item}>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    return (
-        chosen.where(F.col("value").rlike(r"^\s*\["))
-        .select("run_id", F.posexplode(rows).alias("seq", "r"))
-        .select("run_id", F.col("seq").cast("long").alias("seq"), "r.*")
+    options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+    written = parts.select("run_id", F.from_json("value", f"seq long, {_LOOSE}", options).alias("r")).select(
+        "run_id", F.coalesce("r.seq", F.monotonically_increasing_id()).alias("seq"), *[f"r.{n}" for n in RUN_SCHEMA.names]
     )
+    return _with_score(listed.unionByName(written))
+
+
+def run_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """``run_id, file, problem, n``: files that are no JSON list, and scores that are no whole number."""
+    files, _ = _chosen(spark, folder)
+    items = _items(F.col("value"))
+    number = "try_cast(x.relevance_score AS double)"
+    odd = F.expr(f"size(filter(items, x -> x.relevance_score IS NOT NULL AND ({number} IS NULL OR {number} <> floor({number}))))")
+    read = files.select("run_id", "file", items.alias("items"))
+    rejected = read.where("items IS NULL").select("run_id", "file", F.lit("not a JSON list").alias("problem"), F.lit(1).alias("n"))
+    scores = read.where("items IS NOT NULL").select("run_id", "file", F.lit("score is no whole number").alias("problem"), odd.alias("n"))
+    return rejected.union(scores.where("n > 0"))
 
 
 def scan_run_table(spark: SparkSession, path: str) -> DataFrame:
@@ -70,28 +104,39 @@ def run_table_schema() -> StructType:
 
 
 def scan_raw_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Every ``all_jobs_raw.csv`` below ``folder``: the fixed headers as text.
+    """Every ``all_jobs_raw.csv`` below ``folder``: the fixed headers as text, by name.
 
     The name may be a file or, as :func:`stellwerk.sources.sinks.write_run` leaves it, a
-    folder of parts. ``path`` and ``seq`` give file and row order. Quoted fields may span
-    lines, so a file is read by one task, in order.
+    folder of parts. Files are grouped by their first line, so columns may stand in any
+    order; a missing one reads as '', and ``others`` lists the values of columns beyond the
+    fixed ones. ``path`` and ``seq`` give file and row order. Quoted fields may span lines,
+    so a file is read by one task, in order.
     """
     path = F.col("_metadata.file_path")
-    return (
-        spark.read.schema(RAW_CSV_SCHEMA)
-        .options(**CSV_OPTIONS)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .option("multiLine", True)
-        .option("ignoreCorruptFiles", True)
-        .csv(folder)
-        .where(path.rlike(rf"/{re.escape(fixed.RAW_CSV)}(/[^/]*)?$"))
-        .select(
-            *[text(h).alias(h) for h in fixed.HEADERS],
-            path.alias("path"),
-            F.monotonically_increasing_id().alias("seq"),
+    wanted = path.rlike(rf"/{re.escape(fixed.RAW_CSV)}(/[^/]*)?$")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder).where(wanted)
+    placed = lines.select("value", path.alias("path"), F.monotonically_increasing_id().alias("at"))
+    first = placed.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.toLocalIterator():  # names of files, not their contents
+        groups.setdefault(row.header, []).append(row.path)
+    out = spark.createDataFrame([], f"{', '.join(f'{h} string' for h in fixed.HEADERS)}, others array<string>, path string, seq long")
+    for header, paths in sorted(groups.items()):
+        names = next(csv.reader([header.lstrip("\ufeff")]), [])
+        # Columns get their place as name, so that repeated or empty headers do no harm.
+        schema = ", ".join(f"c{k} string" for k in range(len(names)))
+        rows = spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", True).option("enforceSchema", True).csv(sorted(paths))
+        place = {name: f"c{k}" for k, name in enumerate(names)}
+        extra = [f"c{k}" for k, name in enumerate(names) if name not in fixed.HEADERS or place[name] != f"c{k}"]
+        out = out.union(
+            rows.select(
+                *[text(place[h]).alias(h) if h in place else F.lit("").alias(h) for h in fixed.HEADERS],
+                (F.array(*extra) if extra else F.array().cast("array<string>")).alias("others"),
+                path.alias("path"),
+                F.monotonically_increasing_id().alias("seq"),
+            )
         )
-    )
+    return out
 
 
 def scan_link_list(spark: SparkSession, path: str) -> DataFrame:
@@ -143,6 +188,7 @@ __all__ = [
     "manual_postings",
     "scan_link_list",
     "scan_pages",
+    "run_problems",
     "scan_raw_csv",
     "scan_run_folders",
     "scan_run_table",

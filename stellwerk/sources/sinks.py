@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stellwerk import fixed
 from stellwerk.operators.rank import canonical, dashboard, markdown_report, number_rows, rank_by_score
@@ -21,7 +21,10 @@ CSV_OPTIONS = {
 
 
 def write_run(df: DataFrame, path: str, formats=("csv",)) -> None:
-    """Raw result: the fixed headers as CSV, all run fields as JSON lines, by run."""
+    """Raw result: the fixed headers as CSV, all run fields as JSON lines, by run.
+
+    :func:`stellwerk.sources.runs.scan_run_folders` reads both this layout and single run files.
+    """
     if "csv" in formats:
         canonical(df).write.options(**CSV_OPTIONS).mode("errorifexists").csv(f"{path}/all_jobs_raw.csv")
     if "json" in formats:
@@ -52,10 +55,11 @@ def write_filtered(
         write_markdown(df, f"{path}/{base}.md", order)
 
 
-def write_markdown(df: DataFrame, path: str, order: str = "seq") -> None:
-    """Report sections in rank order, as text parts that concatenate in order."""
-    sections = markdown_report(df, order).repartitionByRange("rank").sortWithinPartitions("rank")
-    sections.select(F.col("section").alias("value")).write.text(path)
+def write_markdown(df: DataFrame, path: str, order: str = "seq", date: Column | None = None) -> None:
+    """The report, head first and sections in rank order, as text parts that concatenate in order."""
+    sections = markdown_report(df, order, date).repartitionByRange("rank").sortWithinPartitions("rank")
+    # The writer ends each value with a line break of its own.
+    sections.select(F.regexp_replace("section", r"\n\z", "").alias("value")).write.text(path)
 
 
 def _master_type(header: str) -> str:
@@ -66,7 +70,8 @@ def append_master(new: DataFrame, path: str, headers: list[str] = fixed.HEADERS)
     """Append postings to the master table, by month of ``scraped_at``."""
     given = {h: F.col(h) if h in new.columns else F.lit(None) for h in headers}
     rows = new.select(*[given[h].cast(_master_type(h)).alias(h) for h in headers]).withColumn("month", F.coalesce(utc_format(parse_utc(F.col("scraped_at")), "yyyyMM"), F.lit("unknown")))
-    rows.write.mode("append").partitionBy("month").parquet(path)
+    # Together by month, so that an append leaves few files; a large month is split over tasks.
+    rows.repartitionByRange("month", "link").write.mode("append").partitionBy("month").parquet(path)
 
 
 def read_master(spark: SparkSession, path: str, headers: list[str] = fixed.HEADERS) -> DataFrame:

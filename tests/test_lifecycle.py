@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from stellwerk.fixed import HEADERS
 from stellwerk.operators import dedup, rank, sync
+from stellwerk.operators.dedup import first_by_key
 from stellwerk.operators.enrich import Matching
+from stellwerk.operators.merge import merge_details
 from stellwerk.plans.maintenance import rotate, sync_master
 from stellwerk.plans.row_filters import by_city, by_title
 from stellwerk.plans.search_run import RunSettings, run_search, settings_of
@@ -29,9 +31,62 @@ def test_run_folders(spark, tmp_path):
     write(tmp_path / "r3/all_jobs_raw.json", [{"link": "hidden"}])
     write(tmp_path / "r4/jobs.json", {"link": "not a list"})
     write(tmp_path / "r5/other.json", [{"link": "ignored"}])
+    write(tmp_path / "r6/jobs.json", '[{"link": "e"}] trailing')
+    write(tmp_path / "r7/jobs.json", [{"link": "f", "relevance_score": 33.0}, {"link": "g", "relevance_score": "high"}])
     rows = runs.scan_run_folders(spark, str(tmp_path)).orderBy("run_id", "seq").collect()
-    assert [(r["run_id"], r["seq"], r["link"]) for r in rows] == [("r1", 0, "a"), ("r1", 1, "b"), ("r2", 0, "c")]
-    assert rows[0]["relevance_score"] == 3
+    assert [(r["run_id"], r["seq"], r["link"]) for r in rows] == [
+        ("r1", 0, "a"), ("r1", 1, "b"), ("r2", 0, "c"), ("r7", 0, "f"), ("r7", 1, "g")
+    ]
+    assert rows[0]["relevance_score"] == 3 and rows[3]["relevance_score"] == 33 and rows[4]["relevance_score"] is None
+    problems = {(r["run_id"], r["problem"], r["n"]) for r in runs.run_problems(spark, str(tmp_path)).collect()}
+    assert problems == {
+        ("r3", "not a JSON list", 1), ("r4", "not a JSON list", 1), ("r6", "not a JSON list", 1), ("r7", "score is no whole number", 1)
+    }
+
+
+def test_a_written_run_is_found_again(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "a", "T", 5), (1, "b", None, 7)], "seq long, link string, title string, relevance_score int")
+    sinks.write_run(rows, str(tmp_path / "runs/20250101_1000"), ("json", "csv"))
+    sinks.write_run(rows.selectExpr("*", "'own' AS run_id"), str(tmp_path / "runs/20250102_1000"), ("json",))
+    write(tmp_path / "runs/20250103_1000/jobs.json", [{"link": "c"}])
+    got = {(r["run_id"], r["seq"], r["link"], r["relevance_score"]) for r in runs.scan_run_folders(spark, str(tmp_path / "runs")).collect()}
+    assert got == {("20250101_1000", 0, "a", 5), ("20250101_1000", 1, "b", 7), ("own", 0, "a", 5), ("own", 1, "b", 7), ("20250103_1000", 0, "c", None)}
+
+
+def test_exports_are_read_by_name(spark, tmp_path):
+    write(tmp_path / "a/all_jobs_raw.csv", "note,link,title\nVienna office,1,Tester\nx,2,QA\n")
+    write(tmp_path / "b/all_jobs_raw.csv", 'title,link,provider\n"Te,st",3,hays\n')
+    rows = {r["link"]: r for r in runs.scan_raw_csv(spark, str(tmp_path)).collect()}
+    assert [(rows[k]["title"], rows[k]["provider"], list(rows[k]["others"])) for k in "123"] == [
+        ("Tester", "", ["Vienna office"]), ("QA", "", ["x"]), ("Te,st", "hays", [])
+    ]
+    assert {r["link"] for r in by_city(spark, str(tmp_path), ("vienna",)).collect()} == {"1"}
+
+
+def test_details_count_once_per_link(spark):
+    postings = spark.createDataFrame([(k, link) for k, link in enumerate(["a", "a", "b", "", None])], "seq long, link string")
+    details = spark.createDataFrame(
+        [("a", 2, "second"), ("a", 1, "first"), ("", 1, "none"), (None, 1, "none")], "link string, page long, title string"
+    )
+    got = merge_details(postings.withColumn("title", F.lit("old")), details, order="page").orderBy("seq").collect()
+    assert [r["title"] for r in got] == ["first", "first", "old", "old", "old"]
+    assert merge_details(postings, details).count() == 5
+
+
+def test_limits_and_numbers_lose_no_row(spark):
+    rows = spark.createDataFrame([(k, "p", "q", "l") for k in range(10)], "pos long, provider string, query string, location string")
+    assert rank.per_search_limit(rows, 8).count() == 8
+    assert rank.per_search_limit(rows, F.lit(None).cast("int")).count() == 10
+    with pytest.raises(Exception, match="above 5"):
+        rank.per_search_limit(rows, F.lit(8), most=5).collect()
+    scored = spark.createDataFrame([(1, 5), (None, 7)], "seq long, relevance_score int")
+    with pytest.raises(Exception, match="no place in the ranking"):
+        rank.number_rows(scored).collect()
+
+
+def test_a_map_inside_a_struct_can_be_deduplicated(spark):
+    rows = spark.sql("SELECT 1 AS k, 2 AS seq, named_struct('m', map('a', 1)) AS s UNION ALL SELECT 1, 1, named_struct('m', map('b', 2))")
+    assert [r["seq"] for r in first_by_key(rows, ["k"], ["seq"]).collect()] == [1]
 
 
 def test_raw_exports_and_row_filters(spark, tmp_path):
