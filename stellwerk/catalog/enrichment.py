@@ -67,23 +67,36 @@ _LEXICON_SQL = """
 SELECT list_name, category, entry_no, label, unnest(candidates) AS candidate FROM (
   SELECT 'bench' AS list_name, 'words' AS category, cast(item_id AS INTEGER) AS entry_no,
          concat('item ', cast(item_id AS STRING)) AS label,
-         [w[1], concat(w[1], ' ', w[2])] AS candidates
-  FROM (SELECT item_id, string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ') AS w FROM benchmark)
-) WHERE candidates[1] <> ''
+         list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])))) AS candidates
+  FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda x: x <> '') AS w
+        FROM benchmark)
+)
+"""
+
+#: Words of a text, and two words with one blank between them: what the candidates above can equal.
+_FOUND_SQL = f"""
+SELECT DISTINCT seq, candidate FROM (
+  SELECT seq, unnest(regexp_extract_all(txt, '[a-zA-Z0-9]+')) AS candidate FROM {TXT}
+  UNION ALL
+  SELECT seq, unnest(list_transform(list_filter(range(1, len(p)), lambda i: p[i] <> '' AND p[i + 1] <> ''),
+                                    lambda i: concat(p[i], ' ', p[i + 1]))) AS candidate
+  FROM (SELECT seq, string_split(unnest(string_split_regex(txt, '[^a-zA-Z0-9 ]')), ' ') AS p FROM {TXT})
+)
 """
 
 
 def passage_lexicon(spark, sf):
-    """Lexicon derived from the benchmark passages: first word, and first two words."""
-    w = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")
-    first, second = F.get(F.col("w"), F.lit(0)), F.coalesce(F.get(F.col("w"), F.lit(1)), F.lit(""))
-    passages = table(spark, sf, "benchmark").select("item_id", w.alias("w")).where(first != "")
+    """Lexicon derived from the benchmark passages: every word, and every two that stand together."""
+    w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " "), lambda x: x != "")
+    later = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = F.transform(later, lambda x, i: F.concat_ws(" ", F.get("w", i), x))
+    passages = table(spark, sf, "benchmark").select("item_id", w.alias("w"))
     return passages.select(
         F.lit("bench").alias("list_name"),
         F.lit("words").alias("category"),
         F.col("item_id").cast("int").alias("entry_no"),
         F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"),
-        F.explode(F.array(first, F.concat_ws(" ", first, second))).alias("candidate"),
+        F.explode(F.array_distinct(F.concat("w", pairs))).alias("candidate"),
     )
 
 
@@ -186,10 +199,8 @@ def register(c: Catalog) -> None:
 
     @c.add(
         "skill_match_join",
-        f"""SELECT seq, array_to_string(list_sort(list_distinct(list(label))), ', ') AS labels FROM (
-              SELECT t.seq, l.label FROM {TXT} t JOIN ({_LEXICON_SQL}) l
-              ON regexp_matches(t.txt, concat('(^|[^a-zA-Z0-9])', l.candidate, '($|[^a-zA-Z0-9])'))
-            ) GROUP BY seq""",
+        f"""SELECT seq, array_to_string(list_sort(list_distinct(list(label))), ', ') AS labels
+            FROM ({_FOUND_SQL}) JOIN ({_LEXICON_SQL}) USING (candidate) GROUP BY seq""",
     )
     def skill_match_join(spark, sf):
         txt = postings(spark, sf).select("seq", scoring_text().alias("_text"))
@@ -197,10 +208,8 @@ def register(c: Catalog) -> None:
 
     @c.add(
         "entry_counts_join",
-        f"""SELECT seq, list_name, category, count(*) AS matches FROM (
-              SELECT DISTINCT t.seq, l.list_name, l.category, l.entry_no FROM {TXT} t JOIN ({_LEXICON_SQL}) l
-              ON regexp_matches(t.txt, concat('(^|[^a-zA-Z0-9])', l.candidate, '($|[^a-zA-Z0-9])'))
-            ) GROUP BY ALL""",
+        f"""SELECT seq, list_name, category, count(DISTINCT entry_no) AS matches
+            FROM ({_FOUND_SQL}) JOIN ({_LEXICON_SQL}) USING (candidate) GROUP BY ALL""",
     )
     def entry_counts_join(spark, sf):
         txt = postings(spark, sf).select("seq", scoring_text().alias("_text"))

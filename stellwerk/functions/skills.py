@@ -37,6 +37,19 @@ def pattern(candidate: str) -> str:
     return f"(?:^|{BOUNDARY}){re.escape(candidate)}(?:$|{BOUNDARY})"
 
 
+def marked(text: Column) -> Column:
+    """The text with its token boundaries written out, so that a bounded match is a substring match.
+
+    Runs of ASCII letters and digits stand between marks 1 and 2, and any other character that
+    does not follow such a run has mark 3 before it; a text that ends with one has mark 3 after
+    it. A candidate stands between boundaries exactly if its marked form is in the marked text.
+    """
+    clean = F.translate(text, "\x01\x02\x03", "   ")
+    wrapped = F.regexp_replace(clean, f"([{ALNUM}]+)", "\x01$1\x02")
+    spaced = F.regexp_replace(wrapped, f"(?<!\x02)([^{ALNUM}\x01\x02])", "\x03$1")
+    return F.concat(spaced, F.when(clean.rlike(f"[^{ALNUM}]\\z"), F.lit("\x03")).otherwise(""))
+
+
 def _array(values) -> str:
     return f"CAST(array({', '.join(quote(v) for v in values)}) AS ARRAY<STRING>)"
 

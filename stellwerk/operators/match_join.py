@@ -2,7 +2,7 @@
 
 Postings explode to their distinct tokens and meet the lexicon on a candidate's first
 token. Plain candidates match on equality alone; only the rest is checked against the
-text, by pattern.
+text. Its boundaries are marked once per posting, so no pattern depends on a candidate.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ MARK = rf"[^{skills.ALNUM} \t\n\x0b\f\r]"
 
 
 def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
-    """Add ``lead`` and ``how`` (plain, pattern or substring) to candidate rows.
+    """Add ``lead``, ``how`` (plain, bounded or substring) and the ``form`` to look for to candidate rows.
 
     The lead is what a text must hold for the candidate to match at all: its first
     ASCII token or, for candidates without one and for substring candidates, its first
@@ -29,21 +29,15 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
     how = (
         F.when(loose, F.lit("substring"))
         .when(candidate.rlike("^[a-z0-9]+$"), F.lit("plain"))
-        .otherwise(F.lit("pattern"))
+        .otherwise(F.lit("bounded"))
     )
-    return lexicon.withColumns({"lead": F.when(loose, mark).otherwise(F.coalesce(token, mark)), "how": how})
+    lead = F.when(loose, mark).otherwise(F.coalesce(token, mark))
+    return lexicon.withColumns({"lead": lead, "how": how, "form": F.when(loose, candidate).otherwise(skills.marked(candidate))})
 
 
-def _escaped(candidate: Column) -> Column:
-    return F.regexp_replace(candidate, r"([^\p{L}\p{N}_])", r"\\$1")
-
-
-def _holds(text: Column, candidate: Column, how: Column) -> Column:
+def _holds(text: Column, marked: Column, form: Column, how: Column) -> Column:
     """The candidate stands in the text, between boundaries unless a substring will do."""
-    bounded = F.concat(
-        F.lit(f"(?:^|{skills.BOUNDARY})"), _escaped(candidate), F.lit(f"(?:$|{skills.BOUNDARY})")
-    )
-    return F.contains(text, candidate) & ((how == "substring") | F.rlike(text, bounded))
+    return F.when(how == "substring", F.contains(text, form)).otherwise(F.contains(marked, form))
 
 
 def _salted(df: DataFrame, salts: int) -> DataFrame:
@@ -69,10 +63,10 @@ def match_candidates(
     salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt")
     found = postings.select(key, salt, F.explode(F.array_distinct(leads)).alias("lead")).where(F.col("lead") != "")
     hits = found.join(wanted, ["lead", "salt"])
-    possible = hits.groupBy(key, "salt").agg(F.collect_list(F.struct("candidate", "how")).alias("_c"))
-    sure = F.filter("_c", lambda c: (c["how"] == "plain") | _holds(low, c["candidate"], c["how"]))
+    possible = hits.groupBy(key, "salt").agg(F.collect_list(F.struct("candidate", "how", "form")).alias("_c"))
+    sure = F.filter("_c", lambda c: (c["how"] == "plain") | _holds(low, F.col("_marked"), c["form"], c["how"]))
     return (
-        possible.join(postings.select(key, text), key)
+        possible.join(postings.select(key, text, skills.marked(low).alias("_marked")), key)
         .select(key, "salt", F.explode(sure).alias("_c"))
         .select(key, "salt", "_c.candidate")
     )

@@ -54,13 +54,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input with fewer splits than task slots; larger inputs stay as read.
-
-    Text work is processor-bound, and a small file is one split. Anything of cluster
-    size has splits in plenty and is not shuffled.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
