@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from stellwerk.catalog import build
@@ -28,6 +29,22 @@ HEADLINE = [
 ]
 
 
+def spread(spark, sf: str, files: int) -> str:
+    """A copy of the input in which the text tables lie in several files.
+
+    The small text tables are single row groups, which one task would read; at cluster size
+    files have row groups in plenty, so the engine itself does not deal rows anew.
+    """
+    out = tempfile.mkdtemp(prefix="bench-")
+    for entry in os.listdir(sf):
+        name = entry.removesuffix(".parquet")
+        if name in ("documents", "pages"):
+            spark.read.parquet(f"{sf}/{entry}").repartition(files).write.parquet(f"{out}/{entry}")
+        elif entry.endswith(".parquet"):
+            os.symlink(os.path.join(os.path.abspath(sf), entry), f"{out}/{entry}")
+    return out
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -40,20 +57,24 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
-    catalog, spent = build(), {}
+    catalog, first, second = build(), {}, {}
+    data = spread(spark, sf, int(cpus))
     # One query outside the timed set starts the executor threads and loads classes.
-    catalog.queries["scoring_text"](spark, sf).write.format("noop").mode("overwrite").save()
-    for name in HEADLINE:
-        start = time.perf_counter()
-        catalog.queries[name](spark, sf).write.format("noop").mode("overwrite").save()
-        spent[name] = round(time.perf_counter() - start, 3)
+    catalog.queries["scoring_text"](spark, data).write.format("noop").mode("overwrite").save()
+    for spent in (first, second):
+        for name in HEADLINE:
+            start = time.perf_counter()
+            catalog.queries[name](spark, data).write.format("noop").mode("overwrite").save()
+            spent[name] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(
             {
                 "metric": "headline_total",
-                "value": round(sum(spent.values()), 3),
+                "value": round(sum(first.values()), 3),
                 "unit": "sec",
-                "queries": spent,
+                "queries": first,
+                "second_run": second,
+                "second_total": round(sum(second.values()), 3),
                 "sf": os.path.basename(sf.rstrip("/")),
             }
         )

@@ -12,7 +12,7 @@ from stellwerk.operators.enrich import Matching
 from stellwerk.operators.merge import merge_details
 from stellwerk.plans.maintenance import rotate, sync_master
 from stellwerk.plans.row_filters import by_city, by_title
-from stellwerk.plans.search_run import RunSettings, run_search, settings_of
+from stellwerk.plans.search_run import RunSettings, kept_postings, run_search, scored_postings, settings_of, worth_notifying
 from stellwerk.sources import config, runs, sinks
 from stellwerk.streaming.sync import first_within, read_run_stream, start_sync
 from tests.test_matching import LEXICON, PROFILE
@@ -125,6 +125,31 @@ def test_configuration_documents(spark, tmp_path):
     assert settings_of(doc) == RunSettings(25, ("x",), False, False, ("json",), "b")
 
 
+def test_declared_settings_filter_and_split(spark, tmp_path):
+    doc = {
+        "filtering": {"required_keywords": ["Zinc"], "exclude_companies": ["Acme"]},
+        "work_preferences": {"employment_types": ["Contract"], "exclude_types": ["Internship"]},
+        "language_requirements": {"required": ["English"]},
+        "output": {"separate_files_by_type": True, "formats": ["csv"]},
+        "report": {"top_n_jobs": 2},
+        "notifications": {"mail": {"min_score_notify": 0}, "on": True},
+    }
+    settings = settings_of(doc, declared=True)
+    assert settings_of(doc).required_keywords == () and settings.top_n == 2 and settings.by_type and settings.notify_score == 0
+    rows = [
+        (0, "a", "T", "x", "work with zinc and the team", "Contract"), (1, "b", "T", "x", "work with tin", "Contract"),
+        (2, "c", "T", "acme co", "zinc", "Contract"), (3, "d", "T", "x", "zinc", "Full-time"), (4, "e", "T", "x", "zinc und der die das", "Contract"),
+    ]
+    postings = spark.createDataFrame(rows, "seq long, link string, title string, company string, description string, employment_type string")
+    postings = postings.withColumns({"location": F.lit(""), "job_id": F.col("link"), "work_location_type": F.lit("")})
+    scored = scored_postings(postings, Matching(PROFILE, LEXICON), settings=settings)
+    assert {r["link"] for r in kept_postings(scored, settings).collect()} == {"a"}
+    assert {r["link"] for r in worth_notifying(scored, settings).collect()} == {"a"}
+    assert worth_notifying(scored, settings_of(doc)).collect() == []
+    assert run_search(postings, Matching(PROFILE, LEXICON), str(tmp_path / "run"), settings=settings).count() == 2
+    assert spark.read.options(**sinks.CSV_OPTIONS).csv(str(tmp_path / "run/jobs.csv")).first()["type"] == "Contract"
+
+
 def test_link_list(spark, tmp_path):
     write(tmp_path / "links.csv", "note,link\na,https://www.XING.com/jobs/1\nb,\nc,https://nowhere.example/2\n")
     rows = runs.scan_link_list(spark, str(tmp_path / "links.csv")).orderBy("seq").collect()
@@ -235,7 +260,7 @@ def test_bounded_state_stream(spark, tmp_path):
 
 
 def test_search_run_writes_every_format(spark, tmp_path):
-    rows = [(i, f"j{i % 8}", f"l{i}", "Senior Tester" if i % 2 else "Junior Tester", "Target Company A", "Python remote", "Wien", "hays") for i in range(20)]
+    rows = [(i, f"j{i % 8}", f"l{i}", "Chief Tester" if i % 2 else "Junior Tester", "Nordlicht Werke", "Julia remote", "Wien", "hays") for i in range(20)]
     df = spark.createDataFrame(rows, "seq long, job_id string, link string, title string, company string, description string, location string, provider string")
     settings = RunSettings(min_relevance_score=20, exclude_keywords=("junior",), formats=("csv", "json", "markdown"), base_filename="best")
     top = run_search(df, Matching(PROFILE, LEXICON), str(tmp_path / "run"), settings=settings).collect()
@@ -243,6 +268,6 @@ def test_search_run_writes_every_format(spark, tmp_path):
     raw = spark.read.options(**sinks.CSV_OPTIONS).csv(str(tmp_path / "run/all_jobs_raw.csv"))
     assert raw.columns == HEADERS and raw.count() == 8
     best = spark.read.options(**sinks.CSV_OPTIONS).csv(str(tmp_path / "run/best.csv"))
-    assert best.count() == 4 and {r["title"] for r in best.collect()} == {"Senior Tester"}
+    assert best.count() == 4 and {r["title"] for r in best.collect()} == {"Chief Tester"}
     assert spark.read.json(str(tmp_path / "run/best.json")).count() == 4
     assert sum(r[0].startswith("### ") for r in spark.read.text(str(tmp_path / "run/best.md")).collect()) == 4
