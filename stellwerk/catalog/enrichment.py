@@ -30,6 +30,7 @@ from stellwerk.catalog.base import (
 )
 from stellwerk.functions import language, score, skills, types
 from stellwerk.functions.text import scoring_text, words
+from stellwerk.operators import filters
 from stellwerk.operators.dedup import dedup_in_run
 from stellwerk.operators.enrich import enrich, enrich_two_pass, skill_columns, with_matches
 from stellwerk.operators.match_join import entry_counts, label_lists, match_join
@@ -140,6 +141,14 @@ def register(c: Catalog) -> None:
             language.detected_language(low).alias("detected_languages"),
         )
 
+    @c.add(
+        "required_languages",
+        f"SELECT seq FROM {TXT} WHERE {votes_sql(GERMAN_SQL)} > {votes_sql(ENGLISH_SQL)}",
+    )
+    def required_languages(spark, sf):
+        spoken = postings(spark, sf).select("seq", language.detected_language(scoring_text()).alias("detected_languages"))
+        return spoken.where(filters.required_languages(["German"])).select("seq")
+
     def skill_query(name: str, column: str, sql: str) -> None:
         @c.add(name, sql)
         def skill(spark, sf):

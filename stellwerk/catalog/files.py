@@ -11,7 +11,7 @@ from stellwerk.catalog.lifecycle import as_postings
 from stellwerk.catalog.links import PORTAL_URLS, PROVIDER_SQL, portal_urls
 from stellwerk.catalog.reports import REPORT_DATE, any_contains, markdown_sql
 from stellwerk.plans.maintenance import maintain, sync_master
-from stellwerk.plans.row_filters import by_city, by_title
+from stellwerk.plans.row_filters import by_city, by_title, export_by_title
 from stellwerk.session import shared_dir
 from stellwerk.sources import runs, sinks
 from stellwerk.streaming.sync import read_run_stream, start_sync
@@ -112,6 +112,18 @@ def register(c: Catalog) -> None:
         sinks.write_run(run_rows(spark, sf), out, ("csv",))
         return by_title(spark, out).select("link")
 
+    @c.add(
+        "helper_export",
+        f"SELECT DISTINCT link FROM ({POSTINGS}) WHERE {any_contains('lower(title)', fixed.TITLE_WORDS)}",
+    )
+    def helper_export(spark, sf):
+        """The title filter's own file, read back; it has the fixed headers and no other column."""
+        out = shared_dir(spark)
+        sinks.write_run(run_rows(spark, sf), f"{out}/run", ("csv",))
+        export_by_title(spark, f"{out}/run", f"{out}/found")
+        found = spark.read.options(**sinks.CSV_OPTIONS).option("multiLine", True).csv(f"{out}/found")
+        return found.select(*fixed.HEADERS).select("link")
+
     @c.add(
         "link_list",
         f"""SELECT url AS link, {PROVIDER_SQL} ELSE 'linkedin' END AS provider,

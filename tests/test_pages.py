@@ -1,11 +1,12 @@
 """Pages: node arrays, embedded data in all its shapes, fallbacks."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from stellwerk.functions.html import Dom, html_nodes, parse_nodes, tag
+from stellwerk.functions.html import HIDDEN_TEXT, Dom, html_nodes, parse_nodes, tag
 from stellwerk.operators.cards import CardRules, extract_cards, offers_unreadable, register_cards
 from stellwerk.operators.details import extract_details
 
@@ -175,3 +176,15 @@ def test_further_portal_by_rules(spark):
     register_cards("other", rules)
     got = cards(spark, "other", '<section><h5>T</h5><a href="http://o/9">x</a></section><section>none</section>')
     assert [(r["title"], r["link"], r["job_id"], r["employment_type"]) for r in got] == [("T", "http://o/9", "9", "Full-time")]
+
+
+def test_unclosed_tags_are_read_in_linear_time():
+    def spent(n):
+        start = time.process_time()
+        assert len(parse_nodes("<p>x" * n)) == 2 * n
+        return time.process_time() - start
+
+    spent(1000)
+    assert spent(16_000) < 12 * max(spent(4000), 0.005)
+    rows = parse_nodes("<div><style>a</style>b<b>c</div>d</b>")
+    assert [(r[3], r[5]) for r in rows if r[5]] == [(HIDDEN_TEXT, "a"), ("", "b"), ("", "c"), ("", "d")]
