@@ -35,6 +35,7 @@ from stellwerk.operators.dedup import dedup_in_run
 from stellwerk.operators.enrich import enrich, enrich_two_pass, skill_columns, with_matches
 from stellwerk.operators.match_join import entry_counts, label_lists, match_join
 from stellwerk.operators.merge import merge_details
+from stellwerk.plans.batch import batch_run
 from stellwerk.plans.search_run import RunSettings, ranked_results, scored_postings
 
 RESULT = [
@@ -230,6 +231,24 @@ def register(c: Catalog) -> None:
             scored = enrich(postings(spark, sf), matching(category_map, weights))
             return scored.select("seq", "relevance_score")
 
+    #: Profile, weights, threshold, excluded word; every document is found by two of the three.
+    batch = [("wide", {}, 0, "junior"), ("firm", {"known_companies": 40.0}, 20, "rust"), ("skilled", {"programming_languages": 50.0}, 10, "intern")]
+
+    def batch_part(k: int, name: str, weights: dict, least: int, word: str) -> str:
+        found = f"SELECT * FROM ({DEDUP_SQL}) WHERE seq % 3 <> {k}"
+        return f"""SELECT '{name}' AS profile, seq, relevance_score FROM ({enriched_sql(f"{NO_SALARY} ({found})", weights=weights)})
+                   WHERE relevance_score >= {least} AND NOT contains(lower(title), '{word}')"""
+
+    @c.add("batch_profiles", " UNION ALL ".join(batch_part(k, *b) for k, b in enumerate(batch)))
+    def batch_profiles(spark, sf):
+        rows = [(n, w, (float(least), [word])) for n, w, least, word in batch]
+        profiles = spark.createDataFrame(
+            rows, "profile string, scoring_weights map<string,double>, filtering struct<min_relevance_score:double,exclude_keywords:array<string>>"
+        )
+        names = F.array(*[F.when(F.col("seq") % 3 != k, F.lit(b[0])) for k, b in enumerate(batch)])
+        found = dedup_in_run(postings(spark, sf)).withColumn("profile", F.explode(F.array_compact(names)))
+        return batch_run(found, profiles, matching()).select("profile", "seq", "relevance_score")
+
     score_query("relevance_score", "mapped", None)
     score_query("relevance_score_strict", "strict", None)
     score_query("relevance_score_weights", "mapped", {"programming_languages": 40, "testing_skills": 5, "known_companies": 15})
