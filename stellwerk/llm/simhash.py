@@ -235,7 +235,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.count("*").alias(rows), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias(named)
     )
     kept = materialise(kept.where(F.col(named) | F.col(stay).isNull()).select(stay, rows))
-    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col(stay)))
+    # What stays grows with the documents, so the join is planned as a shuffle at every size.
+    joined = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col(stay)))
     alone = joined.where(F.col(rows) == 1).drop(stay, rows)
     repeated = joined.where(F.col(rows) > 1).withColumn(named, F.when(F.col(id_col).isNull(), F.col(text_col)))
     return alone.union(repeated.dropDuplicates([id_col, named]).drop(stay, rows, named))
