@@ -34,7 +34,7 @@ LEAST_PHRASE = 4 / 3
 MIN_SCORE = 0.4
 UNKNOWN = "und"
 #: Characters parsed side by side within a batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def held_out(id_col: str) -> Column:
