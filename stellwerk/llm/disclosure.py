@@ -174,11 +174,8 @@ def disclosing_terms(rows: DataFrame, holders: DataFrame, near: DataFrame) -> Da
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0)))
     # Counting by hash keeps the keys short; equal hashes of different terms are one in 10^19.
     with_term = rows.select(F.explode(words).alias("term")).groupBy(F.xxhash64("term").alias("hash")).agg(F.count("*").alias("n_term"))
-    total = rows.agg(F.count("*").alias("n"))
-    joined = (
-        tied.join(with_entity, "entity").withColumn("hash", F.xxhash64("term")).join(with_term, "hash")
-        .join(F.broadcast(total))  # one row
-    )
+    joined = tied.join(with_entity, "entity").withColumn("hash", F.xxhash64("term")).join(with_term, "hash")
+    joined = joined.withColumn("n", F.lit(rows.count()))
     told = F.log2(F.col("both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
     ratio = F.try_divide(told, F.log2(F.col("n") / F.col("n_entity")))  # null if every document has the entity
     return joined.select("entity", "term", F.coalesce(ratio, F.lit(0.0)).alias("disclosed")).where(F.col("disclosed") >= GENERALISE)

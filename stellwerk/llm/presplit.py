@@ -12,8 +12,8 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-#: The white space that ``\\s`` means in the tokenizer file's pattern dialect.
-WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
+#: The white space that ``\s`` means in the tokenizer file's pattern dialect, as far as it is stable.
+WHITE_SPACE = r"\t-\r \x85\xa0"
 
 #: Code points below this one have the same classes in every Unicode version since 6; texts
 #: with higher ones are cut by the library's own splitter, whose version may be newer or older.
