@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stellwerk.session import materialise
+
 #: What a word is (once A-Z are lower-cased), and the base phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -147,7 +149,8 @@ def scan(
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("mark", F.xxhash64("text"))
-    diagonals = _diagonals(rows, known)
+    # Few and small, and read twice below; written once, the texts are voted on once.
+    diagonals = materialise(_diagonals(rows, known))
     place = (
         diagonals.where(F.col("base") & (F.size("ats") == F.col("pairs")))
         .select("id", "mark", "label", F.lit(True).alias("base"), F.col("diagonal").alias("first"),
