@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stellwerk import fixed
 from stellwerk.functions import skills
 
+#: Two tokens with a blank between them, from every token on.
+PAIRS = f"(?<![{skills.ALNUM}])(?=([{skills.ALNUM}]+ [{skills.ALNUM}]+))"
 MARK = rf"[^{skills.ALNUM} \t\n\x0b\f\r]"
 
 
@@ -20,7 +22,7 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
 
     The lead is what a text must hold for the candidate to match at all: its first
     ASCII token or, for candidates without one and for substring candidates, its first
-    other character.
+    other character. One token, or two with a blank between them, are a lead of their own.
     """
     candidate = F.col("candidate")
     token = F.nullif(F.regexp_extract(candidate, "([a-z0-9]+)", 1), F.lit(""))
@@ -28,10 +30,11 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
     loose = candidate.isin(*fixed.SUBSTRING_CANDIDATES)
     how = (
         F.when(loose, F.lit("substring"))
-        .when(candidate.rlike("^[a-z0-9]+$"), F.lit("plain"))
+        .when(candidate.rlike("^[a-z0-9]+( [a-z0-9]+)?$"), F.lit("plain"))
         .otherwise(F.lit("bounded"))
     )
-    lead = F.when(loose, mark).otherwise(F.coalesce(token, mark))
+    pair = candidate.rlike("^[a-z0-9]+ [a-z0-9]+$")
+    lead = F.when(pair, candidate).when(loose, mark).otherwise(F.coalesce(token, mark))
     return lexicon.withColumns({"lead": lead, "how": how, "form": F.when(loose, candidate).otherwise(skills.marked(candidate))})
 
 
@@ -58,6 +61,7 @@ def match_candidates(
     wanted = _salted(prepare_lexicon(lexicon.select("candidate").distinct()), salts)
     low = F.col(text)
     leads = skills.tokens(text)
+    leads = F.concat(leads, F.regexp_extract_all(low, F.lit(PAIRS), F.lit(1)))
     if marks:
         leads = F.concat(leads, F.regexp_extract_all(low, F.lit(f"({MARK})"), 1))
     salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt")
