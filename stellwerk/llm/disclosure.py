@@ -5,9 +5,11 @@ entities. A term that stands near an entity reveals it as far as the corpus ties
 together: with n(t, e) documents in which t stands near e, n(t) documents with t, n(e) with e
 and N in all, the pointwise mutual information log(n(t, e) N / (n(t) n(e))) is set against the
 information of the entity itself, log(N / n(e)). A term that reveals at least REMOVE of it is
-removed, one that reveals at least GENERALISE is replaced by a general word. Ties are only
-believed if they were seen in several documents and in as many different surroundings, so
-that neither copies nor repetitions within a document count as evidence.
+removed, one that reveals at least GENERALISE is replaced by a general word, wherever it stands:
+the window around an entity is for the statistics only. Ties are only believed if they were
+seen in SURROUNDINGS documents and in as many different surroundings, so that neither copies
+nor repetitions within a document count as evidence. Nothing is said about the terms near an
+entity of fewer documents: of it, only what the patterns find is replaced.
 """
 
 from __future__ import annotations
@@ -106,8 +108,20 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(digits))
 
 
+def _blanked(text: Column) -> Column:
+    """The text with addresses, the only entities with letters, replaced by as many blanks."""
+
+    def blank(found: Column) -> Column:
+        pieces = F.arrays_zip(F.split(text, PATTERNS["email"], -1).alias("0"), found.alias("1"))
+        gap = lambda p: F.repeat(F.lit(" "), F.coalesce(F.length(p["1"]), F.lit(0)))
+        return F.array_join(F.transform(pieces, lambda p: F.concat(p["0"], gap(p))), "")
+
+    found = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    return F.when(text.contains("@"), let(found, blank)).otherwise(text)
+
+
 def _near(found: DataFrame) -> DataFrame:
-    """Terms near each entity, with their place: id, mark, entity, term, start, end, around."""
+    """Terms near each entity: id, mark, entity, around, term."""
     one = found.select("id", "mark", "text", F.explode("spans").alias("s"))
     side_start = F.greatest(F.col("s.start") - NEAR_CHARS, F.lit(0))
     one = one.select(
@@ -124,12 +138,6 @@ def _near(found: DataFrame) -> DataFrame:
         ).alias("c"),
     ).select("id", "mark", "entity", "c.*")
 
-    # Addresses, the only entities with letters, are blanked out with as many characters.
-    def blank(found: Column) -> Column:
-        pieces = F.arrays_zip(F.split("side", PATTERNS["email"], -1).alias("0"), found.alias("1"))
-        gap = lambda p: F.repeat(F.lit(" "), F.coalesce(F.length(p["1"]), F.lit(0)))
-        return F.array_join(F.transform(pieces, lambda p: F.concat(p["0"], gap(p))), "")
-
     def terms(side: Column) -> Column:
         def add(acc: Column, piece: Column) -> Column:
             start = acc["at"] + F.length(piece["0"])
@@ -143,8 +151,7 @@ def _near(found: DataFrame) -> DataFrame:
             lambda m: F.aggregate(F.arrays_zip(F.slice(F.split(side, TERM, -1), F.lit(1), F.size(m)).alias("0"), m.alias("1")), empty, add)["out"],
         )
 
-    found = F.regexp_extract_all("side", F.lit(PATTERNS["email"]), F.lit(0))
-    one = one.withColumn("side", F.when(F.col("side").contains("@"), let(found, blank)).otherwise(F.col("side")))
+    one = one.withColumn("side", _blanked(F.col("side")))
     one = one.where(F.col("side").rlike(TERM))
     one = one.withColumn("terms", terms(F.col("side")))
     whole = F.filter("terms", lambda t: F.when(F.col("left"), (t["start"] > 0) | (F.col("at") == 0)).otherwise(t["end"] < NEAR_CHARS))
@@ -153,8 +160,8 @@ def _near(found: DataFrame) -> DataFrame:
         F.col("left"), F.slice("terms", F.greatest(F.size("terms") - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS))
     ).otherwise(F.slice("terms", 1, NEAR_WORDS))
     around = F.xxhash64(F.transform(nearest, lambda t: t["term"]))
-    return one.select("id", "mark", "entity", "at", around.alias("around"), F.explode(nearest).alias("t")).select(
-        "id", "mark", "entity", "around", "t.term", (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end")
+    return one.select("id", "mark", "entity", around.alias("around"), F.explode(nearest).alias("t")).select(
+        "id", "mark", "entity", "around", "t.term"
     )
 
 
@@ -181,6 +188,36 @@ def disclosing_terms(rows: DataFrame, holders: DataFrame, near: DataFrame) -> Da
     return joined.select("entity", "term", F.coalesce(ratio, F.lit(0.0)).alias("disclosed")).where(F.col("disclosed") >= GENERALISE)
 
 
+def _holders_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, mark, known (term to kind): the documents that hold a disclosing term anywhere, with those that they hold."""
+    own = F.transform(F.regexp_extract_all(_blanked(F.col("text")), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
+    words = rows.select("id", "mark", F.explode(F.array_distinct(own)).alias("hash"))
+    held = words.join(terms.withColumn("hash", F.xxhash64("term")), "hash").groupBy("id", "mark")
+    return held.agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("known"))
+
+
+def _places(text: Column, known: Column) -> Column:
+    """Spans of every place of the known terms in the whole text, like those of _matches."""
+
+    def spans(text: Column, found: Column) -> Column:
+        def add(acc: Column, piece: Column) -> Column:
+            start = acc["at"] + F.length(piece["0"])
+            end = start + F.length(piece["1"])
+            term = F.lower(piece["1"])
+            kind = F.try_element_at(known, term)
+            span = F.struct(
+                start.alias("start"), F.lit(len(KINDS)).alias("order"), end.alias("end"), kind.alias("kind"), term.alias("value")
+            )
+            out = F.when(kind.isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+            return F.struct(end.alias("at"), out.alias("out"))
+
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+        pieces = F.arrays_zip(F.slice(F.split(text, TERM, -1), F.lit(1), F.size(found)).alias("0"), found.alias("1"))
+        return F.aggregate(pieces, empty, add)["out"]
+
+    return let(_blanked(text), lambda t: let(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), lambda m: spans(t, m)))
+
+
 def _masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind's label; overlapping spans by the first one's."""
 
@@ -199,9 +236,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Every row of ``docs`` with two columns more: pii_base and pii_spans (arrays of start, order, end, kind, value).
 
     pii_spans has the base spans and those of disclosing terms (kinds ``removed`` and ``term``),
-    by start, then kind. A null text has none. Repeated rows are treated alike and count as
-    documents in the statistics. Names of existing columns are not touched, but must not be
-    pii_base or pii_spans.
+    by start, then kind. A term that discloses any entity is marked wherever it stands, in every
+    document; one that discloses several has the kind of the one it gives away most of. A null
+    text has none. Repeated rows are treated alike and count as documents in the statistics.
+    Names of existing columns are not touched, but must not be pii_base or pii_spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     mark, key, hit, extra = free_names(docs, "mark", "key", "hit", "extra")
@@ -210,21 +248,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"), F.col("pii_base").alias("spans")
     )
     holders = materialise(rows.where("size(spans) > 0"))
-    near = _near(holders)
-    told = near.join(disclosing_terms(rows, holders, near), ["entity", "term"])
+    told = disclosing_terms(rows, holders, _near(holders)).groupBy("term").agg(F.max("disclosed").alias("disclosed"))
     kind = F.when(F.col("disclosed") >= REMOVE, "removed").otherwise("term")
-    spans = told.groupBy("id", "mark", "start", "end", "term").agg(F.min(kind).alias("kind")).groupBy("id", "mark").agg(
-        F.collect_list(
-            F.struct("start", F.lit(len(KINDS)).alias("order"), "end", "kind", F.col("term").alias("value"))
-        ).alias(extra)
-    )
-    spans = spans.withColumnsRenamed({"id": key, "mark": hit})
-    # Only documents with an entity can have such terms; the others are not moved.
-    some = marked.where(F.size("pii_base") > 0).withColumn(mark, F.xxhash64(text))
-    some = some.join(spans, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(hit)), "left")
-    some = some.withColumn("pii_spans", F.sort_array(F.concat("pii_base", F.coalesce(F.col(extra).cast(SPANS), F.array().cast(SPANS)))))
-    none = marked.where(F.size("pii_base") == 0).withColumn("pii_spans", F.col("pii_base"))
-    return some.drop(mark, key, hit, extra).unionByName(none)
+    # Written, terms and documents have a known size, so that the joins move the texts only if these are large.
+    terms = materialise(told.select("term", kind.alias("kind")))
+    known = materialise(_holders_of(rows, terms)).withColumnsRenamed({"id": key, "mark": hit, "known": extra})
+    marked = marked.withColumn(mark, F.xxhash64(text))
+    joined = marked.join(known, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(hit)), "left")
+    more = F.when(F.col(extra).isNotNull(), F.sort_array(F.concat("pii_base", _places(text, F.col(extra))))).otherwise(F.col("pii_base"))
+    return joined.withColumn("pii_spans", more).drop(mark, key, hit, extra)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -190,3 +190,22 @@ def test_disclosure_repeated_null_and_empty(spark):
 
 def disclosure_text(spans):
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    filler = ["quiet", "river", "stone", "green", "early", "paper", "light"]
+    mail = "jd@mail.example.org"
+    far = "x y. " * 60
+    rows = [(i, f"{filler[i]} Zanzibaro {filler[i + 1]} wrote {mail} about {filler[i + 2]} things") for i in range(5)]
+    rows += [(5, f"🙂 Dear ZANZIBARO, {far} {filler[5]} zanzibaro {filler[6]} wrote {mail} {far} Zanzibaro Zanzibaros")]
+    rows += [(6, "No address here, only Zanzibaro."), (7, "zanzibaro@b.example.org and Zanzibaro")]
+    rows += [(100 + i, f"Today {filler[i % 7]} {filler[(i + 2) % 7]} wrote about things of page {i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in disclosure.find(df.union(df.where("doc_id = 6"))).collect()}
+    for i, text in rows:
+        own = [m.span() for m in re.finditer(r"(?i)\bzanzibaro\b(?!@)", text)]
+        assert [(s.start, s.end) for s in got[i].pii_spans if s.value == "zanzibaro"] == own, i
+        assert {s.kind for s in got[i].pii_spans if s.order == len(disclosure.KINDS)} <= {"removed", "term"}
+    assert [len(got[i].pii_spans) - len(got[i].pii_base) for i in (5, 6, 7, 100)] == [3, 1, 1, 0]
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(df).collect()}
+    assert not any(re.search(r"(?i)\bzanzibaro\b", t) for t in clean.values()) and "Zanzibaros" in clean[5]
