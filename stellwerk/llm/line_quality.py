@@ -1,8 +1,8 @@
 """Quality rules: lines that many documents of a host share do not count as a document's own.
 
 Each line is normalised and hashed; the documents of a host that hold it are counted over the
-whole corpus. Lines above both limits are removed, and a document of which too little
-remains is rejected. Plain rules on the document alone (its length, its repeated windows of
+whole corpus. Lines above the limit are removed, however large the host is, and a document of
+which too little remains is rejected. Plain rules on the document alone (its length, its repeated windows of
 words) reject documents before that.
 """
 
@@ -17,7 +17,8 @@ from stellwerk.llm.common import let, sliding
 SPACE, SYMBOLS = "[\\x20\\x09-\\x0D]", "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
-#: A line is removed if more documents of its host than this hold it, and more than this share of them.
+#: A line is removed if more documents of its host than LINE_DOCUMENTS hold it. The share is that of the
+#: query's SQL, which asks for both; the operator does not, since it would spare the lines of large hosts.
 LINE_DOCUMENTS, LINE_SHARE = 10, 0.01
 #: A document is depleted if less than this share of its words remains.
 REMAINING = 0.3
@@ -94,9 +95,8 @@ def _own_lines(text: Column) -> Column:
 def _removed_words(rows: DataFrame) -> DataFrame:
     """Words that the common lines of a host take from each document (id, mark, host)."""
     lines = rows.select("id", "mark", "host", F.inline(_own_lines(F.col("text"))))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("documents"))
-    holders = lines.groupBy("host", "hash").agg(F.count_if("first").alias("holders")).where(F.col("holders") > LINE_DOCUMENTS)
-    common = holders.join(sizes, "host").where(F.col("holders") > LINE_SHARE * F.col("documents")).select("host", "hash")
+    holders = lines.groupBy("host", "hash").agg(F.count_if("first").alias("holders"))
+    common = holders.where(F.col("holders") > LINE_DOCUMENTS).select("host", "hash")
     hit = lines.join(common, ["host", "hash"]).repartition("id", "mark", "host")
     # Equal rows of the table meet here; each has one first line of a hash.
     once = hit.groupBy("id", "mark", "host", "hash").agg((F.sum("words") / F.count_if("first")).alias("words"))

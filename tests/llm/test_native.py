@@ -209,3 +209,19 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     assert [len(got[i].pii_spans) - len(got[i].pii_base) for i in (5, 6, 7, 100)] == [3, 1, 1, 0]
     clean = {r.doc_id: r.text for r in disclosure.sanitise(df).collect()}
     assert not any(re.search(r"(?i)\bzanzibaro\b", t) for t in clean.values()) and "Zanzibaros" in clean[5]
+
+
+def test_common_lines_of_a_large_host_are_removed(spark):
+    def own(i):
+        name = "".join(chr(97 + i // 26**k % 26) for k in range(3))  # numbers would be alike in all lines
+        return " ".join(f"{name}x{chr(97 + k)}" for k in range(26))
+
+    line = "the same line stands here"
+    rows = [(i, f"{own(i)}\n{line}" if i < 12 else own(i), "hot") for i in range(3000)]
+    rows += [(5000 + i, f"{own(i)}\n{line}", "small") for i in range(12)] + [(6000 + i, f"{own(i)}\n{line}", "few") for i in range(10)]
+    rows += [(7000, f"{line}\n" * 5 + own(1), "hot"), (7001, f"{line} 7 b c d e f g h i j k l m n o p q r s", "hot")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.n_removed_words for r in line_quality.rate(df).collect()}
+    assert all(got[i] == (5 if i < 12 else 0) for i in range(3000))
+    assert all(got[5000 + i] == 5 for i in range(12)) and all(got[6000 + i] == 0 for i in range(10))
+    assert got[7000] == 25 and got[7001] == 0
