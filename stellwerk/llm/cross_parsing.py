@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Bounds of the labelled sample: texts for each language, characters taken from one text (a stretch
 #: at a place that follows from a hash), and characters of a reference.
 SAMPLE_TEXTS, STRETCH, REFERENCE = 120, 400, 30_000
-#: Different letters told apart; rarer ones are like letters never seen.
+#: Letters with a column in the transition tables, the most frequent ones; arcs of all others are in a sorted list.
 LETTERS = 62
 #: Characters per phrase, on average, below which a text is not in a language.
 LEAST_PHRASE = 4 / 3
@@ -78,34 +78,47 @@ class CrossParser:
 
     def __init__(self, references: Sequence[tuple[str, str]]):
         self.languages = [lang for lang, _ in references]
-        seen = Counter(c for _, text in references for c in text if c.isalpha())
-        letters = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
-        #: 0: anything that is no letter; 1, 2, ...: letters; the last code: other letters.
-        self._other, self._width = len(letters) + 1, len(letters) + 2
-        self._code = np.zeros(0x110000, np.uint8)
+        seen = Counter(c for _, text in references for c in text.lower() if c.isalpha())
+        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        #: 0: anything that is no letter; 1, 2, ...: letters by falling frequency; the last code: letters of no reference.
+        #: The last column of a table is for the codes without one of their own.
+        self._other, self._width = len(letters) + 1, min(len(letters), LETTERS) + 2
+        self._code = np.zeros(0x110000, np.int32)
         self._is_letter = np.zeros(0x110000, bool)
         known: list[int] = [c for c in range(0x110000) if chr(c).isalpha()]
         self._code[known], self._is_letter[known] = self._other, True
         for i, c in enumerate(letters, 1):
             self._code[ord(c)] = i
-        tables, first = [np.full((1, self._width), -1, np.int64)], 1  # row 0: reads nothing
+        tables, first = [np.full((1, self._width), -1, np.int32)], 1  # row 0: reads nothing
         self._root, self._bits = [], []
-        for _, text in references:
+        #: Where a new phrase stands that starts with a code: at the empty row if no phrase does.
+        self._start = np.zeros((len(references), self._other + 1), np.int32)
+        rare: list[tuple[int, int]] = []
+        for k, (_, text) in enumerate(references):
             codes, _, _ = self._encode([text])
             steps = suffix_automaton(codes.tolist())
-            table = np.full((len(steps), self._width), -1, np.int64)
+            table = np.full((len(steps), self._width), -1, np.int32)
             for s, arcs in enumerate(steps):
                 for c, to in arcs.items():
-                    if c != self._other:
-                        table[s, c] = first + to
+                    if c < self._width - 1:
+                        table[s, c] = (first + to) * self._width
+                    elif c != self._other:
+                        rare.append(((first + s) * self._other + c, (first + to) * self._width))
+            for c, to in steps[0].items():
+                self._start[k, c] = (first + to) * self._width if c != self._other else 0
             tables.append(table)
             self._root.append(first)
             self._bits.append(math.log2(max(2, len(codes))))
             first += len(steps)
-        whole = np.concatenate(tables)
-        self._next = np.where(whole >= 0, whole * self._width, -1).astype(np.int32).ravel()
-        #: Where a new phrase stands that starts with a code: at the empty row if no phrase does.
-        self._start = np.maximum(whole[self._root], 0).astype(np.int32) * self._width
+        self._next = np.concatenate(tables).ravel()
+        rare.sort()
+        self._rare_keys, self._rare_to = np.array([x for x, _ in rare], np.int64), np.array([x for _, x in rare], np.int32)
+
+    def _read_rare(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Where the states (languages x texts) read codes without a column, -1 if nowhere."""
+        keys = state // self._width * np.int64(self._other) + codes
+        at = np.minimum(np.searchsorted(self._rare_keys, keys), len(self._rare_keys) - 1)
+        return np.where(self._rare_keys[at] == keys, self._rare_to[at], -1)
 
     def _encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of the texts end to end, with runs of what is no letter made one; codes and letters of each."""
@@ -116,7 +129,7 @@ class CrossParser:
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (owner[1:] != owner[:-1])
         letters = np.bincount(owner[self._is_letter[points]], minlength=len(texts))
-        return codes[keep].astype(np.int32), np.bincount(owner[keep], minlength=len(texts)), letters
+        return codes[keep], np.bincount(owner[keep], minlength=len(texts)), letters
 
     def phrases(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of each text in each language (languages x texts), and characters and letters of each text."""
@@ -128,9 +141,13 @@ class CrossParser:
         active = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
         count = np.zeros((n, len(texts)), np.int32)
         state = np.repeat(np.array(self._root, np.int32)[:, None] * self._width, len(texts), axis=1)
+        columns = np.minimum(codes, self._width - 1)
         for position, k in enumerate(active.tolist()):
-            c = codes[at[:k] + position]
-            to = self._next[state[:, :k] + c]
+            places = at[:k] + position
+            c = codes[places]
+            to = self._next[state[:, :k] + columns[places]]
+            if len(self._rare_keys) and len(rare := np.flatnonzero((c >= self._width - 1) & (c != self._other))):
+                to[:, rare] = self._read_rare(state[:, rare], c[rare])
             ended = to < 0
             if position:  # at the start there is no phrase to end
                 count[:, :k] += ended

@@ -42,6 +42,31 @@ def test_phrases_are_the_longest_matches():
             assert counts[i, k] == phrases, text
 
 
+def test_every_letter_of_every_language_is_told_apart():
+    rnd = random.Random(11)
+    latin = ["abcdefghijklmnopqrstuvwxyz" + more for more in ("", "äöüß", "éèçà", "ñóí")]
+    alphabets = [*latin, "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(chr(0x4E00 + k) for k in range(1500))]
+    words = [["".join(rnd.choice(a) for _ in range(rnd.randrange(2, 6))) for _ in range(400)] for a in alphabets]
+    say = lambda k, n: " ".join(rnd.choice([w, w.title(), w.upper()]) for w in rnd.choices(words[k], k=n))
+    references = [(name, say(k, 1500)) for k, name in enumerate(("en", "de", "fr", "es", "ru", "zh"))]
+    parser = cross_parsing.CrossParser(references)
+    texts = [say(k, n) for k in range(6) for n in (5, 40)] + ["Ωλ", "漢 а", words[5][0] + words[4][0] + "ω" + words[5][1]]
+    for k, (lang, score) in enumerate(parser.predict(texts[:12])):
+        assert lang == references[k // 2][0] and score >= cross_parsing.MIN_SCORE, texts[k]
+    counts, _, _ = parser.phrases(texts)
+    read = ["".join(map(chr, parser._encode([t])[0])) for _, t in references]
+    for k, text in enumerate(texts):
+        codes = "".join(map(chr, parser._encode([text])[0]))
+        for i, reference in enumerate(read):
+            at = phrases = 0
+            while at < len(codes):
+                end = at + 1
+                while end < len(codes) and codes[at : end + 1] in reference:
+                    end += 1
+                at, phrases = end, phrases + 1
+            assert counts[i, k] == phrases, text
+
+
 def test_languages_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in cross_parsing.identify(docs).collect()}
