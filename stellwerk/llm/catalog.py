@@ -12,7 +12,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import chat_format, cross_parsing, decontamination, disclosure, licenses, line_quality, toxicity
+from stellwerk.llm import (
+    best_position,
+    chat_format,
+    collocations,
+    cross_parsing,
+    decontamination,
+    disclosure,
+    licenses,
+    line_quality,
+    toxicity,
+    url_rules,
+)
 from stellwerk.llm.oracle import SQL  # noqa: F401  for those that SQL can express
 from stellwerk.llm.simhash import near_duplicates
 from stellwerk.llm.token_automaton import encode_decode
@@ -82,6 +93,18 @@ def op10_disclosure(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.judge(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op12_best_position(spark: SparkSession, sf: str) -> DataFrame:
+    return best_position.search(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(_documents(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_decontamination": op2_decontamination,
@@ -93,5 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_disclosure": op10_disclosure,
+    "op11_url_rules": op11_url_rules,
+    "op12_best_position": op12_best_position,
+    "op13_collocations": op13_collocations,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stellwerk.llm import disclosure, licenses, line_quality
+from stellwerk.llm import best_position, collocations, disclosure, licenses, line_quality, url_rules
 
 
 def _quoted(value: str) -> str:
@@ -240,9 +240,108 @@ def disclosure_sql() -> str:
     """
 
 
+def url_rules_sql() -> str:
+    places, patterns = [], []
+    for r in url_rules.rules():
+        host, _, path = r.text.partition("/")
+        row = f"({r.rank}, {_quoted(r.action)}, {_quoted(r.text)}, {_quoted(host)}, {_quoted('/' + path)})"
+        places.append(row) if r.place else patterns.append(f"({r.rank}, {_quoted(r.action)}, {_quoted(r.text)}, {_quoted(r.regex)})")
+    parts = "(?s)^.*?://([^/?#]*)([^?#]*)"
+    return f"""
+    WITH place(rank, action, rule, h, p) AS (VALUES {', '.join(places)}),
+    pattern(rank, action, pattern, regex) AS (VALUES {', '.join(patterns)}),
+    page AS (
+      SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{parts}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '{parts}', 2) AS path FROM pages
+    ),
+    address AS (SELECT DISTINCT host, path FROM page),
+    fits AS (
+      SELECT host, path, arg_max(rule, rank) AS rule, arg_max(action, rank) AS action FROM address JOIN place
+      ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path
+    ),
+    reads AS (
+      SELECT host, path, arg_max(pattern, rank) AS pattern, arg_max(action, rank) AS action FROM address JOIN pattern
+      ON regexp_matches(host || path, regex) WHERE host || path <> '' GROUP BY host, path
+    )
+    SELECT page_id, host, path, rule, coalesce(fits.action, reads.action, 'allow') AS verdict,
+           CASE WHEN rule IS NULL THEN pattern END AS pattern
+    FROM page LEFT JOIN fits USING (host, path) LEFT JOIN reads USING (host, path)
+    """
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def best_position_sql() -> str:
+    b = best_position
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '{term}') AS w FROM documents),
+    whole AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '{term}')) AS t FROM benchmark),
+    posting AS (
+      SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d)
+      WHERE t IN (SELECT t FROM asked) GROUP BY r, doc_id, n, t
+    ),
+    weight AS (
+      SELECT t, floor({b.WEIGHT_SCALE} * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM posting, whole GROUP BY t, n_docs
+    ),
+    impact AS (
+      SELECT r, doc_id, t, w * (({b.TF_SCALE}::BIGINT * tf)
+             // (1000 * tf + 20 * ({100 - b.LENGTH_SHARE} + ({b.LENGTH_SHARE} * n * n_docs) // n_terms))) AS score
+      FROM posting JOIN weight USING (t), whole
+    ),
+    total AS (SELECT item_id, r, doc_id, sum(score)::BIGINT AS score FROM asked JOIN impact USING (t) GROUP BY item_id, r, doc_id),
+    ranked AS (
+      SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+      FROM total WHERE score > 0
+    )
+    SELECT * FROM ranked WHERE rank <= 50
+    """
+
+
+def collocations_sql() -> str:
+    c = collocations
+    return f"""
+    WITH piece AS (
+      SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (
+        SELECT coalesce(lang, '{c.UNKNOWN}') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents
+      )
+    ),
+    start AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
+    gram AS (SELECT lang, w, i, unnest(range(1, least({c.LONGEST}, len(w) - i + 1) + 1)) AS size FROM start),
+    counted AS (SELECT lang, list_slice(w, i, i + size - 1) AS g, size, count(*)::BIGINT AS f FROM gram GROUP BY ALL),
+    total AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+    candidate AS (SELECT * FROM counted WHERE size > 1 AND f >= {c.MIN_COUNT}),
+    cut AS (SELECT *, unnest(range(1, size)) AS k FROM candidate),
+    scored AS (
+      SELECT cut.lang, cut.g, cut.f AS a, k, left_.f AS l, right_.f AS r, ({c.SCALE}::HUGEINT * cut.f) // (left_.f + right_.f) AS score
+      FROM cut JOIN counted left_ ON left_.lang = cut.lang AND left_.g = list_slice(cut.g, 1, k)
+      JOIN counted right_ ON right_.lang = cut.lang AND right_.g = list_slice(cut.g, k + 1, cut.size)
+    ),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    part AS (SELECT *, unnest(range(2, size)) AS n FROM candidate WHERE size > 2),
+    inside AS (
+      SELECT lang, list_slice(g, i, i + n - 1) AS g, max(f) AS most
+      FROM (SELECT *, unnest(range(1, size - n + 2)) AS i FROM part) GROUP BY ALL
+    ),
+    ranked AS (
+      SELECT lang, a, l, r, score, array_to_string(g, ' ') AS phrase FROM lowest LEFT JOIN inside USING (lang, g)
+      WHERE most IS NULL OR 100 * most < {c.COVERED} * a
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n,
+           score::BIGINT AS score
+    FROM ranked JOIN total USING (lang) QUALIFY rank <= {c.TOP}
+    """
+
+
 SQL = {
     "op1_licenses": licenses_sql(),
     "op4_line_quality": line_quality_sql(),
     "op8_chat_format": chat_format_sql(),
     "op10_disclosure": disclosure_sql(),
+    "op11_url_rules": url_rules_sql(),
+    "op12_best_position": best_position_sql(),
+    "op13_collocations": collocations_sql(),
 }
