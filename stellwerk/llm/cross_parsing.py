@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample: texts for each language, characters taken from one text (a stretch
@@ -30,9 +30,13 @@ SAMPLE_TEXTS, STRETCH, REFERENCE = 120, 400, 30_000
 LETTERS = 62
 #: Characters per phrase, on average, below which a text is not in a language.
 LEAST_PHRASE = 4 / 3
-#: Below this score no language of the sample fits a text, or none fits better than the others do.
+#: Below this weight against single letters no language of the sample fits a text, however the languages compare.
+MIN_FIT = 0.5
+#: Below this score a text cannot be told from another language's; it is kept as long as one fits.
 MIN_SCORE = 0.4
 UNKNOWN = "und"
+#: Stands for letters that are left out of a reference.
+NO_LETTER = "\ue000"
 #: Characters parsed side by side within a batch.
 SLICE_CHARS = 2_000_000
 
@@ -157,10 +161,18 @@ class CrossParser:
         return count, sizes, letters
 
     def predict(self, texts: Sequence[str]) -> list[tuple[str, float]]:
-        """Language and score of each text; ``und`` and 0 without a letter or a language to choose."""
+        """Language and score of each text; ``und`` and 0 without a letter or a language to choose.
+
+        Of equally good languages the first by name is given; the score says that there are others.
+        """
+        return [(lang, score) for lang, score, _ in self.judge(texts)]
+
+    def judge(self, texts: Sequence[str]) -> list[tuple[str, float, float]]:
+        """Language, score and fit of each text. The fit is the language's weight against single letters alone;
+        a text that is one phrase as a whole fits."""
         if not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        out: list[tuple[str, float]] = []
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        out: list[tuple[str, float, float]] = []
         for block in _slices(texts):
             count, sizes, letters = self.phrases(block)
             bits = count * np.array(self._bits)[:, None] / np.maximum(sizes, 1)
@@ -169,8 +181,11 @@ class CrossParser:
             least = bits.min(axis=0)
             rivals = np.concatenate((bits, np.full((1, len(block)), min(self._bits) / LEAST_PHRASE)))
             score = 1 / np.exp2(np.minimum(-6 * (rivals - least), 500)).sum(axis=0)
+            fit = 1 / (1 + np.exp2(np.clip(-6 * (rivals[-1] - least), -500, 500)))
+            fit = np.where((count.min(axis=0) <= 1) & (sizes > 1), 1.0, fit)
             out += [
-                (self.languages[b], float(s)) if some else (UNKNOWN, 0.0) for b, s, some in zip(best, score, letters > 0)
+                (self.languages[b], float(s), float(f)) if some else (UNKNOWN, 0.0, 0.0)
+                for b, s, f, some in zip(best, score, fit, letters > 0)
             ]
         return out
 
@@ -190,7 +205,7 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(language, reference text) by language, from a bounded sample of the rows that are not held out.
 
     Rows are drawn by a hash of their id at a rate that follows from the language's number of
-    rows, so about 1.5 times SAMPLE_TEXTS of each language come to the driver at any size.
+    rows; SAMPLE_TEXTS different stretches of each language at most come to the driver, at any size.
     """
     rows = docs.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
@@ -206,10 +221,26 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = rows.where(F.pmod(hash_, F.lit(1 << 20)) < rate * (1 << 20)).select(
         "lang", F.pmod(hash_, F.lit(1 << 20)).alias("order"), F.substring("text", place, F.lit(STRETCH)).alias("stretch")
     )
+    # Copies, and rows that share an id, count once; what is beyond the sample is cut on the cluster.
+    once = drawn.groupBy("lang", "stretch").agg(F.min("order").alias("order"))
+    by = Window.partitionBy("lang").orderBy("order", "stretch")
+    kept = once.withColumn("at", F.row_number().over(by)).where(F.col("at") <= SAMPLE_TEXTS)
     texts: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.order, r.stretch)):
+    for r in kept.orderBy("lang", "at").collect():
         texts.setdefault(r.lang, []).append(r.stretch)
-    return [(lang, " ".join(t[:SAMPLE_TEXTS])[:REFERENCE]) for lang, t in sorted(texts.items())]
+    return [(lang, reference(t)[:REFERENCE]) for lang, t in sorted(texts.items())]
+
+
+def reference(texts: Sequence[str]) -> str:
+    """One text of the sampled ones, in which letters that a single one of them has do not count as the language's.
+
+    Otherwise a text of another script under a wrong label would be read as one phrase of its own.
+    A language of a single text has its letters.
+    """
+    seen = Counter(c for t in texts for c in set(t.lower()) if c.isalpha())
+    if len(texts) < 2:
+        return " ".join(texts)
+    return " ".join("".join(NO_LETTER if c.isalpha() and any(seen[x] < 2 for x in c.lower() if x.isalpha()) else c for c in t) for t in texts)
 
 
 @lru_cache(maxsize=1)
@@ -242,17 +273,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(
-    docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, min_fit: float = MIN_FIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """The rows of ``docs`` in a language of the sample, as they are: ``und`` and scores below
-    ``min_score`` go. Nothing is shuffled."""
+    """The rows of ``docs`` in a language of the sample, as they are: ``und`` and texts that no language fits go.
+
+    A text that several languages fit alike, as short ones do, stays. The rows are not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(references(docs, id_col, text_col, lang_col)))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for batch in batches:
-            found = parser.predict([t or "" for t in batch.column(place).to_pylist()])
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+            found = parser.judge([t or "" for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([lang != UNKNOWN and fit >= min_fit for lang, _, fit in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

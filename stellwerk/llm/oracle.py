@@ -176,6 +176,8 @@ def disclosure_sql() -> str:
         f"array_to_string(list_transform(range(1, len(string_split_regex(side, '{PLAIN['email']}')) + 1), lambda i: "
         f"string_split_regex(side, '{PLAIN['email']}')[i] || repeat(' ', coalesce(length(regexp_extract_all(side, '{PLAIN['email']}')[i]), 0))), '')"
     )
+    blanked_text = blanked.replace("(side", "(text")
+    share, zz = "(both_ / n_term)", q.Z * q.Z
     near_chars, near_words = q.NEAR_CHARS, q.NEAR_WORDS
     counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in q.KINDS)
     joined = "coalesce(string_agg(kind || ':' || start::INT || ':' || stop::INT, ',' ORDER BY start, ord, stop), '')"
@@ -221,12 +223,15 @@ def disclosure_sql() -> str:
       SELECT entity, term, disclosed FROM (
         SELECT entity, term, CASE WHEN n = n_entity THEN 0 ELSE log2(both_ * n / (n_term * n_entity)) / log2(n / n_entity) END AS disclosed
         FROM tied JOIN with_entity USING (entity) JOIN with_term USING (term), (SELECT count(*) AS n FROM d)
+          WHERE ({share} + {zz} / (2 * n_term) - {q.Z} * sqrt({share} * (1 - {share}) / n_term + {zz} / (4.0 * n_term * n_term)))
+                / (1 + {zz} / n_term) >= {q.SURE}
       ) WHERE disclosed >= {q.GENERALISE}
     ),
+    kind_of AS (SELECT term, CASE WHEN max(disclosed) >= {q.REMOVE} THEN 'removed' ELSE 'term' END AS kind FROM told GROUP BY term),
+    bare AS (SELECT rid, rid AS doc, {blanked_text} AS side FROM d),
     added AS (
-      SELECT doc AS rid, {len(q.KINDS)} AS ord, min(CASE WHEN disclosed >= {q.REMOVE} THEN 'removed' ELSE 'term' END) AS kind,
-             site + start AS start, site + stop AS stop
-      FROM near JOIN told USING (entity, term) GROUP BY doc, site + start, site + stop
+      SELECT doc AS rid, {len(q.KINDS)} AS ord, kind, start, start + length(value) AS stop
+      FROM ({_places('bare', 'rid, doc', 'side', q.TERM)}) JOIN kind_of ON lower(value) = term
     ),
     base AS (SELECT rid, {counts}, sha256({joined}) AS base_sha256 FROM span GROUP BY rid),
     everything AS (

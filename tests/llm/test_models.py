@@ -91,6 +91,20 @@ def test_language_does_not_follow_the_columns_and_odd_texts(spark):
     assert not {90001, 90002, 90003, 90004} & set(kept) and kept.count(90005) == 2 and len(kept) >= 0.99 * docs.count()
 
 
+def test_a_document_is_not_identified_from_its_own_text(spark):
+    """A mislabelled one, in however many copies; short texts of known languages stay, ties included."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    own = [(90000 + i, "漢字 かな", "en") for i in range(9)] + [(91000, "Ωλψ", "de")] + [(91001, "Ωλψ", "de")]
+    short = [(92000, "A.", "en"), (92001, "Re.", "de"), (92002, "De.", None), (92003, "A.\nAll rights reserved.", None)]
+    odd = spark.createDataFrame(own + short, docs.schema)
+    more = docs.union(odd).selectExpr("*", "true AS held_out", "'x' AS lang_pred", "9 AS score")
+    kept = {r.doc_id for r in cross_parsing.keep_identified(more).collect()}
+    assert kept & {i for i, _, _ in own} == set() and {i for i, _, _ in short} <= kept
+    assert len(kept) >= 0.99 * docs.count()
+    got = cross_parsing.identify(more)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == docs.count() + len(own) + len(short)
+
+
 def test_nothing_to_learn_languages_from(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id bigint, text string, lang string")
     assert {(r.lang_pred, r.score) for r in cross_parsing.identify(df).collect()} == {("und", 0.0)}

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
-from stellwerk.llm import disclosure, licenses, line_quality
+import duckdb
+import pytest
+
+from stellwerk.llm import catalog, disclosure, licenses, line_quality
+from tests.compare import compare
 
 ODD = "doc_id bigint, text string, source string, id string, mark int, host string, spans string"
 
@@ -225,3 +230,65 @@ def test_common_lines_of_a_large_host_are_removed(spark):
     assert all(got[i] == (5 if i < 12 else 0) for i in range(3000))
     assert all(got[5000 + i] == 5 for i in range(12)) and all(got[6000 + i] == 0 for i in range(10))
     assert got[7000] == 25 and got[7001] == 0
+
+
+def test_personal_data_in_texts_of_many_spans(spark):
+    """As many addresses as a table of members has, with a term to replace between them: in seconds, not in squares."""
+    many = "".join(f"ü{chr(97 + k % 26)}@mail.example.org Zanzibaro 10.0.0.{k % 256}, " for k in range(4_000))
+    filler = ["quiet", "river", "stone", "green", "early", "paper"]
+    rows = [(i, f"{filler[i]} Zanzibaro {filler[i + 1]} wrote +49 30 1234567 now") for i in range(5)] + [(9, many)]
+    rows += [(100 + i, f"Today {filler[i % 6]} wrote about things of page {i}") for i in range(80)]
+    start = time.time()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = disclosure.find(df).where("doc_id = 9").first()
+    assert [tuple(s)[:4] for s in found.pii_base] == plain_spans(many)
+    assert [s.start for s in found.pii_spans if s.order == 4] == [m.start() for m in re.finditer("Zanzibaro", many)]
+    clean = disclosure.sanitise(df).where("doc_id = 9").first().text
+    assert clean == "".join("ü[EMAIL]  [IP], " for _ in range(4_000))
+    assert time.time() - start < 100
+
+
+def test_a_term_of_many_documents_gives_nobody_away(spark):
+    """Three of its forty documents name the entity: told by information alone, not with any certainty."""
+    rows = [(i, f"x{chr(97 + i)}lo Zanzibaro r{chr(97 + i)}lo wrote jd@mail.example.org") for i in range(3)]
+    rows += [(10 + i, f"only Zanzibaro of page {i}") for i in range(37)] + [(100 + i, f"some page {i}") for i in range(9000)]
+    got = {r.doc_id: r for r in disclosure.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not any(s.value == "zanzibaro" for r in got.values() for s in r.pii_spans)
+    assert {s.value for r in got.values() for s in r.pii_spans if s.order == 4} == {"wrote"}  # of three documents, all with the entity
+
+
+def test_columns_named_like_the_spans(spark):
+    df = spark.createDataFrame([(1, "a@b.c", "mine", 7)], "doc_id bigint, text string, pii_base string, held int")
+    assert [tuple(r) for r in disclosure.sanitise(df).collect()] == [(1, "[EMAIL]", "mine", 7)]
+    with pytest.raises(ValueError):
+        disclosure.find(df)
+    assert len(disclosure.find(df, names=("own", "all")).first()["all"]) == 1
+
+
+def test_find_moves_no_texts(spark):
+    """Spans are joined, texts are not: no exchange of the plan carries them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = disclosure.find(docs).select("doc_id", "pii_base", "pii_spans")
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert len(moved) == 2 and not any("text#" in columns for columns in moved)
+
+
+def test_operator_and_sql_agree_on_planted_terms(spark, tmp_path):
+    """On a table in which terms do disclose an entity, near it and elsewhere."""
+    filler = ["quiet", "river", "stone", "green", "early", "paper", "light"]
+    rows = [(i, f"{filler[i]} Zanzibaro {filler[i + 1]} wrote jd@mail.example.org about {filler[i + 2]} things") for i in range(5)]
+    rows += [(6, "No address here, only ZANZIBARO."), (7, None), (8, "zanzibaro@b.example.org and Zanzibaro"), (9, "")]
+    rows += [(100 + i, f"Today {filler[i % 7]} {filler[(i + 2) % 7]} wrote about things of page {i}") for i in range(80)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog.SQL["op10_disclosure"]).df()
+    got = catalog.op10_disclosure(spark, str(tmp_path)).toPandas()
+    assert compare(got, want) is None
+    assert got.spans.str.contains("term:|removed:").sum() == 7
