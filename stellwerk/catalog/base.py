@@ -23,10 +23,9 @@ SELECT doc_id AS seq,
        CASE doc_id % 8 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'hays' WHEN 2 THEN 'solcom' WHEN 3 THEN 'freelancermap'
             WHEN 4 THEN 'xing' WHEN 5 THEN 'gulp' WHEN 6 THEN 'freelance_de' ELSE 'ferchau' END AS provider,
        concat('https://jobs.example.com/', lang, '/', cast(n_chars AS STRING)) AS link,
-       CASE doc_id % 7 WHEN 0 THEN 'Chief Weld Inspection Test Engineer' WHEN 1 THEN 'Junior Julia Developer'
-            WHEN 2 THEN 'Bootrom Verwalter (C++)' WHEN 3 THEN 'Shift Lead QA - Remote'
-            WHEN 4 THEN 'Zig / Ada Engineer' WHEN 5 THEN 'International Sales, Auftragnehmer'
-            ELSE 'Yield Analyst' END AS title,
+       CASE doc_id % 6 WHEN 0 THEN 'Winzer - Remote, Steillage' WHEN 1 THEN 'Intern: Beekeeping and Honey QA'
+            WHEN 2 THEN concat('Gardener no. ', cast(n_chars % 10 AS STRING)) WHEN 3 THEN 'Soil Test Lab (C#), Vorarbeiter'
+            WHEN 4 THEN 'International Seed Sales' ELSE concat('Junior ', upper(lang), ' Orchard Hand') END AS title,
        concat(source, CASE doc_id % 3 WHEN 0 THEN ' GmbH' ELSE ' Inc.' END) AS company,
        lang AS location,
        source AS run_id,
@@ -35,11 +34,9 @@ SELECT doc_id AS seq,
        CASE doc_id % 4 WHEN 0 THEN 'Freelance' WHEN 1 THEN 'Contract' WHEN 2 THEN 'Internship'
             ELSE 'Full-time' END AS employment_type,
        'Recent' AS posted_at_relative,
-       concat(text, CASE doc_id % 9 WHEN 0 THEN ' Gehalt: 95.000 € Nahtprüfung, TDD/BDD'
-            WHEN 1 THEN ' Salary: €80k vitest, Zephyr' WHEN 2 THEN ' hybrid, I3C and QSPI; OCR, ASR'
-            WHEN 3 THEN ' Automobilindustrie mit Three.js und .NET/C#' WHEN 4 THEN ' VERGÜTUNG $120K; Bühnenverwalter'
-            WHEN 5 THEN ' tdd/bdd cycles, Leck-Prüfung, Demand Forecasting (Keras)'
-            WHEN 6 THEN ' Stundensatz eur, Cypress & Gatling, TIL/MIL' ELSE '' END) AS description
+       concat(text, CASE doc_id % 10 WHEN 1 THEN ' 4-20 mA loops, hybrid. Hydroponik' WHEN 2 THEN ' Gehalt: 48.500 € plus Brix'
+            WHEN 4 THEN ' Ladder Logic / .NET; NDVI' WHEN 5 THEN ' Stundensatz eur. pH, Bodenprobe'
+            WHEN 7 THEN ' VERGÜTUNG $61K und Drip/Spray' WHEN 8 THEN ' Salary: €52k, crop forecast (C++)' ELSE '' END) AS description
 FROM documents
 """
 
@@ -49,7 +46,7 @@ DETAILS = f"""
 SELECT p.link,
        CASE WHEN l.quality = 1 THEN concat(p.title, ' (m/w/d)') END AS title,
        CASE WHEN l.toxic = 1 THEN 'Remote, Wien' END AS location,
-       CASE WHEN l.quality = 1 THEN concat('Gehalt: 75.000 € Podman. ', p.description) ELSE '' END AS description,
+       CASE WHEN l.quality = 1 THEN concat('Gehalt: 39.900 € Valve. ', p.description) ELSE '' END AS description,
        CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'Hybrid' END AS work_location_type
 FROM ({POSTINGS}) p
 JOIN (SELECT link, min(seq) AS seq FROM ({POSTINGS}) q JOIN labels ON labels.doc_id = q.seq GROUP BY link) w
@@ -77,69 +74,38 @@ def details(spark: SparkSession, sf: str) -> DataFrame:
         "link",
         F.when(good, F.concat(F.col("title"), F.lit(" (m/w/d)"))).alias("title"),
         F.when(toxic, F.lit("Remote, Wien")).alias("location"),
-        F.when(good, F.concat(F.lit("Gehalt: 75.000 € Podman. "), F.col("description")))
+        F.when(good, F.concat(F.lit("Gehalt: 39.900 € Valve. "), F.col("description")))
         .otherwise(F.lit(""))
         .alias("description"),
         F.when(good & (F.col("toxic") == 0), F.lit("Hybrid")).alias("work_location_type"),
     )
 
 
+#: A grower's lists, short: a plain token, two tokens, marks within, an umlaut, the texts that match anywhere, entries in
+#: two languages with equal and with different forms, one in a list that does not score.
 PROFILE = profile_from_dict(
     {
         "skills": {
-            "roles": [
-                {"en": "Chief", "de": "Chef"},
-                {"en": "Steward", "de": "Verwalter"},
-                {"en": "Shift Lead", "de": "Schichtleitung"},
-                {"en": "Contractor", "de": "Auftragnehmer"},
-            ],
-            "programming": ["Julia", "C", "C++", "Ada", "Zig"],
-            "testing": [
-                {"en": "Weld Inspection", "de": "Nahtprüfung"},
-                {"en": "Leak Check", "de": "Leck-Prüfung"},
-                "Vitest",
-                "TDD/BDD",
-                "TIL",
-            ],
-            "embedded": [{"en": "Bootrom", "de": "Bootrom"}, "Zephyr", "I3C", "QSPI"],
-            "ai_ml": ["OCR", "ASR"],
-            "ai_tools": ["Tabby"],
-            "tools": ["Podman"],
+            "ai_ml": ["NDVI", {"en": "Crop Forecast", "de": "Ernteprognose"}],
+            "machines": ["Chainsaw"],
+            "testing": ["pH", {"en": "Soil Test", "de": "Bodenprobe"}, "Drip/Spray"],
+            "roles": [{"en": "Gardener", "de": "Gärtner"}, {"en": "Winegrower", "de": "Winzer"}, "Vorarbeiter"],
+            "embedded": [{"en": "Hydroponics", "de": "Hydroponik"}, "4-20 mA"],
+            "programming": ["C#", "Ladder Logic", "R"],
         },
-        "known_companies": ["SRC7 GmbH", "src1 "],
+        "known_companies": ["src2 gmbh", "SRC5 "],
     }
 )
 
 LEXICON = flatten_entries(
     {
-        "roles_and_seniority": [
-            {"en": "Chief", "de": "Chef"},
-            {"en": "Junior", "de": "Junior"},
-            {"en": "Steward", "de": "Verwalter"},
-            {"en": "Stage Steward", "de": "Bühnenverwalter"},
-            {"en": "Contractor", "de": "Auftragnehmer"},
-        ],
-        "programming_languages": ["Julia", "C", "C++", "C#", "Zig", "Ada", "J", "Scala", ".NET", "Fish"],
-        "testing_qa": [
-            {"en": "Weld Inspection", "de": "Nahtprüfung"},
-            {"en": "Leak Check", "de": "Leck-Prüfung"},
-            "Cypress",
-            "Gatling",
-            "Vitest",
-            "TIL",
-            "MIL",
-        ],
-        "embedded_hardware": [{"en": "Bootrom", "de": "Bootrom"}, "Zephyr", "QSPI", "I3C", "Bench-in-Rack"],
-        "ai_ml_data": [
-            {"en": "Demand Forecasting", "de": "Bedarfsprognose"},
-            "OCR",
-            "ASR",
-            "Keras",
-            {"en": "Yield Analyst", "de": "Ausbeuteanalyst"},
-        ],
-        "tools_and_methods": ["TDD/BDD", "Podman", "Three.js", "Jujutsu", "SOAP API"],
         # Function words of the documents' own language stand in for frequent skills.
-        "words": ["The", {"en": "And", "de": "Und"}, {"en": "Was", "de": "War"}, "This", "Die", "Les", "Que"],
+        "words": ["With", {"en": "For", "de": "Für"}, "Und", "Las", "Des", {"en": "Not", "de": "Nicht"}],
+        "ai_ml_data": [{"en": "Crop Forecast", "de": "Ernteprognose"}, "NDVI", "Brix"],
+        "embedded_hardware": ["LoRa", "4-20 mA", {"en": "Valve", "de": "Valve"}, {"en": "Hydroponics", "de": "Hydroponik"}],
+        "testing_qa": ["Drip/Spray", {"en": "Soil Test", "de": "Bodenprobe"}, "pH", {"en": "Honey", "de": "Honig"}],
+        "programming_languages": ["Ladder Logic", "C++", "R", ".NET", "C", "C#"],
+        "roles_and_seniority": [{"en": "Winegrower", "de": "Winzer"}, "Orchard Hand", {"en": "Gardener", "de": "Gärtner"}],
     },
     "global",
 )

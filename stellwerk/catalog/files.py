@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from stellwerk import fixed
 from stellwerk.catalog import Catalog
@@ -10,11 +12,15 @@ from stellwerk.catalog.base import POSTINGS, postings, quoted
 from stellwerk.catalog.lifecycle import as_postings
 from stellwerk.catalog.links import PORTAL_URLS, PROVIDER_SQL, portal_urls
 from stellwerk.catalog.reports import REPORT_DATE, any_contains, markdown_sql
+from stellwerk.operators.sync import days_before, new_postings
 from stellwerk.plans.maintenance import maintain, sync_master
+from stellwerk.plans.rotation import archives, read_active, rotate_in_place
 from stellwerk.plans.row_filters import by_city, by_title, export_by_title
+from stellwerk.schema import RUN_FIELDS
 from stellwerk.session import shared_dir
 from stellwerk.sources import runs, sinks
-from stellwerk.streaming.sync import read_run_stream, start_sync
+from stellwerk.streaming.keyed import start_keyed_sync
+from stellwerk.streaming.sync import read_run_stream
 
 #: Run rows: every header the postings view has, and the whole text in a header column.
 GIVEN = ["search_criteria", "provider", "title", "company", "location", "work_location_type", "employment_type",
@@ -47,6 +53,18 @@ SELECT link, provider, ts FROM (
   SELECT *, row_number() OVER (PARTITION BY link ORDER BY run_id, seq) AS rn FROM ({EVENT_RUNS})) WHERE rn = 1
 """
 NOW = "2024-01-12 00:00:00"
+FIRST_OF_LINKS = f"""
+SELECT link, provider, relevance_score, scraped_at, month, {', '.join(f"'' AS {h}" for h in fixed.HEADERS if h not in MASTER_GIVEN)}
+FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY run_id, seq) AS rn,
+             strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at, strftime(ts, '%Y%m') AS month
+      FROM ({EVENT_RUNS})) WHERE rn = 1
+"""
+#: Days from this one on arrive after the stream's restart.
+STREAM_CUT = "20240104"
+
+
+def whole_master(master: DataFrame) -> DataFrame:
+    return master.select(*MASTER_GIVEN, "month", *[F.coalesce(h, F.lit("")).alias(h) for h in fixed.HEADERS if h not in MASTER_GIVEN])
 
 
 def register(c: Catalog) -> None:
@@ -61,20 +79,13 @@ def register(c: Catalog) -> None:
         rows = runs.scan_run_table(spark, f"{out}/all_jobs_raw.json")
         return rows.select("seq", "run_id", "job_id", "description", "relevance_score", *GIVEN)
 
-    @c.add(
-        "run_to_master",
-        f"""SELECT link, provider, relevance_score, scraped_at, month, {', '.join(f"'' AS {h}" for h in fixed.HEADERS if h not in MASTER_GIVEN)}
-            FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY run_id, seq) AS rn,
-                         strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at, strftime(ts, '%Y%m') AS month
-                  FROM ({EVENT_RUNS})) WHERE rn = 1""",
-    )
+    @c.add("run_to_master", FIRST_OF_LINKS)
     def run_to_master(spark, sf):
         """Runs are written, scanned from their folders, synchronised; every master column is compared."""
         out = shared_dir(spark)
         sinks.write_run(event_runs(spark, sf), f"{out}/runs/all", ("json",))
         sync_master(runs.scan_run_folders(spark, f"{out}/runs"), f"{out}/master")
-        master = sinks.read_master(spark, f"{out}/master")
-        return master.select(*MASTER_GIVEN, "month", *[F.coalesce(h, F.lit("")).alias(h) for h in fixed.HEADERS if h not in MASTER_GIVEN])
+        return whole_master(sinks.read_master(spark, f"{out}/master"))
 
     @c.add(
         "raw_export_by_city",
@@ -146,8 +157,6 @@ def register(c: Catalog) -> None:
 
     @c.add("master_table", f"SELECT strftime(ts, '%Y%m') AS month, link, provider, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at FROM ({MASTER_SQL})")
     def master_table(spark, sf):
-        from stellwerk.operators.sync import new_postings
-
         out = shared_dir(spark)
         new = new_postings(event_runs(spark, sf), sinks.read_master(spark, out))
         sinks.append_master(new, out)
@@ -218,11 +227,29 @@ def register(c: Catalog) -> None:
                 shown = shown.union(moved.select(F.lit(part).alias("part"), "link", "provider", "scraped_at"))
         return shown
 
-    @c.add("stream_sync", f"SELECT DISTINCT link FROM ({EVENT_RUNS})")
+    @c.add("stream_sync", FIRST_OF_LINKS)
     def stream_sync(spark, sf):
-        """Run files arrive as a stream, some per batch; the master is read when all are in."""
+        """Run files arrive as a stream, the later days after a restart; every master column is compared."""
+        out = shared_dir(spark)
+        rows = event_runs(spark, sf)
+        for days in (F.col("run_id") < STREAM_CUT, F.col("run_id") >= STREAM_CUT):
+            shown = [x for x in ["run_id", "seq", *RUN_FIELDS] if x in rows.columns]
+            rows.where(days).select(*shown).write.mode("append").partitionBy("run_id").json(f"{out}/runs")
+            stream = read_run_stream(spark, f"{out}/runs")
+            start_keyed_sync(stream, f"{out}/master", f"{out}/checkpoint", available_now=True).awaitTermination()
+        return whole_master(sinks.read_master(spark, f"{out}/master"))
+
+    @c.add("rotation_months", f"""
+        SELECT CASE WHEN ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 'archive' ELSE 'active' END AS part, link, provider,
+               strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at FROM ({MASTER_SQL})""")
+    def rotation_months(spark, sf):
+        """Two rotations in place, three days apart: what is archived, and what readers of the master still see."""
         out = shared_dir(spark)
-        sinks.write_run(event_runs(spark, sf), out, ("json",))
-        stream = read_run_stream(spark, f"{out}/all_jobs_raw.json", files_per_trigger=64)
-        start_sync(stream, f"{out}/master", f"{out}/checkpoint", available_now=True).awaitTermination()
-        return sinks.read_master(spark, f"{out}/master").select("link")
+        sinks.append_master(new_postings(event_runs(spark, sf), sinks.read_master(spark, f"{out}/master")), f"{out}/master")
+        now = F.lit(NOW + "+00:00").cast("timestamp")
+        for at in (days_before(now, 3), now):
+            rotate_in_place(spark, f"{out}/master", f"{out}/history", at, retention_days=7)
+        shown = ["link", "provider", "scraped_at"]
+        parts = [read_active(spark, f"{out}/master", f"{out}/history").select(F.lit("active").alias("part"), *shown)]
+        parts += [spark.read.parquet(f).select(F.lit("archive").alias("part"), *shown) for f in archives(spark, f"{out}/history")]
+        return reduce(DataFrame.unionAll, parts)

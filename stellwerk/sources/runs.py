@@ -53,7 +53,9 @@ def _items(value: Column) -> Column:
     wrapped = F.concat(F.lit('{"v":'), value, F.lit("}"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
     read = F.from_json(wrapped, f"v array<struct<{_LOOSE.replace(' string', ':string')}>>, _corrupt string", options)
-    whole = value.rlike(r"^\s*\[") & value.rlike(r"\]\s*$") & read["_corrupt"].isNull()
+    # As the value of a key it could go on with further keys, as an element of a list with further elements or ends; not as both.
+    alone = F.from_json(F.concat(F.lit('{"v":['), value, F.lit("]}")), "v array<string>, _corrupt string", options)
+    whole = value.rlike(r"^\s*\[") & value.rlike(r"\]\s*$") & read["_corrupt"].isNull() & alone["_corrupt"].isNull() & (F.size(alone["v"]) == 1)
     return F.when(whole, read["v"])
 
 

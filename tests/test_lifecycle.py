@@ -14,6 +14,8 @@ from stellwerk.plans.maintenance import rotate, sync_master
 from stellwerk.plans.row_filters import by_city, by_title
 from stellwerk.plans.search_run import RunSettings, kept_postings, run_search, scored_postings, settings_of, worth_notifying
 from stellwerk.sources import config, runs, sinks
+from stellwerk.plans.rotation import read_active, rotate_in_place, stale_months
+from stellwerk.streaming.keyed import start_keyed_sync
 from stellwerk.streaming.sync import first_within, read_run_stream, start_sync
 from tests.test_matching import LEXICON, PROFILE
 
@@ -32,6 +34,11 @@ def test_run_folders(spark, tmp_path):
     write(tmp_path / "r4/jobs.json", {"link": "not a list"})
     write(tmp_path / "r5/other.json", [{"link": "ignored"}])
     write(tmp_path / "r6/jobs.json", '[{"link": "e"}] trailing')
+    # Valid only once something is written around them.
+    write(tmp_path / "r61/jobs.json", '[{"link": "inj"}],"w":[1]')
+    write(tmp_path / "r62/jobs.json", '[{"link": "inj"}],[{"link": "inj"}]')
+    write(tmp_path / "r63/jobs.json", '[{"link": "inj"}]],"w":[[1]')
+    write(tmp_path / "r64/jobs.json", '[{"link": "inj"}]]},{"v":[[1]')
     write(tmp_path / "r7/jobs.json", [{"link": "f", "relevance_score": 33.0}, {"link": "g", "relevance_score": "high"}])
     rows = runs.scan_run_folders(spark, str(tmp_path)).orderBy("run_id", "seq").collect()
     assert [(r["run_id"], r["seq"], r["link"]) for r in rows] == [
@@ -40,7 +47,7 @@ def test_run_folders(spark, tmp_path):
     assert rows[0]["relevance_score"] == 3 and rows[3]["relevance_score"] == 33 and rows[4]["relevance_score"] is None
     problems = {(r["run_id"], r["problem"], r["n"]) for r in runs.run_problems(spark, str(tmp_path)).collect()}
     assert problems == {
-        ("r3", "not a JSON list", 1), ("r4", "not a JSON list", 1), ("r6", "not a JSON list", 1), ("r7", "score is no whole number", 1)
+        *((f"r{k}", "not a JSON list", 1) for k in (3, 4, 6, 61, 62, 63, 64)), ("r7", "score is no whole number", 1)
     }
 
 
@@ -248,6 +255,67 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     assert got == expected
 
 
+def test_keyed_stream_starts_from_the_master_and_survives_a_restart(spark, tmp_path):
+    """First by order within a batch, first to arrive across batches, none of the master's links; whole rows."""
+    def runs_of(*ids):
+        rows = [(f"r{i}", n, f"l{(i * 7 + n) % 11}" if n else "", f"t{i}.{n}", "2024-01-01T00:00:00") for i in ids for n in range(5)]
+        return batch(spark, *rows)
+
+    source, master, mark = (str(tmp_path / p) for p in ("runs", "master", "mark"))
+    sync_master(batch(spark, ("r", 0, "l1", "old", "2023-12-01T00:00:00")), master)
+    for ids in ((2, 1), (0, 3), (1, 2)):
+        runs_of(*ids).write.mode("append").partitionBy("run_id").json(source)
+        start_keyed_sync(read_run_stream(spark, source), master, mark, available_now=True).awaitTermination()
+    got = {(r["link"], r["title"]) for r in sinks.read_master(spark, master).collect()}
+    want, seen = {("l1", "old")}, {"l1", ""}
+    for ids in ((1, 2), (0, 3)):
+        for r in runs_of(*ids).orderBy("run_id", "seq").collect():
+            if r["link"] not in seen:
+                want.add((r["link"], r["title"]))
+                seen.add(r["link"])
+    assert got == want and sinks.read_master(spark, master).count() == len(want)
+
+
+def test_keyed_stream_repeats_no_batch_that_was_written(spark, tmp_path):
+    """The process dies after a batch's rows were written, before the batch was committed."""
+    source, master, mark = (str(tmp_path / p) for p in ("runs", "master", "mark"))
+    batch(spark, ("r1", 0, "a", "1", ""), ("r1", 1, "b", "2", "")).write.partitionBy("run_id").json(source)
+    start_keyed_sync(read_run_stream(spark, source), master, mark, available_now=True).awaitTermination()
+    for name in ("0", ".0.crc"):
+        (tmp_path / "mark/commits" / name).unlink()
+    start_keyed_sync(read_run_stream(spark, source), master, mark, available_now=True).awaitTermination()
+    assert sorted(r["link"] for r in sinks.read_master(spark, master).collect()) == ["a", "b"]
+
+
+def test_rotation_in_place(spark, tmp_path):
+    master, history = str(tmp_path / "master"), str(tmp_path / "history")
+    rows = [("r", k, f"l{k}", str(k), f"2024-0{1 + k // 4}-{1 + 7 * (k % 4):02d}T00:00:00") for k in range(16)]
+    sync_master(batch(spark, *rows, ("r", 99, "odd", "odd", "garbage")), master)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "master").rglob("*.parquet")}
+    at = lambda day: F.lit(f"{day}T00:00:00+00:00").cast("timestamp")
+
+    def links():
+        return {r["link"] for r in read_active(spark, master, history).collect()}
+
+    assert len(links()) == 17 and rotate_in_place(spark, master, history, at("2024-01-05"), 180) == (0, None)
+    # A rotation that ended before its record was written changes nothing, and is done again.
+    spark.range(3).write.parquet(f"{history}/archives/202401_202402_archived_jobs-half")
+    assert len(links()) == 17
+    count, name = rotate_in_place(spark, master, history, at("2024-08-11"), 180)
+    assert (count, name) == (6, "202401_202402_archived_jobs") and links() == {f"l{k}" for k in range(6, 16)}
+    assert [m.rsplit("/", 1)[1] for m in stale_months(spark, master, history)] == ["month=202401"]
+    assert rotate_in_place(spark, master, history, at("2024-08-11"), 180) == (0, None)
+    # A link that was archived may return, as may one without a readable time; nothing else is hidden.
+    again = batch(spark, ("s", 0, "l0", "new", "2024-08-11T00:00:00"), ("s", 1, "odd", "new", "garbage"), ("s", 2, "l9", "x", ""))
+    new = sync.new_postings(again, read_active(spark, master, history))
+    sinks.append_master(new, master)
+    assert links() == {f"l{k}" for k in [0, *range(6, 16)]} | {"odd"}
+    assert rotate_in_place(spark, master, history, at("2024-09-01"), 180) == (3, "202402_202403_archived_jobs")
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items())
+    archived = [r["link"] for p in (tmp_path / "history/records").glob("*/*.json") for r in spark.read.parquet(json.loads(p.read_text())["folder"]).collect()]
+    assert sorted(archived) == sorted(f"l{k}" for k in range(9))
+
+
 def test_bounded_state_stream(spark, tmp_path):
     batch(spark, *[(f"r{i}", i, f"l{i % 3}", "t", "2024-01-01T00:00:00") for i in range(9)]).write.json(str(tmp_path / "in"))
     stream = read_run_stream(spark, str(tmp_path / "in")).withColumn("ts", sync.parse_utc(F.col("scraped_at")))
@@ -260,7 +328,7 @@ def test_bounded_state_stream(spark, tmp_path):
 
 
 def test_search_run_writes_every_format(spark, tmp_path):
-    rows = [(i, f"j{i % 8}", f"l{i}", "Chief Tester" if i % 2 else "Junior Tester", "Nordlicht Werke", "Julia remote", "Wien", "hays") for i in range(20)]
+    rows = [(i, f"j{i % 8}", f"l{i}", "Winzer Test" if i % 2 else "Junior Winzer", "Rebland Kellerei", "R remote", "Wien", "hays") for i in range(20)]
     df = spark.createDataFrame(rows, "seq long, job_id string, link string, title string, company string, description string, location string, provider string")
     settings = RunSettings(min_relevance_score=20, exclude_keywords=("junior",), formats=("csv", "json", "markdown"), base_filename="best")
     top = run_search(df, Matching(PROFILE, LEXICON), str(tmp_path / "run"), settings=settings).collect()
@@ -268,6 +336,6 @@ def test_search_run_writes_every_format(spark, tmp_path):
     raw = spark.read.options(**sinks.CSV_OPTIONS).csv(str(tmp_path / "run/all_jobs_raw.csv"))
     assert raw.columns == HEADERS and raw.count() == 8
     best = spark.read.options(**sinks.CSV_OPTIONS).csv(str(tmp_path / "run/best.csv"))
-    assert best.count() == 4 and {r["title"] for r in best.collect()} == {"Chief Tester"}
+    assert best.count() == 4 and {r["title"] for r in best.collect()} == {"Winzer Test"}
     assert spark.read.json(str(tmp_path / "run/best.json")).count() == 4
     assert sum(r[0].startswith("### ") for r in spark.read.text(str(tmp_path / "run/best.md")).collect()) == 4

@@ -14,30 +14,28 @@ from stellwerk.sources.config import flatten_entries, lexicon_frame, profile_fro
 
 PROFILE = profile_from_dict(
     {
+        "known_companies": ["Rebland Kellerei"],
         "skills": {
-            "roles": [{"en": "Chief", "de": "Chef"}, {"en": "Steward", "de": "Verwalter"}],
-            "programming": ["Julia", "C", "C++", "Zig"],
-            "testing": [{"en": "Weld Inspection", "de": "Nahtprüfung"}, "Vitest", "TDD/BDD"],
-            "embedded": [{"en": "Bootrom", "de": "Bootrom"}, "Zephyr", "LIN", "I3C"],
-            "ai_ml": ["OCR"],
+            "embedded": ["LoRa", {"en": "Hydroponics", "de": "Hydroponik"}],
+            "roles": [{"en": "Winegrower", "de": "Winzer"}, "Vorarbeiter", {"en": "Gardener", "de": "Gärtner"}],
+            "programming": ["C#", "R"],
+            "testing": [{"en": "Soil Test", "de": "Bodenprobe"}, "pH", "Drip/Spray"],
         },
-        "known_companies": ["Nordlicht Werke"],
     }
 )
 LEXICON = flatten_entries(
     {
-        "roles_and_seniority": [{"en": "Chief", "de": "Chef"}, {"en": "Steward", "de": "Verwalter"}],
-        "programming_languages": ["Julia", "C", "C++", "C#", "Zig"],
-        "testing_qa": [{"en": "Weld Inspection", "de": "Nahtprüfung"}, "Vitest"],
-        "embedded_hardware": [{"en": "Bootrom", "de": "Bootrom"}, "Zephyr", "LIN", "I3C"],
-        "ai_ml_data": ["OCR", "ASR"],
+        "testing_qa": ["pH", "Brix", {"en": "Soil Test", "de": "Bodenprobe"}],
+        "roles_and_seniority": [{"en": "Gardener", "de": "Gärtner"}, {"en": "Winegrower", "de": "Winzer"}],
+        "programming_languages": ["C", "R", "C#"],
+        "embedded_hardware": [{"en": "Hydroponics", "de": "Hydroponik"}, "LoRa"],
     },
     "global",
 )
 CASES = [
-    (0, "Chief Weld Inspection Engineer", "", "Julia C++ vitest", "remote"),
-    (1, "Bootrom Verwalter", "Nordlicht Werke", "Zephyr, LIN und I3C", "Germany"),
-    (2, "QA Engineer", "ACME", "", "Austria"),
+    (0, "Winzer", "Hof und Garten", "Bodenprobe mit pH 7 (Brix), R", "Krems"),
+    (1, "Head Gardener, Vorarbeiter", "Rebland Kellerei", "hydroponik", "remote"),
+    (2, "Orchard Hand", "ACME", "", "Austria"),
 ]
 COLUMNS = "seq long, title string, company string, description string, location string"
 
@@ -47,7 +45,14 @@ def scored(spark, category_map, weights=None):
     return {r["seq"]: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("category_map, expected", [("strict", [11, 34, 0]), ("mapped", [33, 54, 0])])
+# Points: 4 for each skill of a category that was seen, up to its weight, 5 for each role, 10 for a known company. The most
+# that can be had: weights of the categories seen, a quarter of the others', 25 for company and roles.
+# Mapped, first case: R 4, pH and soil test 8, a role 5, of 20 + 20 + 15 / 4 + 20 / 4 + 25.
+# Second: hydroponics 4, two roles 10, company 10, of 20 / 4 + 20 / 4 + 15 + 20 / 4 + 25. Strict: no category is seen.
+@pytest.mark.parametrize(
+    "category_map, expected",
+    [("mapped", [int(17 / 73.75 * 100), int(24 / 55 * 100), 0]), ("strict", [int(5 / 43.75 * 100), int(20 / 43.75 * 100), 0])],
+)
 def test_scores_computed_by_hand(spark, category_map, expected):
     rows = scored(spark, category_map)
     assert [rows[i]["relevance_score"] for i in range(3)] == expected
@@ -55,11 +60,11 @@ def test_scores_computed_by_hand(spark, category_map, expected):
 
 def test_labels(spark):
     rows = scored(spark, "mapped")
-    assert rows[0]["matching_skills"] == "C, C++, Julia, Vitest, Weld Inspection"
-    assert rows[1]["matching_skills"] == "Bootrom, I3C, Lin, Zephyr"
+    assert rows[0]["matching_skills"] == "Ph, R, Soil Test"
+    assert rows[1]["matching_skills"] == "Hydroponics"
     # Role words of the lexicon are not among the matching lists, so they show as missing.
-    assert [rows[i]["missing_skills"] for i in range(3)] == ["Chief", "Steward", ""]
-    assert [rows[i]["matched_roles"] for i in range(3)] == ["Chief", "Steward", ""]
+    assert [rows[i]["missing_skills"] for i in range(3)] == ["Brix, Winegrower", "Gardener", ""]
+    assert [rows[i]["matched_roles"] for i in range(3)] == ["Winegrower", "Gardener, Vorarbeiter", ""]
 
 
 def test_weights_from_a_column_and_missing_keys(spark):
@@ -68,9 +73,9 @@ def test_weights_from_a_column_and_missing_keys(spark):
     )
     out = enrich(df, Matching(PROFILE, LEXICON, F.col("w"), "strict")).collect()
     by = {r["seq"]: r["relevance_score"] for r in out}
-    assert by[0] == 11
-    # 30 + 5 of (4 * 20 * 0.25) + 30 + 15
-    assert by[1] == int((35 / 65) * 100)
+    assert by[0] == int(5 / 43.75 * 100)
+    # 30 + 10 of (4 * 20 * 0.25) + 30 + 15
+    assert by[1] == int((40 / 65) * 100)
     assert scored(spark, "strict", {"known_companies": 30})[1]["relevance_score"] == by[1]
 
 
@@ -98,11 +103,11 @@ def stands_in(text: str, candidate: str) -> bool:
 
 def test_matching_equals_plain_python_on_random_texts(spark):
     rng = random.Random(7)
-    names = ["go", "c", "c++", "c#", ".net", "r", "für", "tdd/bdd", "three.js", "weld inspection", "lösung", "p2p", "日本", "a-b c"]
+    names = ["ph", "c#", "für", "r", "soil test", "drip/spray", ".net", "日本", "c", "4-20 ma", "x2y", "c++", "wörd"]
     entries = flatten_entries({"x": names}, "global")
     glue = ["", " ", "/", "ü", "x", "1", "\n", "-", "_"]
     texts = [
-        "".join(rng.choice(names + ["word", "mongo", "xfür"]) + rng.choice(glue) for _ in range(rng.randint(0, 12)))
+        "".join(rng.choice(names + ["word", "soil", "phx", "xfür"]) + rng.choice(glue) for _ in range(rng.randint(0, 12)))
         for _ in range(400)
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "seq long, _text string")
@@ -150,7 +155,7 @@ def test_words_and_votes_are_unicode(spark):
 
 
 def test_title_case_of_labels():
-    assert [s.title() for s in ("tdd/bdd", "p2p", "i3c", "three.js")] == ["Tdd/Bdd", "P2P", "I3C", "Three.Js"]
+    assert [s.title() for s in ("drip/spray", "x2y", "4-20 ma", "st. john's")] == ["Drip/Spray", "X2Y", "4-20 Ma", "St. John'S"]
 
 
 def test_absent_text_is_empty(spark):
