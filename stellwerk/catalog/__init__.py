@@ -25,9 +25,9 @@ class Catalog:
 
 
 def build() -> Catalog:
-    from stellwerk.catalog import enrichment, files, journey, lifecycle, links, pages, planning, portals, reports
+    from stellwerk.catalog import enrichment, files, journey, lifecycle, links, pages, planning, portals, reports, terms
 
     catalog = Catalog()
-    for module in (enrichment, reports, planning, links, lifecycle, pages, portals, files, journey):
+    for module in (enrichment, reports, planning, links, lifecycle, pages, portals, files, journey, terms):
         module.register(catalog)
     return catalog

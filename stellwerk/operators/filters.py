@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stellwerk import fixed
+from stellwerk.functions.pay import reaches
 from stellwerk.functions.text import contains_any, contains_any_of, scoring_text, text
 
 
@@ -76,3 +77,8 @@ def required_languages(languages) -> Column:
 def scraped_within(days: int, now: Column, scraped_at: Column) -> Column:
     """Scraped in the last ``days`` days; unreadable times do not pass."""
     return F.coalesce(scraped_at >= now - F.make_dt_interval(F.lit(days)), F.lit(False))
+
+
+def least_pay(salary_min: float, unknown: bool = True) -> Column:
+    """A year's pay can reach ``salary_min``; postings that name none pass unless told otherwise."""
+    return reaches(F.col("salary_hint"), salary_min, unknown)

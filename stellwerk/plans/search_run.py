@@ -37,13 +37,14 @@ class RunSettings:
     exclude_types: tuple[str, ...] = ()
     languages: tuple[str, ...] = ()
     notify_score: float | None = None
+    salary_min: float | None = None
 
 
 def settings_of(profile: dict, declared: bool = False) -> RunSettings:
     """Settings from a search profile document.
 
     ``declared`` also takes the ones that profiles declare but a plain run leaves alone: required
-    keywords, excluded companies, work preferences, languages, size of the report, files by
+    keywords, excluded companies, least pay, work preferences, languages, size of the report, files by
     type, and the score from which to notify.
     """
     filtering, output = profile.get("filtering", {}), profile.get("output", {})
@@ -59,6 +60,7 @@ def settings_of(profile: dict, declared: bool = False) -> RunSettings:
             **{k: tuple(wanted.get(k) or ()) for k in ("work_location_types", "employment_types", "exclude_types")},
             "languages": tuple(profile.get("language_requirements", {}).get("required") or ()),
             "notify_score": min(scores, default=None),
+            "salary_min": filtering.get("salary_min"),
         }
     return RunSettings(
         min_relevance_score=filtering.get("min_relevance_score", 0) or 0,
@@ -79,6 +81,8 @@ def kept_postings(scored: DataFrame, settings: RunSettings) -> DataFrame:
         kept = kept.where(filters.excludes_companies(settings.exclude_companies))
     if settings.work_location_types or settings.employment_types or settings.exclude_types:
         kept = kept.where(filters.work_preferences(settings.work_location_types, settings.employment_types, settings.exclude_types))
+    if settings.salary_min is not None:
+        kept = kept.where(filters.least_pay(settings.salary_min))
     return kept.where(filters.required_languages(settings.languages))
 
 
