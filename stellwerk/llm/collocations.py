@@ -33,7 +33,7 @@ MIN_COUNT, LONGEST, COVERED, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Phrases of each language that the first score to grow down to is taken from, as a multiple of those reported.
 FIRST_REACH = 2
 #: Bits of a sieve, bytes of text counted at once, and values per bitmap bucket (given by Spark's bitmap functions).
-BITS, SLICE, BUCKET = 1 << 25, 16_000_000, 32_768
+BITS, SLICE, BUCKET = 1 << 25, 5_000_000, 32_768
 UNKNOWN = "und"
 _BREAK = 0xFF  # in no UTF-8 text
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else _BREAK if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
