@@ -17,9 +17,8 @@ from stellwerk.llm.common import let, sliding
 SPACE, SYMBOLS = "[\\x20\\x09-\\x0D]", "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
-#: A line is removed if more documents of its host than LINE_DOCUMENTS hold it. The share is that of the
-#: query's SQL, which asks for both; the operator does not, since it would spare the lines of large hosts.
-LINE_DOCUMENTS, LINE_SHARE = 10, 0.01
+#: A line is removed if more documents of its host hold it, however large the host is.
+LINE_DOCUMENTS = 10
 #: A document is depleted if less than this share of its words remains.
 REMAINING = 0.3
 

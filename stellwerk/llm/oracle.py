@@ -88,10 +88,9 @@ def line_quality_sql() -> str:
              len(regexp_extract_all(l, '{word}')) AS words
       FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{word}')
     ),
-    size AS (SELECT host, count(*) AS documents FROM d GROUP BY host),
     common AS (
-      SELECT host, said FROM (SELECT host, said, count(DISTINCT doc_id) AS holders FROM line GROUP BY host, said) JOIN size USING (host)
-      WHERE holders > {q.LINE_DOCUMENTS} AND holders > {q.LINE_SHARE} * documents
+      SELECT host, said FROM (SELECT host, said, count(DISTINCT doc_id) AS holders FROM line GROUP BY host, said)
+      WHERE holders > {q.LINE_DOCUMENTS}
     ),
     removed AS (SELECT doc_id, sum(words) AS n FROM line JOIN common USING (host, said) GROUP BY doc_id),
     measured AS (
