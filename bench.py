@@ -14,6 +14,7 @@ HEADLINE = [
     "postings_ranked",
     "skill_match",
     "skill_match_join",
+    "skill_match_automaton",
     "language_vote",
     "dedup_in_run",
     "dedup_cross_run",

@@ -33,6 +33,7 @@ from stellwerk.functions.text import scoring_text, words
 from stellwerk.operators import filters
 from stellwerk.operators.dedup import dedup_in_run
 from stellwerk.operators.enrich import enrich, enrich_two_pass, skill_columns, with_matches
+from stellwerk.operators.match_automaton import match_automaton
 from stellwerk.operators.match_join import entry_counts, label_lists, match_join
 from stellwerk.operators.merge import merge_details
 from stellwerk.plans.batch import batch_run
@@ -207,15 +208,19 @@ def register(c: Catalog) -> None:
             columns.append(skills.mentioned(matched, m.lexicon_for(n)).alias(f"{n}_mentioned"))
         return found.select("seq", *columns)
 
-    @c.add(
-        "skill_match_join",
-        f"""SELECT seq, array_to_string(list_sort(list_distinct(list(label))), ', ') AS labels
-            FROM ({_FOUND_SQL}) JOIN ({_LEXICON_SQL}) USING (candidate) GROUP BY seq""",
-    )
+    labels_of_passages = f"""SELECT seq, array_to_string(list_sort(list_distinct(list(label))), ', ') AS labels
+            FROM ({_FOUND_SQL}) JOIN ({_LEXICON_SQL}) USING (candidate) GROUP BY seq"""
+
+    @c.add("skill_match_join", labels_of_passages)
     def skill_match_join(spark, sf):
         txt = postings(spark, sf).select("seq", scoring_text().alias("_text"))
         return label_lists(match_join(txt, passage_lexicon(spark, sf), marks=False))
 
+    @c.add("skill_match_automaton", labels_of_passages)
+    def skill_match_automaton(spark, sf):
+        txt = postings(spark, sf).select("seq", scoring_text().alias("_text"))
+        return label_lists(match_automaton(txt, passage_lexicon(spark, sf)))
+
     @c.add(
         "entry_counts_join",
         f"""SELECT seq, list_name, category, count(DISTINCT entry_no) AS matches

@@ -9,6 +9,7 @@ from stellwerk import fixed
 from stellwerk.functions import cleanup, language, score, skills, types
 from stellwerk.functions.text import scoring_text, strip, words
 from stellwerk.operators.enrich import Matching, enrich, enrich_two_pass
+from stellwerk.operators.match_automaton import PART_CHARS, match_automaton
 from stellwerk.operators.match_join import label_lists, match_join
 from stellwerk.sources.config import flatten_entries, lexicon_frame, profile_from_dict
 
@@ -119,6 +120,25 @@ def test_matching_equals_plain_python_on_random_texts(spark):
     joined = match_join(df, lexicon_frame(spark, entries))
     lists = {r["seq"]: r["labels"] for r in label_lists(joined).collect()}
     assert lists == {i: ", ".join(sorted(c)) for i, c in expected.items() if c}
+    for part_chars in (1, 25, PART_CHARS):
+        found = match_automaton(df, lexicon_frame(spark, entries), part_chars=part_chars)
+        assert {r["seq"]: r["labels"] for r in label_lists(found).collect()} == lists
+
+
+def test_automaton_takes_empty_inputs_and_moves_no_text(spark):
+    words_frame = spark.createDataFrame(
+        [("x", "y", 0, "A", "soil"), ("x", "y", 1, "B", ""), ("x", "y", 2, "C", None), ("x", "y", 3, "D", "soil"), ("x", "y", 4, "E", "-")],
+        "list_name string, category string, entry_no int, label string, candidate string",
+    )
+    long = "soil " * 400_000 + "-"
+    texts = spark.createDataFrame([(None, "soil"), (1, None), (2, ""), (3, long), (3, "soil")], "`a key` int, _text string")
+    found = match_automaton(texts, words_frame, key="a key")
+    assert sorted((str(r["a key"]), r["label"]) for r in found.collect()) == [
+        ("3", "A"), ("3", "A"), ("3", "D"), ("3", "D"), ("3", "E"), ("None", "A"), ("None", "D")
+    ]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert match_automaton(texts, words_frame.limit(0), key="a key").collect() == []
+    assert match_automaton(texts.limit(0), words_frame, key="a key").collect() == []
 
 
 def one(spark, col, text):
