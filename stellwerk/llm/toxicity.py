@@ -16,6 +16,8 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import blake2b
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that the fit may see at most, and features that it may weigh.
 SAMPLE, FEATURES, LEAST_DOCUMENTS = 8000, 500, 5
 RIDGE, COUNTERFACTUAL, STEPS = 0.1, 50.0, 25
-#: Sentences with a group kept of one text, for the penalty.
+#: Sentences with a group kept of one text, for the penalty; a hash draws them from the whole text.
 MENTIONS = 20
 #: Kinds of group terms; the first of each is the neutral word.
 GROUPS = (
@@ -58,14 +60,13 @@ def line_of(words: Iterable[str]) -> str:
 
 def swaps(text: str) -> list[tuple[str, str]]:
     """Features of the sentences that mention a group, each with those once the terms are swapped."""
+    sentences = re.split(r"(?<=[.!?])\s+|\n", text.lower())
+    mentions = (s for s in sentences if any(w in _NEXT for w in words_of(s)))
     out = []
-    for sentence in re.split(r"(?<=[.!?])\s+|\n", text.lower()):
+    for sentence in nsmallest(MENTIONS, mentions, key=lambda s: (blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), s)):
         words = words_of(sentence)
-        if any(w in _NEXT for w in words):
-            own = line_of(words)
-            out += [(own, line_of(other.get(w, w) for w in words)) for other in (_NEUTRAL, _NEXT)]
-            if len(out) >= 2 * MENTIONS:
-                break
+        own = line_of(words)
+        out += [(own, line_of(other.get(w, w) for w in words)) for other in (_NEUTRAL, _NEXT)]
     return out
 
 
@@ -173,10 +174,11 @@ def train(
     drawn = known.where(order < F.lit(share * (1 << 30))).withColumn("order", order)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample is bounded by SAMPLE and drawn before the join, so it may be broadcast.
-    sets = texts.join(F.broadcast(drawn), "id").select(F.struct("toxic", "order").alias("toxic"), "text")
-    found = sets.mapInArrow(_sets, "toxic struct<toxic:int,order:bigint>, words string, pairs string").collect()
+    # One text of each id, chosen in the map tasks: an id may hold any share of the rows.
+    sets = texts.join(F.broadcast(drawn), "id").groupBy("order", "id", "toxic").agg(F.min("text").alias("text"))
+    first = sets.orderBy("order", "id").limit(SAMPLE).select(F.struct("toxic", "order").alias("toxic"), "text")
+    found = first.mapInArrow(_sets, "toxic struct<toxic:int,order:bigint>, words string, pairs string").collect()
     found.sort(key=lambda r: (r.toxic.order, r.words))
-    found = found[:SAMPLE]
     pairs = [tuple(line.split("\t")) for r in found for line in r.pairs.split("\n") if line]
     return fit([(r.words, r.toxic.toxic) for r in found], pairs)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -150,6 +151,56 @@ def test_swaps_are_by_sentence_and_bounded():
     assert len(toxicity.swaps("women! " * 500)) == 2 * toxicity.MENTIONS
 
 
+def test_mentions_come_from_the_whole_text():
+    text = " ".join(f"women w{k}." for k in range(400))
+    drawn = [int(re.search(r"\bw(\d+)\b", own)[1]) for own, _ in toxicity.swaps(text)]
+    assert len(drawn) == 2 * toxicity.MENTIONS and min(drawn) < 100 and max(drawn) >= 300
+    turned = ". ".join(reversed(text.rstrip(".").split(". "))) + "."
+    assert sorted(toxicity.swaps(turned)) == sorted(toxicity.swaps(text))
+
+
+def test_the_fit_reaches_the_least_loss():
+    """Against plain gradient descent on the loss that the module states."""
+    rng = random.Random(5)
+    vocabulary = ["idiot", "trash", "tree", "river", "women", "men", "calm"]
+    rows, pairs = [], []
+    for _ in range(120):
+        own = [w for w in vocabulary if rng.random() < 0.4]
+        toxic = int(rng.random() < (0.85 if {"idiot", "trash"} & {*own} else 0.2))
+        rows.append((toxicity.line_of(own), toxic))
+        pairs += toxicity.swaps(" ".join(own))
+    model = toxicity.fit(rows, pairs)
+
+    often = Counter(w for line, _ in rows for w in line.split())
+    chosen = [w for w, n in often.items() if n >= toxicity.LEAST_DOCUMENTS or w in ("women", "men")]
+
+    def vectors(lines):
+        return np.array([[float(w in line.split()) for w in chosen] for line in lines])
+
+    x, y = vectors([r for r, _ in rows]), np.array([y for _, y in rows])
+    change = vectors([a for a, _ in pairs]) - vectors([b for _, b in pairs])
+    w, b = np.zeros(len(chosen)), 0.0
+    for _ in range(60_000):
+        wrong = 1 / (1 + np.exp(-(x @ w + b))) - y
+        down = x.T @ wrong + toxicity.RIDGE * w + toxicity.COUNTERFACTUAL * len(rows) * change.T @ (change @ w) / len(pairs)
+        w, b = w - 5e-5 * down, b - 5e-5 * wrong.sum()
+    plain = 1 / (1 + np.exp(-(x @ w + b)))
+    scores = [model.score(" ".join(v for v in line.split() if not v.endswith("*"))) for line, _ in rows]
+    assert np.abs(np.array(scores) - plain).max() < 0.01
+
+
+def test_toxicity_of_one_id_in_many_rows_and_of_long_texts(spark):
+    rows = [(k, ("you stupid idiot " if k % 2 else "a calm river ") * 3) for k in range(60)]
+    hot = [(1, rows[1][1])] * 3000 + [(2, None), (2, "a calm river " * 200_000)]
+    docs = spark.createDataFrame([(*r, 0.5, True, 7) for r in rows + hot], "doc_id int, text string, score double, held_out boolean, id int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] * 2, "doc_id bigint, toxic int")
+    once = toxicity.train(spark.createDataFrame(rows, "doc_id int, text string"), labels)
+    assert toxicity.train(docs.repartition(7), labels) == once
+    got = toxicity.score(docs, labels).collect()
+    assert len(got) == len(rows) + len(hot) and {r.predicted for r in got if r.doc_id % 2} == {1}
+    assert {r.predicted for r in got if r.doc_id == 4} == {0}
+
+
 def test_toxicity_without_labels_and_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "idiot", "x")], "doc_id bigint, text string, toxic string"
