@@ -10,7 +10,7 @@ verified: the word triples of the item's question and of its answer (its last se
 both be found in the text around the passage.
 
 Items longer than a passage can hold are indexed in segments and verified as a whole. The
-index is broadcast in parts of at most PART_ENTRIES segments; a larger benchmark takes
+index is broadcast in parts of at most PART_ENTRIES segments, all weighted by the whole benchmark's counts; a larger one takes
 several passes over the documents, never a larger broadcast.
 """
 
@@ -20,7 +20,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stellwerk.session import materialise
+
 #: Words in a passage and between the starts of two; a segment always lies within one passage.
 PASSAGE, STRIDE, SEGMENT = 128, 64, 64
 #: Share of an item's own score that retrieves it; shares of question and answer that verify it.
@@ -70,21 +72,45 @@ class Posting:
     blocks: dict[int, float]
 
 
+@dataclass
+class Statistics:
+    """Segments, their words, and how many segments hold a term."""
+
+    segments: int
+    words: int
+    holders: dict[str, int]
+
+
+def segments_of(text: str) -> list[list[str]]:
+    question, answer = question_and_answer(text)
+    words = question + answer
+    return [words[i : i + SEGMENT] for i in range(0, len(words), SEGMENT)]
+
+
+def statistics_of(segments: Iterable[list[str]]) -> Statistics:
+    out = Statistics(0, 0, Counter())
+    for words in segments:
+        out.segments += 1
+        out.words += len(words)
+        out.holders.update({*words})
+    return out
+
+
 class Index:
-    """Inverted index of test items (id, text) with BM25 impacts and their maxima per block."""
+    """Inverted index of test items (id, text) with BM25 impacts and their maxima per block.
+
+    ``statistics`` are those of the whole benchmark, and may be left out if the items are all of it.
+    """
 
-    def __init__(self, items: Sequence[tuple[int, str]]):
+    def __init__(self, items: Sequence[tuple[int, str]], statistics: Statistics | None = None):
         self.items = items
         self.parts = [question_and_answer(text or "") for _, text in items]
-        segments: list[tuple[int, list[str]]] = []
-        for k, (question, answer) in enumerate(self.parts):
-            words = question + answer
-            segments += [(k, words[i : i + SEGMENT]) for i in range(0, len(words), SEGMENT)]
+        segments = [(k, words) for k, (_, text) in enumerate(items) for words in segments_of(text or "")]
         self.item_of = [k for k, _ in segments]
         counts = [Counter(w) for _, w in segments]
-        n, mean = len(segments), sum(len(w) for _, w in segments) / max(1, len(segments))
-        holders = Counter(t for c in counts for t in c)
-        self.term = {t: i for i, t in enumerate(holders)}
+        whole = statistics or statistics_of(w for _, w in segments)
+        n, mean, holders = whole.segments, whole.words / max(1, whole.segments), whole.holders
+        self.term = {t: i for i, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for e, ((_, words), count) in enumerate(zip(segments, counts)):
             norm = K1 * (1 - B + B * len(words) / mean)
@@ -95,7 +121,7 @@ class Index:
             for t, x in impact.items():
                 lists[self.term[t]].append((e, x / own))
         self.postings = [self._posting(lists[i]) for i in range(len(self.term))]
-        self.bounds = np.zeros((len(self.term), -(-n // BLOCK)), np.float32)
+        self.bounds = np.zeros((len(self.term), -(-len(segments) // BLOCK)), np.float32)
         for i, p in enumerate(self.postings):
             for b, x in p.blocks.items():
                 self.bounds[i, b] = x
@@ -200,8 +226,29 @@ class Index:
             yield k, item, score, question_overlap, answer_overlap
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[Index]]:
-    """The benchmark's index, part by part; only one part is held."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments that hold a term, summed per batch; the row without a term has the number of segments and their words."""
+    for batch in batches:
+        own = statistics_of(words for text in batch.column(0).to_pylist() for words in segments_of(text or ""))
+        terms, holders = [None, *own.holders], [own.segments, *own.holders.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(terms, pa.string()), pa.array(holders, pa.int64()), pa.array([own.words] + [0] * len(own.holders), pa.int64())],
+            names=["term", "holders", "words"],
+        )
+
+
+def _statistics(counts: DataFrame, rows: Sequence[tuple[int, str]]) -> Statistics:
+    """The benchmark's statistics, with the terms of these rows only."""
+    own = {w for _, text in rows for words in segments_of(text) for w in words}
+    wanted = counts.sparkSession.createDataFrame([(w,) for w in own], "term string")
+    found = counts.join(F.broadcast(wanted), "term").collect()  # no more terms than the rows of one part have
+    total = counts.where("term IS NULL").first()
+    return Statistics(total.holders, total.words, {r.term: r.holders for r in found})
+
+
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
+    """The benchmark's index, part by part; only one part is held. The statistics are those of the whole benchmark."""
+    counts: DataFrame | None = None
     rows: list[tuple[int, str]] = []
     size = 0
     for row in benchmark.select(item_col, text_col).toLocalIterator():
@@ -209,12 +256,15 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[lis
         if not entries:
             continue
         if rows and size + entries > PART_ENTRIES:
-            yield Index(rows)
+            if counts is None:
+                counted = benchmark.select(text_col).mapInArrow(_counted, "term string, holders bigint, words bigint")
+                counts = materialise(counted.groupBy("term").agg(F.sum("holders").alias("holders"), F.sum("words").alias("words")))
+            yield Index(rows, _statistics(counts, rows))
             rows, size = [], 0
         rows.append((row[0], row[1]))
         size += entries
     if rows:
-        yield Index(rows)
+        yield Index(rows, None if counts is None else _statistics(counts, rows))
 
 
 #: Characters of text handled at a time within a batch.

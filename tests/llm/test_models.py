@@ -268,7 +268,10 @@ def test_an_index_in_parts_finds_the_same(spark, monkeypatch):
     rows, _ = items()
     docs = spark.createDataFrame([(i, f"a b {t} c") for i, (_, t) in enumerate(rows)] * 2, "doc_id bigint, text string")
     bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    whole = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(docs, bench).collect()}
     monkeypatch.setattr(decontamination, "PART_ENTRIES", 20)
+    scores = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(docs, bench).collect()}
+    assert scores.keys() == whole.keys() and all(abs(scores[k] - whole[k]) < 1e-6 for k in whole)
     got = Counter((r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect())
     assert {(k, k) for k in range(len(rows))} <= set(got) and set(got.values()) == {2}
     assert decontamination.decontaminate(docs, bench).count() == 0
