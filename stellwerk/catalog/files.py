@@ -12,6 +12,7 @@ from stellwerk.catalog.base import POSTINGS, postings, quoted
 from stellwerk.catalog.lifecycle import as_postings
 from stellwerk.catalog.links import PORTAL_URLS, PROVIDER_SQL, portal_urls
 from stellwerk.catalog.reports import REPORT_DATE, any_contains, markdown_sql
+from stellwerk.functions.extra import extra_value
 from stellwerk.operators.sync import days_before, new_postings
 from stellwerk.plans.maintenance import maintain, sync_master
 from stellwerk.plans.rotation import archives, read_active, rotate_in_place
@@ -79,6 +80,22 @@ def register(c: Catalog) -> None:
         rows = runs.scan_run_table(spark, f"{out}/all_jobs_raw.json")
         return rows.select("seq", "run_id", "job_id", "description", "relevance_score", *GIVEN)
 
+    @c.add(
+        "run_extra_keys",
+        f"""SELECT run_id, seq, title, CASE WHEN more THEN chars END AS chars, CASE WHEN more THEN company END AS tag,
+                   CASE WHEN more THEN link END AS deep, CASE WHEN more THEN 'chars,tags,deep' END AS keys
+            FROM (SELECT *, seq % 4 <> 0 AS more, cast(length(description) AS INTEGER) AS chars FROM ({POSTINGS}))""",
+    )
+    def run_extra_keys(spark, sf):
+        """Further keys are written beside the fields, scanned back and read by path; one named like a field does not count."""
+        out = shared_dir(spark)
+        parts = "'title', 'clash', 'chars', length(description), 'tags', array(provider, company), 'deep', named_struct('link', link)"
+        extra = F.when(F.col("seq") % 4 != 0, F.expr(f"to_json(named_struct({parts}))")).otherwise(F.lit('{"seq":-1}'))
+        sinks.write_run(run_rows(spark, sf).withColumn("extra", extra), f"{out}/runs/all", ("json",))
+        found = runs.scan_run_folders(spark, f"{out}/runs", extra=True)
+        read = [extra_value("chars", "int").alias("chars"), extra_value("tags[1]").alias("tag"), extra_value("deep.link").alias("deep")]
+        return found.select("run_id", "seq", "title", *read, F.array_join(F.json_object_keys("extra"), ",").alias("keys"))
+
     @c.add("run_to_master", FIRST_OF_LINKS)
     def run_to_master(spark, sf):
         """Runs are written, scanned from their folders, synchronised; every master column is compared."""

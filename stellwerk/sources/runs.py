@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from stellwerk import fixed
+from stellwerk.functions.extra import keys_of_items, keys_of_line
 from stellwerk.functions.links import provider_from_url
 from stellwerk.functions.text import text
 from stellwerk.schema import RUN_SCHEMA
@@ -48,10 +49,16 @@ def _chosen(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return tuple(_run_texts(spark, folder, parts).join(hidden, ["folder", "file"], "left_anti") for parts in (False, True))
 
 
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+
+
+def _wrapped(value: Column) -> Column:
+    return F.concat(F.lit('{"v":'), value, F.lit("}"))
+
+
 def _items(value: Column) -> Column:
     """The list a run file holds; NULL unless the file as a whole is one."""
-    wrapped = F.concat(F.lit('{"v":'), value, F.lit("}"))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+    wrapped, options = _wrapped(value), {**_STRICT, "columnNameOfCorruptRecord": "_corrupt"}
     read = F.from_json(wrapped, f"v array<struct<{_LOOSE.replace(' string', ':string')}>>, _corrupt string", options)
     # As the value of a key it could go on with further keys, as an element of a list with further elements or ends; not as both.
     alone = F.from_json(F.concat(F.lit('{"v":['), value, F.lit("]}")), "v array<string>, _corrupt string", options)
@@ -64,22 +71,31 @@ def _with_score(df: DataFrame) -> DataFrame:
     return df.withColumn("relevance_score", F.when(number == F.floor(number), number.cast("int")))
 
 
-def scan_run_folders(spark: SparkSession, folder: str) -> DataFrame:
+def scan_run_folders(spark: SparkSession, folder: str, extra: bool = False) -> DataFrame:
     """Postings of ``<folder>/<run>/jobs.json``, else ``all_jobs_raw.json``.
 
     Either may be one JSON list or what :func:`stellwerk.sources.sinks.write_run` leaves, a folder
     of parts with a posting per line. The choice goes by existence, so an unreadable
     preferred file hides the other. A file that is not a JSON list as a whole contributes
     nothing; see :func:`run_problems`. A list is read by one task; runs, and the parts of a
-    run, spread over tasks.
+    run, spread over tasks. With ``extra`` a last column of that name holds the keys that are no
+    run fields, as a JSON object (NULL without any); see :func:`stellwerk.functions.extra.extra_value`.
     """
     files, parts = _chosen(spark, folder)
-    listed = files.select("run_id", F.posexplode(_items(F.col("value"))).alias("seq", "r")).select(
-        "run_id", F.col("seq").cast("long").alias("seq"), "r.*"
+    value = F.col("value")
+    items = _items(value)
+    if extra:
+        others = keys_of_items(F.from_json(_wrapped(value), "v array<variant>", _STRICT)["v"])
+        items = F.when(items.isNotNull(), F.arrays_zip(items.alias("r"), others.alias("extra")))
+    else:
+        items = F.transform(items, lambda r: F.struct(r.alias("r")))
+    more = ["extra"] if extra else []
+    listed = files.select("run_id", F.posexplode(items).alias("seq", "i")).select(
+        "run_id", F.col("seq").cast("long").alias("seq"), "i.r.*", *[f"i.{c}" for c in more]
     )
-    options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
-    written = parts.select("run_id", F.from_json("value", f"seq long, {_LOOSE}", options).alias("r")).select(
-        "run_id", F.coalesce("r.seq", F.monotonically_increasing_id()).alias("seq"), *[f"r.{n}" for n in RUN_SCHEMA.names]
+    line = F.from_json("value", f"seq long, {_LOOSE}", _STRICT).alias("r")
+    written = parts.select("run_id", line, *[keys_of_line(value).alias(c) for c in more]).select(
+        "run_id", F.coalesce("r.seq", F.monotonically_increasing_id()).alias("seq"), *[f"r.{n}" for n in RUN_SCHEMA.names], *more
     )
     return _with_score(listed.unionByName(written))
 

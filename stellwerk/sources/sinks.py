@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stellwerk import fixed
+from stellwerk.functions.extra import merged_line
 from stellwerk.operators.rank import canonical, dashboard, markdown_report, number_rows, rank_by_score
 from stellwerk.operators.sync import parse_utc, utc_format
 from stellwerk.schema import RUN_FIELDS
@@ -23,16 +24,20 @@ CSV_OPTIONS = {
 def write_run(df: DataFrame, path: str, formats=("csv",)) -> None:
     """Raw result: the fixed headers as CSV, all run fields as JSON lines, by run.
 
-    :func:`stellwerk.sources.runs.scan_run_folders` reads both this layout and single run files.
+    :func:`stellwerk.sources.runs.scan_run_folders` reads both this layout and single run files. A column ``extra`` (a
+    JSON object as text) adds its keys to the JSON of its posting; keys of run fields in it are left out.
     """
     if "csv" in formats:
         canonical(df).write.options(**CSV_OPTIONS).mode("errorifexists").csv(f"{path}/all_jobs_raw.csv")
     if "json" in formats:
         fields = [c for c in ["run_id", "seq", *RUN_FIELDS] if c in df.columns]
-        writer = df.select(*fields).write.mode("errorifexists")
-        if "run_id" in fields:
-            writer = writer.partitionBy("run_id")
-        writer.json(f"{path}/all_jobs_raw.json")
+        by = [c for c in fields if c == "run_id"]
+        rows = df.select(*fields)
+        if "extra" in df.columns:
+            whole = merged_line(F.struct(*[c for c in fields if c not in by]), F.col("extra"))
+            rows = df.select(*by, whole.alias("value"))
+        writer = rows.write.mode("errorifexists").partitionBy(*by)
+        (writer.text if "extra" in df.columns else writer.json)(f"{path}/all_jobs_raw.json")
 
 
 def write_filtered(

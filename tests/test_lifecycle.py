@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stellwerk.fixed import HEADERS
+from stellwerk.functions.extra import extra_value, merged_line
 from stellwerk.operators import dedup, rank, sync
 from stellwerk.operators.dedup import first_by_key
 from stellwerk.operators.enrich import Matching
@@ -51,6 +52,27 @@ def test_run_folders(spark, tmp_path):
     }
 
 
+def test_keys_beyond_the_fields_come_and_go(spark, tmp_path):
+    write(tmp_path / "r1/jobs.json", [{"link": "a", "budget": {"max": 9.5}, "tags": ["x", 2], "seq": 7, "none": None}, {"link": "b"}])
+    write(tmp_path / "r2/jobs.json", '[{"budget": "9"}, {"link": "d", "a\\"b": "}\\n"}]')
+    write(tmp_path / "r3/jobs.json", '[{"budget": 1}, 5]')
+    first = runs.scan_run_folders(spark, str(tmp_path), extra=True)
+    assert first.columns[-1] == "extra"
+    sinks.write_run(first.drop("run_id"), str(tmp_path / "again/r9"), ("json",))
+    sinks.write_run(first.limit(0), str(tmp_path / "empty/r9"), ("json",))
+    for rows in (first, runs.scan_run_folders(spark, str(tmp_path / "again"), extra=True)):
+        read = rows.select("link", extra_value("budget.max", "double"), extra_value("budget", "int"), extra_value("tags[1]", "int"), "extra")
+        assert sorted(map(tuple, read.collect()), key=str) == [
+            ("a", 9.5, None, 2, '{"budget":{"max":9.5},"none":null,"tags":["x",2]}'),
+            ("b", None, None, None, None),
+            ("d", None, None, None, '{"a\\"b":"}\\n"}'),
+            (None, None, 9, None, '{"budget":"9"}'),
+        ]
+    assert runs.scan_run_folders(spark, str(tmp_path / "empty"), extra=True).collect() == []
+    broken = spark.createDataFrame([(0, "a", "{no"), (1, "b", "5"), (2, None, None), (3, None, '{"link":"x"}')], "seq long, link string, extra string")
+    assert [r[0] for r in broken.select(merged_line(F.struct("link"), F.col("extra"))).collect()] == ['{"link":"a"}', '{"link":"b"}', "{}", "{}"]
+
+
 def test_a_written_run_is_found_again(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a", "T", 5), (1, "b", None, 7)], "seq long, link string, title string, relevance_score int")
     sinks.write_run(rows, str(tmp_path / "runs/20250101_1000"), ("json", "csv"))
