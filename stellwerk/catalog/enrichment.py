@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from stellwerk import fixed
@@ -36,8 +38,9 @@ from stellwerk.operators.enrich import enrich, enrich_two_pass, skill_columns, w
 from stellwerk.operators.match_automaton import match_automaton
 from stellwerk.operators.match_join import entry_counts, label_lists, match_join
 from stellwerk.operators.merge import merge_details
-from stellwerk.plans.batch import batch_run
+from stellwerk.plans.batch import batch_run, batch_with_failures
 from stellwerk.plans.search_run import RunSettings, ranked_results, scored_postings
+from stellwerk.sources.config import read_profiles
 
 RESULT = [
     "seq", "title", "company", "relevance_score", "matching_skills", "missing_skills", "matched_roles",
@@ -254,6 +257,27 @@ def register(c: Catalog) -> None:
         found = dedup_in_run(postings(spark, sf)).withColumn("profile", F.explode(F.array_compact(names)))
         return batch_run(found, profiles, matching()).select("profile", "seq", "relevance_score")
 
+    #: Documents of the same profiles, of one that keeps nothing, and of some that cannot be read; all have postings.
+    documents = [
+        *((n, json.dumps({"scoring_weights": w, "filtering": {"min_relevance_score": least, "exclude_keywords": [word]}})) for n, w, least, word in batch),
+        ("picky", '{"filtering": {"min_relevance_score": 1000}, "unknown": 1}'),
+        ("broken", '{"filtering": {'), ("listed", '[{"scoring_weights": {}}]'), ("mistyped", '{"search_queries": 5}'), ("empty", None),
+    ]
+    kept_by_profile = " UNION ALL ".join(batch_part(k, *b) for k, b in enumerate(batch))
+    without = " UNION ALL ".join(f"SELECT '{n}', 0, {0 if n == 'picky' else 1}" for n, _ in documents[len(batch):])
+
+    @c.add(
+        "batch_with_failures",
+        f"""SELECT profile, cast(sum(n) AS BIGINT) AS postings, cast(sum(e) AS BIGINT) AS errors FROM (
+              SELECT profile, 1 AS n, 0 AS e FROM ({kept_by_profile}) UNION ALL {without}
+            ) GROUP BY ROLLUP (profile)""",
+    )
+    def batch_failures(spark, sf):
+        profiles = read_profiles(spark.createDataFrame(documents, "profile string, value string"))
+        names = F.array(*[F.when(F.col("seq") % 3 != k, F.lit(n)) if k < len(batch) else F.lit(n) for k, (n, _) in enumerate(documents)])
+        found = dedup_in_run(postings(spark, sf)).withColumn("profile", F.explode(F.array_compact(names)))
+        return batch_with_failures(found, profiles, matching())[1]
+
     score_query("relevance_score", "mapped", None)
     score_query("relevance_score_strict", "strict", None)
     score_query("relevance_score_weights", "mapped", {"programming_languages": 40, "testing_skills": 5, "known_companies": 15})

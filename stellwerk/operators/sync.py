@@ -84,7 +84,8 @@ def provider_list(df: DataFrame) -> DataFrame:
 def batch_summary(df: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Postings per profile run and in total (``profile`` NULL).
 
-    ``failed`` (profile, error) adds runs that ended in an error, with 0 postings.
+    ``failed`` (profile, error) adds runs that ended in an error, with 0 postings, and, with a
+    NULL error, runs that may have kept nothing.
     """
     counts = df.groupBy("profile").agg(F.count(F.lit(1)).alias("postings")).withColumn("error", F.lit(None).cast("string"))
     if failed is not None:

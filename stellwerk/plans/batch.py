@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from stellwerk.operators.dedup import first_by_key, run_key
 from stellwerk.operators.enrich import Matching, enrich
 from stellwerk.operators.filters import min_score, title_excludes
+from stellwerk.operators.sync import batch_summary
 
 
 def batch_run(postings: DataFrame, profiles: DataFrame, matching: Matching) -> DataFrame:
@@ -29,3 +30,14 @@ def batch_run(postings: DataFrame, profiles: DataFrame, matching: Matching) -> D
     scored = enrich(unique.join(settings, "profile"), replace(matching, weights=F.col("_weights")))
     kept = scored.where(min_score(F.col("_least")) & title_excludes(F.col("_excluded")))
     return kept.drop("_weights", "_least", "_excluded")
+
+
+def batch_with_failures(postings: DataFrame, profiles: DataFrame, matching: Matching) -> tuple[DataFrame, DataFrame]:
+    """Kept postings of the profiles that could be read, and the summary of all of them.
+
+    ``profiles`` are rows of :func:`stellwerk.sources.config.checked_profiles`. One that has an ``error`` runs nothing and
+    counts as one error; the others are not affected. A profile that keeps no posting is in the summary with 0.
+    """
+    good, said = profiles.where("error IS NULL").drop("error"), profiles.select("profile", "error")
+    kept = batch_run(postings, good, matching)
+    return kept, batch_summary(kept, said)

@@ -8,6 +8,7 @@ candidate text.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,16 +73,20 @@ def load_lexicon(spark: SparkSession, path: str) -> tuple[Entry, ...]:
     return flatten_entries(load_json(spark, path), "global")
 
 
+def _profile_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?(?:\.example)?$", 1).alias("profile"),
+        F.col("value"),
+    )
+
+
 def load_search_profiles(spark: SparkSession, path: str) -> DataFrame:
     """One row per search profile file, ``profile`` being the file's stem.
 
     Accepts a file, a folder or a glob. A document whose root is not an object
     fails the job when its row is read.
     """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?(?:\.example)?$", 1).alias("profile"),
-        F.col("value"),
-    )
+    raw = _profile_texts(spark, path)
     checked = raw.withColumn(
         "value",
         F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(
@@ -91,6 +96,43 @@ def load_search_profiles(spark: SparkSession, path: str) -> DataFrame:
     return checked.select("profile", F.from_json("value", SEARCH_PROFILE_SCHEMA).alias("d")).select("profile", "d.*")
 
 
+def checked_profiles(spark: SparkSession, path: str, wanted: Sequence[str] | None = None) -> DataFrame:
+    """The profiles below ``path`` with an ``error``, instead of failing the job; see :func:`read_profiles`.
+
+    With ``wanted`` only these count, and those without a document are among the rows. Spark's scan passes over files
+    of no byte at all: such a one is as good as absent.
+    """
+    found = read_profiles(_profile_texts(spark, path))
+    if wanted is None:
+        return found
+    asked = spark.createDataFrame([(w,) for w in dict.fromkeys(wanted)], "profile string")
+    absent = F.when(F.col("_read").isNull(), F.lit("no such profile")).otherwise(F.col("error"))
+    return asked.join(found.withColumn("_read", F.lit(True)), "profile", "left").withColumn("error", absent).drop("_read")
+
+
+def read_profiles(texts: DataFrame) -> DataFrame:
+    """``profile, value`` to the profile's settings and ``error``.
+
+    The error is NULL for a document that is one JSON object with every setting of its kind. Otherwise it says what is
+    wrong, and no setting of the document counts. A NULL or empty document is no JSON object.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+    kinds = f"v {SEARCH_PROFILE_SCHEMA.simpleString()}, _corrupt string"
+    inside = F.concat(F.lit('{"v":'), F.col("value"), F.lit("}"))
+    # One element of a list, and one value of a key: no text that closes either early is both.
+    alone = F.from_json(F.concat(F.lit('{"v":['), F.col("value"), F.lit("]}")), "v array<variant>, _corrupt string", options)
+    keyed = F.from_json(inside, "v variant, _corrupt string", options)
+    read = texts.select("profile", "value", alone.alias("a"), keyed.alias("k"), F.from_json(inside, kinds, options).alias("d"))
+    single = F.col("a._corrupt").isNull() & (F.size("a.v") == 1) & F.col("k._corrupt").isNull()
+    error = (
+        F.when(~F.coalesce(single, F.lit(False)), F.lit("no valid JSON"))
+        .when(~F.col("value").rlike(r"^\s*\{"), F.lit("the root must be an object"))
+        .when(F.col("d._corrupt").isNotNull(), F.lit("a setting is not of its kind"))
+    )
+    settings = read.select("profile", "d.v", error.alias("error")).withColumn("v", F.when(F.col("error").isNull(), F.col("v")))
+    return settings.select("profile", "v.*", "error")
+
+
 def lexicon_frame(spark: SparkSession, entries: tuple[Entry, ...]) -> DataFrame:
     """One row per candidate text, for the join form of skill matching."""
     rows = [

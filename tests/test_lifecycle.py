@@ -52,6 +52,33 @@ def test_run_folders(spark, tmp_path):
     }
 
 
+def test_bad_profiles_do_not_stop_the_others(spark, tmp_path):
+    good = {"profile_name": "G", "search_queries": ["a"], "filtering": {"min_relevance_score": 5}}
+    write(tmp_path / "good.json", good)
+    write(tmp_path / "other.json", {"anything": {"else": 1}})
+    write(tmp_path / "cut.json", '{"search_queries": ["a"')
+    write(tmp_path / "after.json", '{"search_queries": ["a"]} x')
+    write(tmp_path / "closes.json", '{"profile_name": "x"},"w":{"y":1}')
+    write(tmp_path / "closes_list.json", '{"profile_name": "x"}]},{"v":[1')
+    write(tmp_path / "list.json", [good])
+    write(tmp_path / "text.json", '"a"')
+    write(tmp_path / "kinds.json", {"search_queries": "a", "profile_name": "K"})
+    write(tmp_path / "blank.json", "\n")
+    write(tmp_path / "empty.json", "")  # no byte: as good as absent
+    found = {r["profile"]: r for r in config.checked_profiles(spark, str(tmp_path)).collect()}
+    assert {n: r["error"] for n, r in found.items()} == {
+        "good": None, "other": None, "cut": "no valid JSON", "after": "no valid JSON", "closes": "no valid JSON",
+        "closes_list": "no valid JSON", "list": "the root must be an object", "text": "the root must be an object",
+        "kinds": "a setting is not of its kind", "blank": "no valid JSON",
+    }
+    assert found["good"]["search_queries"] == ["a"] and found["good"]["filtering"]["min_relevance_score"] == 5
+    assert found["kinds"]["profile_name"] is None and found["closes"]["profile_name"] is None
+    asked = config.checked_profiles(spark, str(tmp_path), ["good", "nobody", "cut", "good", "empty"]).select("profile", "error").collect()
+    assert sorted(map(tuple, asked), key=str) == [
+        ("cut", "no valid JSON"), ("empty", "no such profile"), ("good", None), ("nobody", "no such profile")
+    ]
+
+
 def test_keys_beyond_the_fields_come_and_go(spark, tmp_path):
     write(tmp_path / "r1/jobs.json", [{"link": "a", "budget": {"max": 9.5}, "tags": ["x", 2], "seq": 7, "none": None}, {"link": "b"}])
     write(tmp_path / "r2/jobs.json", '[{"budget": "9"}, {"link": "d", "a\\"b": "}\\n"}]')
