@@ -45,7 +45,8 @@ def _chosen(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
         F.regexp_extract(path, _RUN_PATH, 1).alias("folder"), F.regexp_extract(path, _RUN_PATH, 2).alias("name")
     )
-    hidden = files.where(F.col("name") == first).select("folder", F.lit(second).alias("file")).distinct()
+    # One row per run folder, less than the driver's own list of these files. Joined by a shuffle, a run's texts would meet in one task.
+    hidden = F.broadcast(files.where(F.col("name") == first).select("folder", F.lit(second).alias("file")).distinct())
     return tuple(_run_texts(spark, folder, parts).join(hidden, ["folder", "file"], "left_anti") for parts in (False, True))
 
 

@@ -1,11 +1,13 @@
 """Physical plans: what must, and must not, be in them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from stellwerk.catalog import build
 from stellwerk.catalog.base import matching, postings
 from stellwerk.operators import dedup, filters, rank, sync
 from stellwerk.operators.enrich import enrich
+from stellwerk.sources import runs, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +64,19 @@ def test_no_query_forces_a_broadcast_or_a_cross_join(spark):
         df = catalog.queries[name](spark, SF)
         assert "Cartesian" not in plan(df), name
         assert "strategy=broadcast" not in df._jdf.queryExecution().logical().toString(), name
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Nothing is small enough to be broadcast by its size."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_run_texts_are_not_shuffled_by_their_run(spark, tmp_path, no_broadcast):
+    rows = postings(spark, SF).select("seq", "link", F.lit('{"chars":1}').alias("extra"))
+    sinks.write_run(rows, str(tmp_path / "runs/all"), ("json",))
+    assert "SortMergeJoin" not in plan(runs.scan_run_folders(spark, str(tmp_path / "runs"), extra=True))
