@@ -7,6 +7,7 @@ from stellwerk.catalog import build
 from stellwerk.catalog.base import matching, postings
 from stellwerk.operators import dedup, filters, rank, sync
 from stellwerk.operators.enrich import enrich
+from stellwerk.plans.maintenance import sync_master
 from stellwerk.sources import runs, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +81,18 @@ def test_run_texts_are_not_shuffled_by_their_run(spark, tmp_path, no_broadcast):
     rows = postings(spark, SF).select("seq", "link", F.lit('{"chars":1}').alias("extra"))
     sinks.write_run(rows, str(tmp_path / "runs/all"), ("json",))
     assert "SortMergeJoin" not in plan(runs.scan_run_folders(spark, str(tmp_path / "runs"), extra=True))
+
+
+def test_the_parts_of_one_run_stay_in_their_tasks(spark, tmp_path, no_broadcast):
+    """A run that is synchronised whole is not brought together in one task first."""
+    rows = postings(spark, SF).select("seq", "link", F.lit("one").alias("run_id")).repartition(6)
+    sinks.write_run(rows, str(tmp_path / "runs/all"), ("json",))
+    cost = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, str(128 << 20))  # a task per file
+    try:
+        found = runs.scan_run_folders(spark, str(tmp_path / "runs"))
+        assert found.groupBy(F.spark_partition_id()).count().count() == 6
+    finally:
+        spark.conf.set(cost, before)
+    assert sync_master(found, str(tmp_path / "master")) == rows.select("link").distinct().count()
