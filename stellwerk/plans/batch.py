@@ -20,14 +20,16 @@ def batch_run(postings: DataFrame, profiles: DataFrame, matching: Matching) -> D
     apply to their own postings. A posting that two profiles found counts for both. Profiles
     without an entry for a setting take its default; postings of an unknown profile are left out.
     """
-    unique = first_by_key(postings, [F.col("profile"), run_key()], ["seq"])
+    # Profiles are a few documents that people write. Joined by a shuffle, all postings of a profile would meet in one task.
+    wanted = postings.join(F.broadcast(profiles.select("profile")), "profile", "left_semi")
+    unique = first_by_key(wanted, [F.col("profile"), run_key()], ["seq"])
     settings = profiles.select(
         "profile",
         F.coalesce("scoring_weights", F.create_map().cast("map<string,double>")).alias("_weights"),
         F.coalesce("filtering.min_relevance_score", F.lit(0.0)).alias("_least"),
         F.coalesce("filtering.exclude_keywords", F.array().cast("array<string>")).alias("_excluded"),
     )
-    scored = enrich(unique.join(settings, "profile"), replace(matching, weights=F.col("_weights")))
+    scored = enrich(unique.join(F.broadcast(settings), "profile"), replace(matching, weights=F.col("_weights")))
     kept = scored.where(min_score(F.col("_least")) & title_excludes(F.col("_excluded")))
     return kept.drop("_weights", "_least", "_excluded")
 

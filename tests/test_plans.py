@@ -7,6 +7,7 @@ from stellwerk.catalog import build
 from stellwerk.catalog.base import matching, postings
 from stellwerk.operators import dedup, filters, rank, sync
 from stellwerk.operators.enrich import enrich
+from stellwerk.plans.batch import batch_run
 from stellwerk.plans.maintenance import sync_master
 from stellwerk.sources import runs, sinks
 
@@ -96,3 +97,15 @@ def test_the_parts_of_one_run_stay_in_their_tasks(spark, tmp_path, no_broadcast)
     finally:
         spark.conf.set(cost, before)
     assert sync_master(found, str(tmp_path / "master")) == rows.select("link").distinct().count()
+
+
+def test_a_profile_is_not_one_task_and_an_unread_one_shuffles_nothing(spark, no_broadcast):
+    profiles = spark.createDataFrame(
+        [("one", {}, (0.0, []))],
+        "profile string, scoring_weights map<string,double>, filtering struct<min_relevance_score:double,exclude_keywords:array<string>>",
+    )
+    found = postings(spark, SF).withColumn("profile", F.explode(F.array(F.lit("one"), F.lit("unread"))))
+    text = plan(batch_run(found, profiles, matching()))
+    assert "SortMergeJoin" not in text
+    # The one shuffle is deduplication's, and the unread profile's postings go before it.
+    assert text.count("Exchange hashpartitioning") == 1 and text.index("LeftSemi") > text.index("Exchange hashpartitioning")
