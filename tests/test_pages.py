@@ -3,12 +3,15 @@
 import json
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stellwerk.functions.html import HIDDEN_TEXT, Dom, html_nodes, parse_nodes, tag
+from stellwerk.catalog import build
+from stellwerk.functions.html import HIDDEN_TEXT, Dom, html_nodes, parse_nodes, tag, whole_references
 from stellwerk.operators.cards import CardRules, extract_cards, offers_unreadable, register_cards
 from stellwerk.operators.details import extract_details
+from tests.compare import compare
 
 
 def texts(spark, html, sql):
@@ -188,3 +191,23 @@ def test_unclosed_tags_are_read_in_linear_time():
     assert spent(16_000) < 12 * max(spent(4000), 0.005)
     rows = parse_nodes("<div><style>a</style>b<b>c</div>d</b>")
     assert [(r[3], r[5]) for r in rows if r[5]] == [(HIDDEN_TEXT, "a"), ("", "b"), ("", "c"), ("", "d")]
+
+
+@pytest.mark.parametrize("name", ["page_nodes"])
+def test_pages_cut_off_within_a_reference_are_read_as_their_sql_says(spark, tmp_path, name):
+    pages = [
+        (0, "<h1>a &amp; b&amp</h1><li>x &copy</li><p>&quot;c&quot; &middot d&quo</p>"), (1, "<h1>&copy; e</h1><p>a && b &amp;amp</p>"),
+        (2, '<a href="/x?a=1&copy=2&b">t</a><li>&amp;copy</li>'), (3, None),
+    ]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    catalog = build()
+    assert compare(catalog.queries[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.sql[name]).df()) is None
+
+
+def test_only_references_with_their_semicolon(spark):
+    html = "&amp; &amp &#38; &#38 &#x26; &euro;5 &copy=1 &"
+    assert spark.createDataFrame([(html,)], "h string").select(whole_references(F.col("h"))).first()[0] == (
+        "&amp; &amp;amp &#38; &amp;#38 &#x26; &euro;5 &amp;copy=1 &amp;"
+    )
