@@ -193,7 +193,7 @@ def test_unclosed_tags_are_read_in_linear_time():
     assert [(r[3], r[5]) for r in rows if r[5]] == [(HIDDEN_TEXT, "a"), ("", "b"), ("", "c"), ("", "d")]
 
 
-@pytest.mark.parametrize("name", ["page_nodes"])
+@pytest.mark.parametrize("name", ["page_nodes", "page_text"])
 def test_pages_cut_off_within_a_reference_are_read_as_their_sql_says(spark, tmp_path, name):
     pages = [
         (0, "<h1>a &amp; b&amp</h1><li>x &copy</li><p>&quot;c&quot; &middot d&quo</p>"), (1, "<h1>&copy; e</h1><p>a && b &amp;amp</p>"),
