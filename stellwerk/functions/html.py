@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,6 +38,8 @@ NODES = T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind, _ in
 NODES_TYPE = NODES.simpleString()
 TEXT = ""
 HIDDEN_TEXT = "#hidden"
+#: Characters of pages that a worker holds as nodes at once, a single longer page aside.
+PIECE_CHARS = 1 << 20
 
 
 class _Nodes(HTMLParser):
@@ -119,14 +121,12 @@ def parse_nodes(html: str) -> list[list] | None:
         return None
 
 
-@F.arrow_udf(NODES)
-def html_nodes(pages: pa.Array) -> pa.Array:
-    """Node array per page, NULL for NULL or unreadable pages."""
+def _node_array(pages: list[str | None]) -> pa.Array:
+    """The nodes of some pages as one array; NULL for NULL or unreadable pages."""
     columns: list[list] = [[] for _ in NODE_FIELDS]
     offsets: list[int | None] = []
     total = 0
-    for page in pages:
-        html = page.as_py()
+    for html in pages:
         rows = None if html is None else parse_nodes(html)
         offsets.append(None if rows is None else total)
         for row in rows or ():
@@ -141,6 +141,27 @@ def html_nodes(pages: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), nodes)
 
 
+@F.arrow_udf(NODES)
+def html_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Node array per page, NULL for NULL or unreadable pages.
+
+    A batch goes back in pieces of some ``PIECE_CHARS`` characters, so that a worker's memory follows the
+    longest page and not the number of pages in a batch.
+    """
+    for batch in batches:
+        piece: list[str | None] = []
+        chars = 0
+        for page in batch:
+            html = page.as_py()
+            piece.append(html)
+            chars += len(html or "")
+            if chars >= PIECE_CHARS:
+                yield _node_array(piece)
+                piece, chars = [], 0
+        if piece:
+            yield _node_array(piece)
+
+
 def strip_sql(sql: str) -> str:
     """SQL trimming every kind of white space."""
     return f"regexp_replace({sql}, {quote(EDGE_SPACE)}, '')"

@@ -4,11 +4,12 @@ import json
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stellwerk.catalog import build
-from stellwerk.functions.html import HIDDEN_TEXT, Dom, html_nodes, parse_nodes, tag, whole_references
+from stellwerk.functions.html import HIDDEN_TEXT, PIECE_CHARS, Dom, html_nodes, parse_nodes, tag, whole_references
 from stellwerk.operators.cards import CardRules, extract_cards, offers_unreadable, register_cards
 from stellwerk.operators.details import extract_details
 from tests.compare import compare
@@ -211,3 +212,14 @@ def test_only_references_with_their_semicolon(spark):
     assert spark.createDataFrame([(html,)], "h string").select(whole_references(F.col("h"))).first()[0] == (
         "&amp; &amp;amp &#38; &amp;#38 &#x26; &euro;5 &amp;copy=1 &amp;"
     )
+
+
+def test_a_batch_of_pages_goes_back_in_pieces():
+    """What a worker holds as nodes follows the page, not the batch."""
+    page = "<p>a</p>" * (PIECE_CHARS // 20)
+    batch = pa.array([page, None, page, page, "", page, "<b>x"])
+    pieces = list(html_nodes.func(iter([batch, pa.array([None], pa.string())])))
+    assert [len(x) for x in pieces] == [4, 3, 1]
+    assert [None if x is None else len(x) for piece in pieces for x in piece.to_pylist()] == [
+        None if h is None else len(parse_nodes(h)) for h in [*batch.to_pylist(), None]
+    ]
