@@ -54,9 +54,9 @@ def match_candidates(
 
     Every posting holds common words, so lead keys are skewed: postings spread each lead
     over ``salts`` groups and the lexicon is repeated per salt. Spark decides by size
-    whether the lexicon is broadcast instead. A posting's possible candidates (at most
-    the lexicon's) are gathered and meet its text once; plain ones match on the lead
-    alone. ``marks=False`` is for lexicons with an ASCII token in every candidate.
+    whether the lexicon is broadcast instead. Plain candidates match on the lead alone; a
+    posting's other possible ones (at most the lexicon's) are gathered and meet its text once.
+    ``marks=False`` is for lexicons with an ASCII token in every candidate.
     """
     wanted = _salted(prepare_lexicon(lexicon.select("candidate").distinct()), salts)
     low = F.col(text)
@@ -66,14 +66,18 @@ def match_candidates(
         leads = F.concat(leads, F.regexp_extract_all(low, F.lit(f"({MARK})"), 1))
     salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt")
     found = postings.select(key, salt, F.explode(F.array_distinct(leads)).alias("lead")).where(F.col("lead") != "")
-    hits = found.join(wanted, ["lead", "salt"])
+    # A plain candidate is its lead, so where that stands nothing is left to check and no text is needed.
+    plain = F.col("how") == "plain"
+    sure = found.join(wanted.where(plain).select("lead", "salt"), ["lead", "salt"]).select(key, "salt", F.col("lead").alias("candidate"))
+    hits = found.join(wanted.where(~plain), ["lead", "salt"])
     possible = hits.groupBy(key, "salt").agg(F.collect_list(F.struct("candidate", "how", "form")).alias("_c"))
-    sure = F.filter("_c", lambda c: (c["how"] == "plain") | _holds(low, F.col("_marked"), c["form"], c["how"]))
-    return (
+    held = F.filter("_c", lambda c: _holds(low, F.col("_marked"), c["form"], c["how"]))
+    checked = (
         possible.join(postings.select(key, text, skills.marked(low).alias("_marked")), key)
-        .select(key, "salt", F.explode(sure).alias("_c"))
+        .select(key, "salt", F.explode(held).alias("_c"))
         .select(key, "salt", "_c.candidate")
     )
+    return sure.unionByName(checked)
 
 
 def match_join(

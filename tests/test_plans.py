@@ -7,6 +7,7 @@ from stellwerk.catalog import build
 from stellwerk.catalog.base import matching, postings
 from stellwerk.operators import dedup, filters, rank, sync
 from stellwerk.operators.enrich import enrich
+from stellwerk.operators.match_join import match_candidates
 from stellwerk.plans.batch import batch_run
 from stellwerk.plans.maintenance import sync_master
 from stellwerk.sources import runs, sinks
@@ -109,3 +110,13 @@ def test_a_profile_is_not_one_task_and_an_unread_one_shuffles_nothing(spark, no_
     assert "SortMergeJoin" not in text
     # The one shuffle is deduplication's, and the unread profile's postings go before it.
     assert text.count("Exchange hashpartitioning") == 1 and text.index("LeftSemi") > text.index("Exchange hashpartitioning")
+
+
+def test_plain_candidates_need_no_text(spark, no_broadcast):
+    """They are a branch of their own, beside the candidates that are checked against texts."""
+    texts = postings(spark, SF).select("seq", F.lower("description").alias("_text"))
+    lexicon = spark.createDataFrame([("und",), ("mit der",), ("c#",)], "candidate string")
+    text = plan(match_candidates(texts, lexicon))
+    assert "Union" in text
+    found = {r[0] for r in match_candidates(texts, lexicon).select("candidate").distinct().collect()}
+    assert "und" in found
