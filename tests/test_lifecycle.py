@@ -16,6 +16,7 @@ from stellwerk.plans.row_filters import by_city, by_title
 from stellwerk.plans.search_run import RunSettings, kept_postings, run_search, scored_postings, settings_of, worth_notifying
 from stellwerk.sources import config, runs, sinks
 from stellwerk.plans.rotation import read_active, rotate_in_place, stale_months
+from stellwerk.streaming import keyed
 from stellwerk.streaming.keyed import start_keyed_sync
 from stellwerk.streaming.sync import first_within, read_run_stream, start_sync
 from tests.test_matching import LEXICON, PROFILE
@@ -336,6 +337,30 @@ def test_keyed_stream_repeats_no_batch_that_was_written(spark, tmp_path):
     assert sorted(r["link"] for r in sinks.read_master(spark, master).collect()) == ["a", "b"]
 
 
+def test_keyed_stream_asks_the_state_once_for_all_links_of_a_group(spark, tmp_path, monkeypatch):
+    """A batch's rows pass the state once, however often the append reads them; here all links are one group."""
+    source, master, mark, log = (str(tmp_path / p) for p in ("runs", "master", "mark", "log"))
+
+    class Logged(keyed.FirstOfLink):
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            with open(log, "a") as f:
+                f.write("".join(f"{key[0]} {r['link']}\n" for r in rows))
+            return super().handleInputRows(key, iter(rows), timerValues)
+
+    monkeypatch.setattr(keyed, "GROUPS", 1)
+    monkeypatch.setattr(keyed, "FirstOfLink", Logged)
+    sync_master(batch(spark, ("r", 0, "c", "old", "")), master)
+    batches = [[("r1", 2, "a", "a2", ""), ("r1", 1, "a", "a1", ""), ("r1", 0, "b", "b0", ""), ("r1", 3, "c", "c3", "")],
+               [("r2", 0, "b", "b1", ""), ("r2", 1, "d", "d1", "")]]
+    for rows in batches:
+        batch(spark, *rows).write.mode("append").partitionBy("run_id").json(source)
+        start_keyed_sync(read_run_stream(spark, source), master, mark, available_now=True).awaitTermination()
+    got = sorted((r["link"], r["title"]) for r in sinks.read_master(spark, master).collect())
+    assert got == [("a", "a1"), ("b", "b0"), ("c", "old"), ("d", "d1")]
+    assert sorted(open(log).read().splitlines()) == sorted(f"0 {r[2]}" for rows in batches for r in rows)
+
+
 def test_rotation_in_place(spark, tmp_path):
     master, history = str(tmp_path / "master"), str(tmp_path / "history")
     rows = [("r", k, f"l{k}", str(k), f"2024-0{1 + k // 4}-{1 + 7 * (k % 4):02d}T00:00:00") for k in range(16)]
