@@ -13,7 +13,7 @@ from stellwerk.operators.cards import extract_cards
 from stellwerk.operators.details import extract_details
 from stellwerk.plans.search_run import RunSettings, run_search
 from stellwerk.schema import DETAIL_FIELDS
-from stellwerk.session import materialise, shared_dir
+from stellwerk.session import shared_dir
 from stellwerk.sources import runs, sinks
 
 PORTAL = "hays"
@@ -43,7 +43,7 @@ def collected(spark, sf):
     """Postings from rendered result pages, and rendered detail pages by link, each captured twice."""
     pages = source(spark, sf).withColumns({"html": render(CARDS[PORTAL][0]), "provider": F.lit(PORTAL)})
     cards = extract_cards(pages.select("doc_id", "provider", "query", "location", "result_limit", "html"))
-    cards = materialise(runs.with_arrival_order(cards, "doc_id", "pos"))
+    cards = runs.with_arrival_order(cards, "doc_id", "pos")
     links = cards.select("doc_id", F.col("link").alias("card_link")).distinct()
     details = detail_pages(spark, sf, PORTAL).join(links, "doc_id").withColumn("link", F.col("card_link"))
     captures = details.withColumn("capture", F.explode(F.array(F.lit(0), F.lit(1))))

@@ -122,23 +122,31 @@ def parse_nodes(html: str) -> list[list] | None:
 
 
 def _node_array(pages: list[str | None]) -> pa.Array:
-    """The nodes of some pages as one array; NULL for NULL or unreadable pages."""
+    """The nodes of some pages as one array; NULL for NULL or unreadable pages.
+
+    A page that follows itself, as several captures or links of one page do, is parsed once.
+    """
     columns: list[list] = [[] for _ in NODE_FIELDS]
     offsets: list[int | None] = []
+    places: list[int] = []
     total = 0
-    for html in pages:
+    for k, html in enumerate(pages):
+        if k and html == pages[k - 1]:
+            places.append(places[-1])
+            continue
         rows = None if html is None else parse_nodes(html)
+        places.append(len(offsets))
         offsets.append(None if rows is None else total)
-        for row in rows or ():
-            for column, value in zip(columns, row):
-                column.append(value)
+        for column, values in zip(columns, zip(*rows or ())):
+            column.extend(values)
         total += len(rows or ())
     offsets.append(total)
     nodes = pa.StructArray.from_arrays(
         [pa.array(c, type=kind) for c, (_, _, kind) in zip(columns, NODE_FIELDS)],
         names=[name for name, _, _ in NODE_FIELDS],
     )
-    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), nodes)
+    parsed = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), nodes)
+    return parsed if len(parsed) == len(places) else parsed.take(pa.array(places, type=pa.int32()))
 
 
 @F.arrow_udf(NODES)

@@ -17,6 +17,7 @@ from stellwerk.functions.extra import keys_of_items, keys_of_line
 from stellwerk.functions.links import provider_from_url
 from stellwerk.functions.text import text
 from stellwerk.schema import RUN_SCHEMA
+from stellwerk.session import materialise
 from stellwerk.sources.sinks import CSV_OPTIONS
 
 
@@ -198,9 +199,10 @@ def with_arrival_order(df: DataFrame, *order: str) -> DataFrame:
     """Unique ``seq`` that follows the given columns inside each task's rows.
 
     For inputs without an order of their own. Range partitioning makes ids grow with
-    the order across tasks, without one task seeing everything.
+    the order across tasks, without one task seeing everything. It samples its input before it
+    reads it, so the input is written once and whatever made it, such as parsed pages, runs once.
     """
-    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
+    return materialise(df).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
 
 
 __all__ = [

@@ -390,6 +390,21 @@ def test_rotation_in_place(spark, tmp_path):
     assert sorted(archived) == sorted(f"l{k}" for k in range(9))
 
 
+def test_arrival_order_makes_its_input_once(spark, tmp_path):
+    """Range partitioning samples its input; what made the rows must not run again for that."""
+    log = str(tmp_path / "log")
+
+    @F.udf("long")
+    def made(x):
+        with open(log, "a") as f:
+            f.write(f"{x}\n")
+        return 99 - x
+
+    rows = runs.with_arrival_order(spark.range(100, numPartitions=4).select(made("id").alias("at"), "id"), "at").collect()
+    assert [r["at"] for r in sorted(rows, key=lambda r: r["seq"])] == list(range(100)) and len({r["seq"] for r in rows}) == 100
+    assert sorted(map(int, open(log).read().split())) == list(range(100))
+
+
 def test_bounded_state_stream(spark, tmp_path):
     batch(spark, *[(f"r{i}", i, f"l{i % 3}", "t", "2024-01-01T00:00:00") for i in range(9)]).write.json(str(tmp_path / "in"))
     stream = read_run_stream(spark, str(tmp_path / "in")).withColumn("ts", sync.parse_utc(F.col("scraped_at")))

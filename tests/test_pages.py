@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stellwerk.functions import html
 from stellwerk.catalog import build
 from stellwerk.functions.html import HIDDEN_TEXT, PIECE_CHARS, Dom, html_nodes, parse_nodes, tag, whole_references
 from stellwerk.operators.cards import CardRules, extract_cards, offers_unreadable, register_cards
@@ -223,3 +224,15 @@ def test_a_batch_of_pages_goes_back_in_pieces():
     assert [None if x is None else len(x) for piece in pieces for x in piece.to_pylist()] == [
         None if h is None else len(parse_nodes(h)) for h in [*batch.to_pylist(), None]
     ]
+
+
+def test_a_page_that_follows_itself_is_parsed_once(monkeypatch):
+    """Several captures of one page; unreadable and missing pages stay NULL, equal pages further apart are their own."""
+    a, b = "<p class='x'>a &amp; b</p>", "<div>c<br>d</div>"
+    pages = [None, None, a, a, a, b, a, "", "", "<![if", "<![if", None]
+    expected = [nodes for page in pages for nodes in html._node_array([page]).to_pylist()]
+    parsed = []
+    read = html.parse_nodes
+    monkeypatch.setattr(html, "parse_nodes", lambda page: parsed.append(page) or read(page))
+    assert html._node_array(pages).to_pylist() == expected
+    assert parsed == [a, b, a, "", "<![if"]
