@@ -69,5 +69,10 @@ def portal_work_type(provider: Column, title: Column, location: Column, remote_f
 
 
 def salary_hint(description: Column) -> Column:
-    """First salary figure behind a salary word, or empty."""
-    return F.regexp_extract(text(description), fixed.SALARY_PATTERN, 1)
+    """First salary figure behind a salary word, or empty.
+
+    Every figure has a currency sign or ``eur`` in it, so only texts that hold one are searched.
+    """
+    given = text(description)
+    named = F.contains(given, F.lit("€")) | F.contains(given, F.lit("$")) | F.contains(F.lower(given), F.lit("eur"))
+    return F.when(named, F.regexp_extract(given, fixed.SALARY_PATTERN, 1)).otherwise(F.lit(""))

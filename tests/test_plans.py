@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stellwerk import fixed
 from stellwerk.catalog import build
 from stellwerk.catalog.base import matching, postings
+from stellwerk.functions import types
+from stellwerk.functions.text import text
 from stellwerk.operators import dedup, filters, rank, sync
 from stellwerk.operators.enrich import enrich
 from stellwerk.operators.match_join import match_candidates
@@ -120,3 +123,13 @@ def test_plain_candidates_need_no_text(spark, no_broadcast):
     assert "Union" in text
     found = {r[0] for r in match_candidates(texts, lexicon).select("candidate").distinct().collect()}
     assert "und" in found
+
+
+def test_salary_is_searched_only_where_a_currency_is_named(spark):
+    """The guard lets through all that the pattern finds, whatever the letters' case."""
+    texts = ["Gehalt: 48.500 €", "SALARY €80K", "\u017falary: eUr", "Verg\u00dctung:\u00a0$95k", "verg\u00fctung EUR", "Stundensatz 95", "Gehalt: 80k", "neuer", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select(types.salary_hint(F.col("t")).alias("got"), F.regexp_extract(text("t"), fixed.SALARY_PATTERN, 1).alias("all"))
+    assert [r["got"] for r in found.collect()] == [r["all"] for r in found.collect()]
+    assert [r["got"] for r in found.collect()][:5] == ["48.500 €", "€80K", "eUr", "$95k", "EUR"]
+    assert "CASE WHEN" in plan(df.select(types.salary_hint(F.col("t"))))
