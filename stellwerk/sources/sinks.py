@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,6 +23,27 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+#: Runs that one task writes side by side; only the rows left when there are more are sorted by run.
+OPEN_RUNS = 100
+
+
+@contextmanager
+def _runs_side_by_side(spark: SparkSession) -> Iterator[None]:
+    """Tasks keep a file per run open. Else each sorts all its rows by run first, and holds what a row group or split holds.
+
+    The session's own setting goes before. Only for text and JSON: an open Parquet file holds a whole row group.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    if int(before) > 0:
+        yield
+        return
+    spark.conf.set(name, str(OPEN_RUNS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def write_run(df: DataFrame, path: str, formats=("csv",)) -> None:
     """Raw result: the fixed headers as CSV, all run fields as JSON lines, by run.
@@ -37,7 +61,8 @@ def write_run(df: DataFrame, path: str, formats=("csv",)) -> None:
             whole = merged_line(F.struct(*[c for c in fields if c not in by]), F.col("extra"))
             rows = df.select(*by, whole.alias("value"))
         writer = rows.write.mode("errorifexists").partitionBy(*by)
-        (writer.text if "extra" in df.columns else writer.json)(f"{path}/all_jobs_raw.json")
+        with _runs_side_by_side(df.sparkSession):
+            (writer.text if "extra" in df.columns else writer.json)(f"{path}/all_jobs_raw.json")
 
 
 def write_filtered(

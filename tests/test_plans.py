@@ -1,5 +1,10 @@
 """Physical plans: what must, and must not, be in them."""
 
+import json
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +138,41 @@ def test_salary_is_searched_only_where_a_currency_is_named(spark):
     assert [r["got"] for r in found.collect()] == [r["all"] for r in found.collect()]
     assert [r["got"] for r in found.collect()][:5] == ["48.500 €", "€80K", "eUr", "$95k", "EUR"]
     assert "CASE WHEN" in plan(df.select(types.salary_hint(F.col("t"))))
+
+
+WRITE = """
+import sys
+from pyspark.sql import functions as F
+from stellwerk.session import build_session
+from stellwerk.sources import sinks
+
+log, out = sys.argv[1:]
+conf = {"spark__eventLog__" + k: v for k, v in {"enabled": "true", "dir": log, "rolling__enabled": "false", "compress": "false"}.items()}
+spark = build_session("write", "local[2]", spark__ui__enabled="false", **conf)
+rows = spark.range(20000).select(F.col("id").alias("seq"), (F.col("id") % 7).cast("string").alias("run_id"), F.lit("x").alias("link"))
+sinks.write_run(rows, out + "/plain", ("json",))
+sinks.write_run(rows.withColumn("extra", F.lit('{"chars":1}')), out + "/extra", ("json",))
+spark.stop()
+"""
+
+
+def test_runs_are_written_without_holding_their_rows(tmp_path):
+    """A task that writes several runs does not sort them first, so its memory does not follow what it reads."""
+    log = tmp_path / "log"
+    log.mkdir()
+    subprocess.run([sys.executable, "-c", WRITE, f"file://{log}", str(tmp_path)], check=True, cwd=Path(__file__).parents[1], timeout=300)
+    events = [json.loads(line) for f in log.iterdir() if not f.name.startswith(".") for line in f.read_text().splitlines()]
+    tasks = [e["Task Metrics"] for e in events if e["Event"] == "SparkListenerTaskEnd"]
+    assert sum(t["Output Metrics"]["Records Written"] for t in tasks) == 40000
+    assert max(t["Peak Execution Memory"] for t in tasks) == 0
+
+
+def test_more_runs_than_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "OPEN_RUNS", 3, raising=False)
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    rows = spark.range(900).select(F.col("id").alias("seq"), (F.col("id") % 11).cast("string").alias("run_id"), F.col("id").cast("string").alias("link"))
+    sinks.write_run(rows.coalesce(2), str(tmp_path / "runs/all"), ("json",))
+    assert spark.conf.get(name) == before
+    found = runs.scan_run_folders(spark, str(tmp_path / "runs")).select("seq", "run_id", "link")
+    assert sorted(found.collect()) == sorted(rows.collect())
